@@ -18,7 +18,7 @@ from .common import mix
 _U = np.uint64
 
 #: Longest symbol, in words, that each round may merge.
-SPANS = (1, 2, 4)
+SPANS = (1, 2)
 #: Words on either side that decide if a boundary survives all rounds: a run and a pair step for each round.
 CONTEXT = 2 * sum(SPANS)
 

@@ -8,8 +8,9 @@ windows share. Anchors that occur in one document only can't be part of a
 repeat, which leaves the windows around shared ones; those are verified by a
 128-bit hash of their words, and the smallest id of each hash decides.
 
-Shuffles: sparse anchors (about one for ten words) by name, shared names by
-document, windows around shared anchors by hash; texts by document. Hot names
+Shuffles: texts by document, once; sparse anchors (about one for twenty words) by name, shared names by
+document, windows around shared anchors by hash. Whole copies are found first, by
+their digest, and take no part in the rest. Hot names
 and hashes are aggregated before they are shuffled, and joined from the side
 with one row for each, so skewed partitions can be split.
 
@@ -27,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,16 @@ def _keys(hashes, bounds, window):
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
 
 def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """From (doc_id, th, text): distinct (key, doc_id, th)."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64())])
+    """From (doc_id, th, text, copy): distinct (key, doc_id, th) of rows that aren't copies."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32())])
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_null(batch.column(3))))
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in slices(batch.column(2)):
                 hashes, _, _, bounds = words_of(data, offsets)
@@ -72,15 +75,16 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 key, row = key[new], row[new] + a
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(ths[row])], schema=schema)
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "key bigint, doc_id bigint, th bigint")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, th int")
 
 
 def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """From (doc_id, th, text, keys): (h1, h2, doc_id, th, at) of every window whose anchor's key is among ``keys``."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32())])
+    """From (doc_id, th, text, keys): (h1, h2, doc_id, th, at) of every window whose anchor's key is among ``keys`` (null: none)."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(3)))
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
             list_at, flat = np.asarray(lists.offsets), np.asarray(lists.flatten().to_numpy(zero_copy_only=False))
@@ -101,11 +105,11 @@ def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 where = (at - bounds[row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[row + a]), pa.array(ths[row + a]), pa.array(where)], schema=schema)
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, th bigint, at int")
+    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, th int, at int")
 
 
 def kept_rows(docs: DataFrame, window: int = WINDOW, text_out: bool = False) -> DataFrame:
-    """From (doc_id, th, text, hits): doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
+    """From (doc_id, th, text, copy, hits): doc_id, n_words, n_removed, kept_sha256 (and kept_text)."""
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     if text_out:
         fields.append(("kept_text", pa.string()))
@@ -114,7 +118,7 @@ def kept_rows(docs: DataFrame, window: int = WINDOW, text_out: bool = False) ->
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            hits = batch.column(3).to_pylist()
+            copy, hits = batch.column(3), batch.column(4).to_pylist()
             for a, b, data, offsets in slices(batch.column(2)):
                 _, starts, ends, bounds = words_of(data, offsets)
                 n, gone, digests, texts = [], [], [], []
@@ -123,7 +127,9 @@ def kept_rows(docs: DataFrame, window: int = WINDOW, text_out: bool = False) ->
                     lo, hi = bounds[r - a], bounds[r - a + 1]
                     s, e = starts[lo:hi], ends[lo:hi]
                     removed = 0
-                    if hits[r]:
+                    if copy[r].is_valid and hi - lo >= window:
+                        removed, s, e = int(hi - lo), s[:0], e[:0]
+                    elif hits[r]:
                         change = np.zeros(hi - lo + 1, np.int64)
                         at = np.asarray(hits[r], np.int64)
                         np.add.at(change, at, 1)
@@ -166,11 +172,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     if window < 2 * CONTEXT + 8:
         raise ValueError(f"a window needs {2 * CONTEXT + 8} words at least")
     rows = _keyed(docs, id_col, text)
+    # Whole copies of a text with a smaller id lose every word; neither windows nor anchors of theirs are needed.
+    # Text goes through one exchange, by id: every join below reads that one again.
+    named = rows.where("doc_id is not null and text is not null").select("doc_id", "th", F.md5(F.encode("text", "UTF-8")).alias("m"))
+    firsts = named.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = named.join(firsts, "m").where("doc_id > low").select("doc_id", "th", F.lit(True).alias("copy")).distinct()
+    rows = rows.join(copies, ["doc_id", "th"], "left").select("doc_id", "th", "text", "copy")
     found = anchor_rows(rows, window)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     keys = found.join(shared, "key").groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
-    wins = window_rows(rows.join(keys, ["doc_id", "th"]).select("doc_id", "th", "text", "keys"), window)
+    wins = window_rows(rows.join(keys, ["doc_id", "th"], "left").select("doc_id", "th", "text", "keys"), window)
     first = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = wins.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "th", "at").distinct()
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list("at").alias("hits"))
-    return kept_rows(rows.join(hits, ["doc_id", "th"], "left").select("doc_id", "th", "text", "hits"), window, text_out)
+    return kept_rows(rows.join(hits, ["doc_id", "th"], "left").select("doc_id", "th", "text", "copy", "hits"), window, text_out)
