@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but these code points: U+0020 and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -152,3 +153,19 @@ class Rolling:
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self.powers.down[start])
+
+
+# ---------------------------------------------------------------- joins that skew can't hurt
+
+
+def lane_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], lanes: int = 4) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row a key, for keys that may hold a large share of all rows.
+
+    ``many`` is dealt by key and a lane hashed from ``by``; ``one`` is repeated
+    for each lane. The deal differs from that of the aggregation that made
+    ``one``, so the join reads two exchanges of its own, and adaptive execution
+    can split what is still too large.
+    """
+    left = many.withColumn("__lane", F.pmod(F.xxhash64(*by), F.lit(lanes)).cast("int"))
+    right = one.withColumn("__lane", F.explode(F.array(*(F.lit(k) for k in range(lanes)))))
+    return left.join(right, [*keys, "__lane"]).drop("__lane")

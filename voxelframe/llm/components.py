@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lane_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with v < u. Point neighbours at the least node of each neighbourhood."""
     both = edges.union(edges.select(F.col("v"), F.col("u"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    got = both.join(least, "u")
+    got = lane_join(both, least, ["u"], ["v"])
     if large:
         out = got.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, lane_join
 
 WIDTH = 3
 
@@ -49,7 +49,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     wins = windows(docs, id_col, text, width)
     order = ("__id", "__th", "at")
     seen = wins.groupBy("h1", "h2").agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).where("first < last").drop("last")
-    later = wins.join(seen, ["h1", "h2"]).where(F.struct(*order) > F.col("first"))
+    later = lane_join(wins, seen, ["h1", "h2"], ["__id", "at"]).where(F.struct(*order) > F.col("first"))
     same = (F.col("__id") == F.col("first.__id")) & (F.col("__th") == F.col("first.__th"))
     spared = F.when(same, F.greatest(F.lit(0), F.col("first.at") + width - F.col("at"))).otherwise(F.lit(0))
     marked = later.select("__id", "__th", "pos", spared.alias("spared")).where(F.col("spared") < width)
