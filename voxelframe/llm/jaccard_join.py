@@ -8,18 +8,20 @@ document frequency, from a counting sketch of all documents: the lists of a set'
 n - ceil(p n / 100) + 1 rarest members are short, the others, one fewer than any
 partner must share, are long. So every partner appears in a short list.
 
-* The merge of short lists is a shuffled, sorted stream over (member, set): runs
-  of one member are consumed one row at a time. A candidate of a full merge must
-  occur in T - L short lists, L the number of long ones.
+* Short lists are found by a shuffled, sorted stream over (member, set): runs of
+  one member are consumed as they come, and lists of one set go.
+* Sets that share lists meet in bins, large bins in pairs of blocks of bounded
+  size; there the sorted short lists are merged, and candidates are sets that occur in
+  T - L of them, L the number of long ones.
 * Candidates are probed: both whole sets are compared by binary search in sorted
   arrays, and pairs that reach T become links.
-* Only components are asked for, so a run links its sets to a leader first; pairs
-  between sets that are in one component already are skipped, and all
-  others that share a short list are probed. No link between different components
-  can be lost, and a group of thousands of near copies costs its size, not its
-  square.
-* Sets that the sketch finds in very many documents are salted, and the salts'
-  leaders are linked in a second, smaller stream.
+* Only components are asked for, so each set first tries the leader of most of its
+  lists, then its likeliest partners in other components, a few a turn; candidates
+  inside one component are skipped. The last turn probes every candidate between
+  components that is left, so no link between them can be lost, and a
+  group of thousands of near copies probes a multiple of its size, not its square.
+* Lists that the sketch finds to be very long are salted, and the salts' leaders
+  are tried with the least of them.
 
 Documents of equal sets are one class, represented by its least id.
 
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, mix, slices, words_of
+from .common import Rolling, cut, lane_join, mix, slices, words_of
 from .components import components
 
 SHINGLE = 5
@@ -48,6 +50,10 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rows of one member's list that one task may hold in a run before the list is salted.
 RUN_ROWS = 4096
+#: Sets of one block of the T-occurrence merge.
+BLOCK = 1024
+#: Turns that try each set's likeliest partners, partners a turn, and pairs so few that they are all tried at once.
+MOST_TURNS, TRIES, FEW_PAIRS = 4, 2, 5000
 
 _ROLL = Rolling(0xB5AD4ECEDA1CE2A9)
 
@@ -246,6 +252,107 @@ def _probe(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _open_sets(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(doc, n, comp, keys): of each set, the members whose short lists hold more than one component."""
+    rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    rows = lane_join(rows, mixed, ["key"], ["doc"])
+    return cut(rows.groupBy("doc", "n", "comp").agg(F.collect_list("key").alias("keys")), "open")
+
+
+def _blocks(open_sets: DataFrame, components) -> DataFrame | None:
+    """(doc, bin, block, blocks): sets that share lists, however indirectly, come to one bin; large bins are cut into blocks of bounded size."""
+    total = open_sets.count()
+    if not total:
+        return None
+    flat = open_sets.select("doc", F.explode("keys").alias("key"))
+    heads = flat.groupBy("key").agg(F.min("doc").alias("head"))
+    joined = lane_join(flat, heads, ["key"], ["doc"]).select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
+    cluster = components(joined).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    sized = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    bins = max(1, -(-total // BLOCK))
+    # Small clusters share bins (their lists are disjoint); a large one has its own, told apart by sign.
+    bin_of = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    got = lane_join(cluster, sized, ["cluster"], ["doc"])
+    return cut(got.select("doc", bin_of.alias("bin"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks"), "blocks")
+
+
+def _t_occurrence(open_sets: DataFrame, blocks: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """(a, b, total): pairs of sets of different components that occur together in enough short lists.
+
+    Every pair of blocks of a bin meets in one task. With ``turn`` only the next
+    ``TRIES`` likeliest partners of each set come out, and in a row of nulls the
+    number of all.
+    """
+    rows = open_sets.join(blocks, "doc")
+    as_left = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bin", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "doc", "n", "comp", "keys")
+    as_right = rows.where("block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("other")).select("bin", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "doc", "n", "comp", "keys")
+    low, high = (0, 1 << 62) if turn is None else (turn * TRIES, (turn + 1) * TRIES)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left, right = (table.filter(pa.array(table.column("side").to_numpy() == k)) for k in (0, 1))
+        same = key[1].as_py() == key[2].as_py()
+        a, b, total = _merge_block(left, left if same else right, same, percent, low, high)
+        yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), None], pa.int64()), pa.array([*b.tolist(), None], pa.int64()), pa.array([0] * len(a) + [total], pa.int64())], names=["a", "b", "total"])
+
+    return as_left.union(as_right).groupBy("bin", "i", "j").applyInArrow(run, "a bigint, b bigint, total bigint")
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = table.column("keys").combine_chunks()
+    at = np.asarray(lists.offsets).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(table.num_rows), np.diff(at))
+
+
+def _merge_block(left: pa.Table, right: pa.Table, same: bool, percent: int, low: int, high: int):
+    """Merge the sorted short lists of one block with those of another, and keep sets that occur in T - L of them."""
+    none = np.zeros(0, np.int64)
+    if not left.num_rows or not right.num_rows:
+        return none, none, 0
+    l_key, l_row = _flat(left)
+    r_key, r_row = _flat(right)
+    order = np.argsort(r_key, kind="stable")
+    r_key, r_row = r_key[order], r_row[order]
+    first, last = np.searchsorted(r_key, l_key, "left"), np.searchsorted(r_key, l_key, "right")
+    ids = [t.column("doc").to_numpy() for t in (left, right)]
+    ns = [t.column("n").to_numpy().astype(np.int64) for t in (left, right)]
+    comps = [t.column("comp").to_numpy() for t in (left, right)]
+    width = right.num_rows
+    step = max(1, (4 << 20) // width)
+    xs, ys, cs = [], [], []
+    for at in range(0, left.num_rows, step):
+        lo, hi = np.searchsorted(l_row, [at, min(at + step, left.num_rows)])
+        hits = np.zeros(min(step, left.num_rows - at) * width, np.int32)
+        for k in range(lo, hi, 4096):  # lists of a slice of members at a time
+            z = slice(k, min(k + 4096, hi))
+            count = last[z] - first[z]
+            total = int(count.sum())
+            if total:
+                base = np.repeat(first[z] - (np.cumsum(count) - count), count)
+                code = np.repeat(l_row[z] - at, count) * width + r_row[base + np.arange(total)]
+                hits += np.bincount(code, minlength=len(hits)).astype(np.int32)
+        found = np.flatnonzero(hits)
+        x, y, c = found // width + at, found % width, hits[found]
+        m, n = ns[0][x], ns[1][y]
+        most = np.maximum(m, n)
+        ok = (comps[0][x] != comps[1][y]) & (100 * np.minimum(m, n) >= percent * most) & (c >= needed(m, n, percent) - (most - short_lists(most, percent)))
+        if same:
+            ok &= x < y
+        xs.append(x[ok]), ys.append(y[ok]), cs.append(c[ok])
+    x, y, c = np.concatenate(xs), np.concatenate(ys), np.concatenate(cs)
+    if high < 1 << 62 and len(x):
+        # Places of each pair among those of either of its sets, likeliest first.
+        share = c / np.maximum(ns[0][x], ns[1][y])
+        owner = np.concatenate([x, (left.num_rows if not same else 0) + y])
+        order = np.lexsort((-np.concatenate([share, share]), owner))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        keep = ((place >= low) & (place < high)).reshape(2, -1).any(axis=0)
+        return ids[0][x[keep]], ids[1][y[keep]], len(x)
+    return ids[0][x], ids[1][y], len(x)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -279,23 +386,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     links = links.union(tied)
     comp = components(links)
 
-    lists_by_comp = named.select("key", "doc", "n").distinct().join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    mixed = lists_by_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_lists = cut(lists_by_comp.join(mixed, "key"), "open")
-    by_comp = open_lists.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = by_comp.select("key", F.col("comp").alias("comp2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    # Components that share a list and whose sizes allow a link at all.
-    across = by_comp.join(other, "key").where(f"comp < comp2 and 100 * most >= {percent} * least2 and 100 * most2 >= {percent} * least").select("key", "comp", "comp2")
-    one = open_lists.select("key", "comp", F.col("doc").alias("a"), F.col("n").alias("na"))
-    two = open_lists.select("key", F.col("comp").alias("comp2"), F.col("doc").alias("b"), F.col("n").alias("nb"))
-    pairs = across.join(one, ["key", "comp"]).join(two, ["key", "comp2"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    # T-occurrence: T less the long lists must come from short ones.
-    total = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    long_lists = F.ceil(F.lit(percent) * F.greatest("na", "nb") / F.lit(100.0) - F.lit(1e-9)) - 1
-    pairs = cut(pairs.where(F.col("c") >= total - long_lists).select("a", "b"), "pairs")
-    more = cut(_probe(pairs, src, width, percent), "probed")
-    comp = components(cut(links.union(more), "links"))
+    sets = cut(named.select("key", "doc", "n").distinct(), "sets")
+    blocks = None
+    for turn in range(MOST_TURNS + 1):
+        open_sets = _open_sets(sets, comp)
+        if blocks is None:
+            blocks = _blocks(open_sets, components)
+            if blocks is None:
+                break
+        # The first turns try each set's likeliest partners in other components, which merges most of them; the last tries all that are left.
+        found = cut(_t_occurrence(open_sets, blocks, percent, None if turn == MOST_TURNS else turn), "pairs")
+        counted = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("a")).first()
+        if counted[0] > counted[1] and counted[0] <= FEW_PAIRS + 2 * counted[1]:
+            found, turn = cut(_t_occurrence(open_sets, blocks, percent, None), "pairs"), MOST_TURNS
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        links = cut(links.union(_probe(pairs, src, width, percent)), "links")
+        comp = components(links)
+        if turn == MOST_TURNS or counted[0] <= counted[1]:
+            break
 
     out = members.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
     out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
