@@ -10,9 +10,10 @@ partner must share, are long. So every partner appears in a short list.
 
 * Short lists are found by a shuffled, sorted stream over (member, set): runs of
   one member are consumed as they come, and lists of one set go.
-* Sets that share lists meet in bins, large bins in pairs of blocks of bounded
-  size; there the sorted short lists are merged, and candidates are sets that occur in
-  T - L of them, L the number of long ones.
+* Candidates are sets that occur together in T - L of the short lists, L the number of
+  long ones. Lists of at most ``SHORT_LIST`` sets are counted by key; sets that share
+  longer ones meet in bins, large bins in pairs of blocks of bounded size, where the
+  sorted lists are merged.
 * Candidates are probed: both whole sets are compared by binary search in sorted
   arrays, and pairs that reach T become links.
 * Only components are asked for, so each set first tries the leader of most of its
@@ -50,6 +51,8 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rows of one member's list that one task may hold in a run before the list is salted.
 RUN_ROWS = 4096
+#: Sets of a list whose pairs are counted one by one; longer lists are merged in blocks.
+SHORT_LIST = 32
 #: Sets of one block of the T-occurrence merge.
 BLOCK = 1024
 #: Turns that try each set's likeliest partners, partners a turn, and pairs so few that they are all tried at once.
@@ -252,6 +255,20 @@ def _probe(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _pairs_by_list(sets: DataFrame, hot_sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that lists of bounded length hold together, if with the long lists they may occur in T - L of all."""
+    rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    one = rows.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    two = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = one.join(two, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    long = hot_sets.groupBy("doc").agg(F.count("*").alias("h"))
+    pairs = pairs.join(long.select(F.col("doc").alias("a"), F.col("h").alias("ha")), "a", "left").join(long.select(F.col("doc").alias("b"), F.col("h").alias("hb")), "b", "left")
+    total = F.expr(f"({percent} * (na + nb) + {100 + percent} - 1) div {100 + percent}")
+    long_lists = F.expr(f"({percent} * greatest(na, nb) + 99) div 100") - 1
+    return pairs.where(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= total - long_lists).select("a", "b")
+
+
 def _open_sets(sets: DataFrame, comp: DataFrame) -> DataFrame:
     """(doc, n, comp, keys): of each set, the members whose short lists hold more than one component."""
     rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
@@ -319,19 +336,19 @@ def _merge_block(left: pa.Table, right: pa.Table, same: bool, percent: int, low:
     ns = [t.column("n").to_numpy().astype(np.int64) for t in (left, right)]
     comps = [t.column("comp").to_numpy() for t in (left, right)]
     width = right.num_rows
-    step = max(1, (4 << 20) // width)
+    step = max(1, (1 << 20) // width)
     xs, ys, cs = [], [], []
     for at in range(0, left.num_rows, step):
         lo, hi = np.searchsorted(l_row, [at, min(at + step, left.num_rows)])
         hits = np.zeros(min(step, left.num_rows - at) * width, np.int32)
-        for k in range(lo, hi, 4096):  # lists of a slice of members at a time
-            z = slice(k, min(k + 4096, hi))
+        for k in range(lo, hi, 256):  # lists of a slice of members at a time: 256 times a block at most
+            z = slice(k, min(k + 256, hi))
             count = last[z] - first[z]
             total = int(count.sum())
             if total:
                 base = np.repeat(first[z] - (np.cumsum(count) - count), count)
                 code = np.repeat(l_row[z] - at, count) * width + r_row[base + np.arange(total)]
-                hits += np.bincount(code, minlength=len(hits)).astype(np.int32)
+                np.add.at(hits, code, 1)
         found = np.flatnonzero(hits)
         x, y, c = found // width + at, found % width, hits[found]
         m, n = ns[0][x], ns[1][y]
@@ -387,9 +404,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     comp = components(links)
 
     sets = cut(named.select("key", "doc", "n").distinct(), "sets")
+    # Long ones among the short lists go to blocks; of the rest, bounded in length, pairs are counted by key.
+    hot = cut(sets.groupBy("key").count().where(F.col("count") > SHORT_LIST).select("key"), "hot")
+    hot_sets = cut(lane_join(sets, hot, ["key"], ["doc"]), "hot")
+    pairs = cut(_pairs_by_list(sets.join(hot, "key", "left_anti"), hot_sets, comp, percent), "pairs")
+    links = cut(links.union(_probe(pairs, src, width, percent)), "links")
+    comp = components(links)
     blocks = None
     for turn in range(MOST_TURNS + 1):
-        open_sets = _open_sets(sets, comp)
+        open_sets = _open_sets(hot_sets, comp)
         if blocks is None:
             blocks = _blocks(open_sets, components)
             if blocks is None:
