@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with v < u. Point neighbours at the least node of each neighbourhood."""
     both = edges.union(edges.select(F.col("v"), F.col("u"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    got = lane_join(both, least, ["u"], ["v"])
+    got = lane_join(both, least, ["u"], ["v"], 2)
     if large:
         out = got.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -48,3 +48,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def grow(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the links between known components are contracted, then names are mapped."""
+    of = lambda side, out: comp.select(F.col("node").alias(side), F.col("component").alias(out))
+    lifted = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    more = components(lifted.distinct())
+    renamed = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = more.join(comp.select("node"), "node", "left_anti").select("node", "component")
+    return cut(renamed.union(fresh), "components")

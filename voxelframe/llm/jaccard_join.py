@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, cut, lane_join, mix, slices, words_of
-from .components import components
+from .components import components, grow
 
 SHINGLE = 5
 PERCENT = 80
@@ -55,6 +55,8 @@ RUN_ROWS = 4096
 SHORT_LIST = 32
 #: Sets of one block of the T-occurrence merge.
 BLOCK = 1024
+#: Ids that a filter of texts may broadcast, at 8 bytes each.
+IDS_BROADCAST = 500_000
 #: Turns that try each set's likeliest partners, partners a turn, and pairs so few that they are all tried at once.
 MOST_TURNS, TRIES, FEW_PAIRS = 4, 2, 5000
 
@@ -249,9 +251,12 @@ def _probe(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], schema=schema)
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    # Whole texts meet here: several times the usual number of partitions keeps each task's share small.
+    pairs = cut(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # Only texts of the pairs are shuffled; the filter is a broadcast while its ids are few (checked), else a shuffled join.
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids, "doc_id", "left_semi")
+    one = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -396,20 +401,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     heads = named.where("salt > 0 and doc = leader").select("key", "doc", "n")
     chief = heads.groupBy("key").agg(F.min(F.struct("n", "doc")).alias("x")).select("key", F.col("x.doc").alias("leader"), F.col("x.n").alias("lead_n"))
     star = named.select("doc", "n", "leader", "lead_n").union(heads.join(chief, "key").select("doc", "n", "leader", "lead_n"))
-    star = star.where(f"doc <> leader and {fits}").groupBy("doc", "leader").agg(F.count("*").alias("c"))
-    # Each set's likeliest leader: one probe a set, so a group of copies costs its size.
-    star = star.groupBy("doc").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
+    t = F.expr(f"({percent} * (n + lead_n) + {100 + percent} - 1) div {100 + percent} - ({percent} * greatest(n, lead_n) + 99) div 100 + 1")
+    star = star.where(f"doc <> leader and {fits}").groupBy("doc", "leader").agg(F.count("*").alias("c"), F.max(t).alias("t"))
+    # Each set's likeliest leader, if likely at all: one probe a set, so a group of copies costs its size.
+    star = star.where(F.col("c") >= F.col("t")).groupBy("doc").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
     links = cut(_probe(star.select(F.col("doc").alias("a"), F.col("leader").alias("b")), src, width, percent), "probed")
-    links = links.union(tied)
-    comp = components(links)
+    comp = components(links.union(tied))
 
     sets = cut(named.select("key", "doc", "n").distinct(), "sets")
     # Long ones among the short lists go to blocks; of the rest, bounded in length, pairs are counted by key.
     hot = cut(sets.groupBy("key").count().where(F.col("count") > SHORT_LIST).select("key"), "hot")
     hot_sets = cut(lane_join(sets, hot, ["key"], ["doc"]), "hot")
     pairs = cut(_pairs_by_list(sets.join(hot, "key", "left_anti"), hot_sets, comp, percent), "pairs")
-    links = cut(links.union(_probe(pairs, src, width, percent)), "links")
-    comp = components(links)
+    comp = grow(comp, cut(_probe(pairs, src, width, percent), "probed"))
+    hot_texts = cut(src.join(hot_sets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     blocks = None
     for turn in range(MOST_TURNS + 1):
         open_sets = _open_sets(hot_sets, comp)
@@ -423,8 +428,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
         if counted[0] > counted[1] and counted[0] <= FEW_PAIRS + 2 * counted[1]:
             found, turn = cut(_t_occurrence(open_sets, blocks, percent, None), "pairs"), MOST_TURNS
         pairs = found.where("a is not null").select("a", "b").distinct()
-        links = cut(links.union(_probe(pairs, src, width, percent)), "links")
-        comp = components(links)
+        comp = grow(comp, cut(_probe(pairs, hot_texts, width, percent), "probed"))
         if turn == MOST_TURNS or counted[0] <= counted[1]:
             break
 
