@@ -612,7 +612,7 @@ def f3_normalised_smoothing(spark, d):
     return _rounded(spatial.smooth(volume(v, 0), KERNEL, brain(v)))
 
 
-AFFINE = (0.5137, -0.2519, 0.3041, 0.0523, 0.0117, 0.0, -0.0211, 0.0307, 0.0, 0.0, 0.0113, -0.0419)
+AFFINE = (0.51372917, -0.25193171, 0.30412739, 0.05231713, 0.01171937, 0.0, -0.02113117, 0.03073191, 0.0, 0.0, 0.01131797, -0.04191737)
 
 
 def gather_sql(places: str, taps: int = 2) -> str:
