@@ -432,10 +432,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
         if turn == MOST_TURNS or counted[0] <= counted[1]:
             break
 
-    out = members.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    ranked = classes.select("f1", "f2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
+    linked = lane_join(members.where("n > 0 and doc_id is not null"), ranked, ["f1", "f2", "n"], ["doc_id"])
+    alone = members.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    return linked.select(*names).union(alone.select(*names))
 
 
 def strays(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
