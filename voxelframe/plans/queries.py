@@ -612,7 +612,8 @@ def f3_normalised_smoothing(spark, d):
     return _rounded(spatial.smooth(volume(v, 0), KERNEL, brain(v)))
 
 
-AFFINE = (0.51372917, -0.25193171, 0.30412739, 0.05231713, 0.01171937, 0.0, -0.02113117, 0.03073191, 0.0, 0.0, 0.01131797, -0.04191737)
+#: Multiples of pi / 3, so that no result lies on a rounding tie.
+AFFINE = tuple(k * np.pi / 3 for k in (0.51, -0.25, 0.3, 0.05, 0.01, 0.0, -0.02, 0.03, 0.0, 0.0, 0.01, -0.04))
 
 
 def gather_sql(places: str, taps: int = 2) -> str:
