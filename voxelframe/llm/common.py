@@ -158,8 +158,8 @@ class Rolling:
 # ---------------------------------------------------------------- joins that skew can't hurt
 
 
-def lane_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], lanes: int = 4) -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has one row a key, for keys that may hold a large share of all rows.
+def lane_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], lanes: int = 4, how: str = "inner") -> DataFrame:
+    """Join of ``many`` with ``one``, which has one row a key, for keys that may hold a large share of all rows.
 
     ``many`` is dealt by key and a lane hashed from ``by``; ``one`` is repeated
     for each lane. The deal differs from that of the aggregation that made
@@ -168,4 +168,4 @@ def lane_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], l
     """
     left = many.withColumn("__lane", F.pmod(F.xxhash64(*by), F.lit(lanes)).cast("int"))
     right = one.withColumn("__lane", F.explode(F.array(*(F.lit(k) for k in range(lanes)))))
-    return left.join(right, [*keys, "__lane"]).drop("__lane")
+    return left.join(right, [*keys, "__lane"], how).drop("__lane")

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lane_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH = 3
 LONG_SEGMENT = 32
@@ -81,7 +83,7 @@ def _crowded(rows: DataFrame, depth: int) -> DataFrame:
     parent, child = F.slice("seg", 1, depth), F.get("seg", depth)
     kids = rows.where((F.size("seg") > depth) & (child != "*")).select("host", parent.alias("parent"), child.alias("child")).distinct()
     wide = kids.groupBy("host", "parent").count().where(F.col("count") > MOST_SIBLINGS).select("host", "parent", F.lit(True).alias("wide"))
-    rows = rows.withColumn("parent", parent).join(wide, ["host", "parent"], "left")
+    rows = lane_join(rows.withColumn("parent", parent), wide, ["host", "parent"], ["page_id", "path"], how="left")
     tail = F.slice("seg", depth + 2, F.lit(DEPTH + 2))
     swap = F.concat(F.col("parent"), F.array(F.lit("*")), tail)
     return rows.withColumn("seg", F.when(F.col("wide") & (F.size("seg") > depth), swap).otherwise(F.col("seg"))).drop("parent", "wide")
@@ -120,6 +122,6 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url: str = "ur
     overall = rows.agg(F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()[0]
     smoothed = (F.col("bad") + STRENGTH * overall) / (F.col("labelled") + STRENGTH)
     rejected = tree.where((F.col("labelled") > 0) & (smoothed >= REJECT)).select("host", "seg", F.lit(True).alias("rejected"))
-    open_rows = rows.where("rule is null").join(rejected, ["host", "seg"], "left")
+    open_rows = lane_join(rows.where("rule is null"), rejected, ["host", "seg"], ["page_id", "path"], how="left")
     own = F.when(F.col("rejected"), "block").otherwise("allow")
     return open_rows.select("page_id", "host", "path", "rule", own.alias("verdict")).union(rows.where("rule is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict")))
