@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 80_000
 MEMO_CHARS = 64
 SHORT = 48
 

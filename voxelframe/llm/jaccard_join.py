@@ -162,7 +162,7 @@ def _short_rows(docs: DataFrame, counts, width: int, percent: int, bits: int) ->
                 fresh = np.zeros(len(n), bool)
                 for r, name in enumerate(f1.tolist()):
                     if n[r] and name not in met:
-                        if len(met) > 500_000:
+                        if len(met) > 100_000:
                             met.clear()
                         met.add(name)
                         fresh[r] = True
