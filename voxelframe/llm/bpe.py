@@ -31,7 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 80_000
+from .common import claim
+
+#: Remembered runs between white space, and remembered words.
+MEMO_CHUNKS, MEMO_WORDS = 200_000, 200_000
 MEMO_CHARS = 64
 SHORT = 48
 
@@ -147,7 +150,7 @@ class Bpe:
             symbols[-1] += self.suffix
             got = tuple(chain.from_iterable(map(self._merge_fragment, self.fragments(symbols))))
             if len(word) <= MEMO_CHARS:
-                if len(memo) >= MEMO_ENTRIES:
+                if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 memo[word] = got
         return got
@@ -159,7 +162,7 @@ class Bpe:
         if got is None:
             got = tuple(chain.from_iterable(map(self.word_ids, self.word.findall(chunk))))
             if len(chunk) <= MEMO_CHARS:
-                if len(memo) >= MEMO_ENTRIES:
+                if len(memo) >= MEMO_CHUNKS:
                     memo.clear()
                 memo[chunk] = got
         return got
@@ -218,6 +221,7 @@ _LOADED: dict[str, Bpe] = {}
 
 def loaded(path: str) -> Bpe:
     """One encoder for each worker process and file."""
+    claim("bpe", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]

@@ -43,6 +43,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# ---------------------------------------------------------------- what worker processes keep between tasks
+
+_KEPT: dict = {}
+
+
+def claim(owner: str, release=None) -> None:
+    """Called where an operator's work starts in a worker process: drops what other operators keep there. ``release`` drops the owner's own."""
+    for name in [k for k in _KEPT if k != owner]:
+        _KEPT.pop(name)()
+    if release is not None:
+        _KEPT[owner] = release
+
+
 # ---------------------------------------------------------------- words in numpy
 
 _U = np.uint64

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, lane_join, mix, slices, words_of
+from .common import Rolling, claim, cut, lane_join, mix, slices, words_of
 from .components import components, grow
 
 SHINGLE = 5
@@ -103,6 +103,7 @@ def _survey(docs: DataFrame, width: int, bits: int) -> DataFrame:
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
 
     def run(batches):
+        claim("jaccard_join")
         counts, seen = np.zeros(1 << bits, np.int64), False
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
@@ -153,6 +154,7 @@ def _short_rows(docs: DataFrame, counts, width: int, percent: int, bits: int) ->
     schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("f1", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
+        claim("jaccard_join")
         frequency, met = counts.value, set()
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
