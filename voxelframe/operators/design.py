@@ -90,4 +90,4 @@ def partition(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.linalg.inv(x.T @ x)
     w1 = x @ d @ c.T @ np.linalg.inv(c @ d @ c.T)
     cv = null - c.T @ np.linalg.inv(c @ d @ c.T) @ c @ d @ null
-    return w1, x @ cv
+    return w1, x @ d @ cv @ np.linalg.inv(cv.T @ d @ cv)
