@@ -126,8 +126,8 @@ def test_topk(spark):
     whole = {i: [int(np.floor(64 * e)) for e in x] for i, x in rows if i is not None and x and len(x) == 6 and all(e is not None and np.isfinite(e) for e in x)}
     for q in [i for i in whole if i % 20 == 0]:
         clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:7]
-        assert sorted(got[q]) == [(k + 1, i, clip(-s)) for k, (s, i) in enumerate(best)]
+        best = sorted(((-clip(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q))[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
 def test_url_filter(spark):

@@ -77,7 +77,7 @@ def _exact(q: np.ndarray, vectors: np.ndarray, safe: bool) -> np.ndarray:
     if safe:
         return vectors @ q
     whole = [int(x) for x in q]
-    return np.array([sum(a * int(b) for a, b in zip(whole, v)) for v in vectors], object)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(whole, v)))) for v in vectors], object)
 
 
 def search_block(q_ids, queries, ids, vectors, k: int, bits: int = CELL_BITS, reads: list | None = None):
@@ -99,7 +99,7 @@ def search_block(q_ids, queries, ids, vectors, k: int, bits: int = CELL_BITS, re
                 continue
             up, low = upper[i][other] + slack, lower[i][other] - slack
             floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            could = np.flatnonzero(up >= floor)
+            could = np.flatnonzero(up >= min(floor, 2.0**63))
             could = could[np.argsort(-up[could], kind="stable")]
             got_s, got_v, step, done = np.zeros(0, np.float64 if safe else object), np.zeros(0, np.int64), max(64, 2 * k), 0
             while done < len(could):
@@ -116,7 +116,7 @@ def search_block(q_ids, queries, ids, vectors, k: int, bits: int = CELL_BITS, re
                 reads.append(done)
             out_q += [qid] * len(got_s)
             out_v += got_v.tolist()
-            out_s += [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in got_s]
+            out_s += [int(s) for s in got_s]
     return out_q, out_v, out_s
 
 
