@@ -180,9 +180,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     rows = rows.join(copies, ["doc_id", "th"], "left").select("doc_id", "th", "text", "copy")
     found = anchor_rows(rows, window)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    keys = lane_join(found, shared, ["key"], ["doc_id"]).groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
+    keys = lane_join(found, shared, ["key"], ["doc_id"], 2).groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
     wins = window_rows(rows.join(keys, ["doc_id", "th"], "left").select("doc_id", "th", "text", "keys"), window)
     first = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    hits = lane_join(wins, first, ["h1", "h2"], ["doc_id"]).where("doc_id > low").select("doc_id", "th", "at").distinct()
+    hits = lane_join(wins, first.select("h1", "h2", "low"), ["h1", "h2"], ["doc_id"], 2).where("doc_id > low").select("doc_id", "th", "at").distinct()
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list("at").alias("hits"))
     return kept_rows(rows.join(hits, ["doc_id", "th"], "left").select("doc_id", "th", "text", "copy", "hits"), window, text_out)
