@@ -6,8 +6,8 @@ source's size, and the excess is reshared by weight until none is above. That
 fixed point is computed in closed form: sources in order of limit over weight,
 running sums of the capped ones, and the first level that the next source does
 not stop at. The repetition rate is target / size; each document is taken
-floor(rate) times plus one Bernoulli copy drawn from a seeded hash of its id and
-text, so reruns, retries and other partitionings agree.
+floor(rate) times plus one Bernoulli copy drawn from a seeded hash of its id, so
+reruns, retries and other partitionings agree.
 
 The only shuffles are the aggregation by source (map-side combine) and a
 numbering of the sources. Rates come back to the rows by a broadcast when the

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, site_bayes, substring_dedup, topk_search, url_filter
 from .common import documents
+from .oracle import SQL  # noqa: F401
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,5 +61,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_bpe, op3_topk_search, op4_url_filter, op5_jaccard_join, op6_mixing, op7_quality_rules, op8_site_bayes, op9_sharding, op10_line_dedup)
 }
-
-SQL: dict[str, str] = {}
