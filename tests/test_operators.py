@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelframe.operators import design, glm, grid, learning, permutation, registration, spatial, temporal
-from voxelframe.plans.queries import QUERIES, SQL
+from voxelframe.plans.further import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 

@@ -91,3 +91,20 @@ def partition(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w1 = x @ d @ c.T @ np.linalg.inv(c @ d @ c.T)
     cv = null - c.T @ np.linalg.inv(c @ d @ c.T) @ c @ d @ null
     return w1, x @ d @ cv @ np.linalg.inv(cv.T @ d @ cv)
+
+
+def with_nuisance(x: np.ndarray, c: np.ndarray, *blocks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The design with nuisance columns (trends, motion, global mean) appended, and contrasts padded with zeros for them."""
+    blocks = [np.asarray(b, float).reshape(len(x), -1) for b in blocks if b is not None]
+    c = np.atleast_2d(c)
+    return np.column_stack([x, *blocks]), np.pad(c, ((0, 0), (0, sum(b.shape[1] for b in blocks))))
+
+
+def run_blocks(per_run: list[np.ndarray]) -> np.ndarray:
+    """Regressors of each run in columns of their own, zero in the other runs."""
+    out = np.zeros((sum(len(b) for b in per_run), sum(b.shape[1] for b in per_run)))
+    t = k = 0
+    for b in per_run:
+        out[t : t + len(b), k : k + b.shape[1]] = b
+        t, k = t + len(b), k + b.shape[1]
+    return out

@@ -133,3 +133,22 @@ def cochrane_orcutt(df: DataFrame, x: np.ndarray, c: np.ndarray, times: int, ite
             yield pd.DataFrame({**{k: pdf[k] for k in VOXEL}, "cope": b @ c, "stat": stat})
 
     return packed.mapInPandas(run, "x int, y int, z int, cope double, stat double")
+
+
+def voxel_betas(df: DataFrame, x: np.ndarray, ar: DataFrame, invalid: int = 4) -> DataFrame:
+    """(x, y, z, b0, ...): betas of data and design whitened by the voxel's own AR coefficients, without the first volumes."""
+    r = x.shape[1]
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ys, a = np.array(pdf["ys"].tolist()), pdf[["a1", "a2", "a3", "a4"]].to_numpy(float)
+            wy, wx = ys.copy(), np.repeat(x[None], len(ys), axis=0).astype(float)
+            for k in range(1, 5):
+                wy[:, k:] -= a[:, k - 1, None] * ys[:, :-k]
+                wx[:, k:] -= a[:, k - 1, None, None] * x[None, :-k]
+            b = np.einsum("vrt,vt->vr", np.linalg.pinv(wx[:, invalid:]), wy[:, invalid:])
+            yield pd.DataFrame({**{k: pdf[k] for k in VOXEL}, **{f"b{k}": b[:, k] for k in range(r)}})
+
+    return pack(df).join(ar, VOXEL).mapInPandas(run, "x int, y int, z int" + "".join(f", b{k} double" for k in range(r)))

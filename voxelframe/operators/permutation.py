@@ -126,3 +126,57 @@ def significance_level(null: DataFrame, alpha: float = 0.05) -> DataFrame:
     """The sorted null's entry at round((1 - alpha) P), counted from 1."""
     packed = null.agg(F.sort_array(F.collect_list("max_stat")).alias("null"))
     return packed.select(F.element_at("null", F.round(F.size("null") * (1 - alpha)).cast("int")).alias("level"))
+
+
+# ------------------------------------------------------------------ first level
+
+
+def first_level_t(ys: np.ndarray, x: np.ndarray, c: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """voxels x permutations: t of contrast c on permuted series; variance of the residuals around their mean, over T - 1."""
+    p, s = pseudo_inverse(x), t_scalar(x, c)
+    out = np.empty((len(ys), len(perms)))
+    for k, perm in enumerate(perms):
+        b = ys[:, perm] @ p.T
+        var = (ys[:, perm] - b @ x.T).var(axis=1, ddof=1)
+        out[:, k] = np.where(var > 1e-12, (b @ c) / np.sqrt(np.maximum(var, 1e-300) * s), 0.0)
+    return out
+
+
+def first_level_f(ys: np.ndarray, x: np.ndarray, c: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """As :func:`first_level_t`, for the F of contrast rows c."""
+    from .design import f_matrix
+
+    c = np.atleast_2d(c)
+    p, m = pseudo_inverse(x), f_matrix(x, c)
+    out = np.empty((len(ys), len(perms)))
+    for k, perm in enumerate(perms):
+        b = ys[:, perm] @ p.T
+        var = (ys[:, perm] - b @ x.T).var(axis=1, ddof=1)
+        cb = b @ c.T
+        out[:, k] = np.where(var > 1e-12, np.einsum("vi,ij,vj->v", cb, m, cb) / np.maximum(var * len(c), 1e-300), 0.0)
+    return out
+
+
+def recolour(white: np.ndarray, ar: np.ndarray) -> np.ndarray:
+    """Series with AR coefficients ``ar`` (voxels x order) from white ones: y[t] = sum of a_k y[t - k] + w[t]."""
+    y = np.zeros_like(white)
+    for t in range(white.shape[1]):
+        y[:, t] = white[:, t] + sum(ar[:, k - 1] * y[:, t - k] for k in range(1, min(ar.shape[1], t) + 1))
+    return y
+
+
+def exchangeable_null(white: DataFrame, ar: DataFrame, x: np.ndarray, c: np.ndarray, perms: np.ndarray, order: int = 4) -> DataFrame:
+    """(p, max_stat) of first-level t: whitened residuals are permuted, coloured again by their voxel's coefficients, and fitted."""
+    packed = pack(white).join(ar, VOXEL).select("ys", *(f"a{k}" for k in range(1, order + 1)))
+
+    def run(batches):
+        best = np.full(len(perms), -np.inf)
+        for pdf in batches:
+            if len(pdf):
+                w, a = np.array(pdf["ys"].tolist()), pdf[[f"a{k}" for k in range(1, order + 1)]].to_numpy(float)
+                for k, perm in enumerate(perms):
+                    best[k] = max(best[k], first_level_t(recolour(w[:, perm], a), x, c, np.arange(w.shape[1])[None]).max())
+        if np.isfinite(best).all():
+            yield pd.DataFrame({"p": np.arange(len(perms), dtype=np.int32), "max_stat": best})
+
+    return packed.mapInPandas(run, "p int, max_stat double").groupBy("p").agg(F.max("max_stat").alias("max_stat"))

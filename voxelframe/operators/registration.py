@@ -36,11 +36,11 @@ def quadrature_filters(size: int = 7, directions=((1, 0, 0), (0, 1, 0), (0, 0, 1
 def filter_volume(vol: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Zero-padded 'same' convolution of (z, y, x) with each filter."""
     shape = [a + b - 1 for a, b in zip(vol.shape, filters.shape[1:])]
-    spec = np.fft.fftn(vol, shape)
+    spec = np.fft.fftn(vol, shape, (0, 1, 2))
     h = [k // 2 for k in filters.shape[1:]]
     out = []
     for f in filters:
-        full = np.fft.ifftn(spec * np.fft.fftn(f, shape))
+        full = np.fft.ifftn(spec * np.fft.fftn(f, shape, (0, 1, 2)))
         out.append(full[h[0] : h[0] + vol.shape[0], h[1] : h[1] + vol.shape[1], h[2] : h[2] + vol.shape[2]])
     return np.stack(out)
 
@@ -233,3 +233,158 @@ def motion_correct(df: DataFrame, size: tuple[int, int, int], reference: DataFra
 def motion_lines(p) -> str:
     """One line of the parameter file: columns 4, -3, 5, -2, -0, -1."""
     return " ".join(f"{s * p[k]:.6f}" for s, k in ((1, 4), (-1, 3), (1, 5), (-1, 2), (-1, 0), (-1, 1)))
+
+
+def scaling(factors) -> np.ndarray:
+    """Affine parameters that magnify by ``factors``: source places shrink by their inverse."""
+    return from_matrix(np.diag([*(1 / np.asarray(factors, float)), 1.0]))
+
+
+# ------------------------------------------------------------------ filtering and structure tensors
+
+_G = (1 + 5**0.5) / 2
+#: Six directions through the vertices of an icosahedron.
+SIX = np.array([(1, 0, _G), (-1, 0, _G), (_G, 1, 0), (_G, -1, 0), (0, _G, 1), (0, _G, -1)]) / np.sqrt(1 + _G**2)
+
+
+def projection_tensors(directions=SIX) -> np.ndarray:
+    """(filter, 3, 3): the dual tensors 5/4 n n' - 1/4 I."""
+    n = np.asarray(directions, float)
+    return 1.25 * n[:, :, None] * n[:, None, :] - 0.25 * np.eye(3)
+
+
+def filter_series(df: DataFrame, size: tuple[int, int, int], filters: np.ndarray) -> DataFrame:
+    """(t, x, y, z, f, re, im): every volume's responses; a volume is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vol = np.zeros(size[::-1])
+        vol[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
+        q = filter_volume(vol, filters)
+        f, z, y, x = (g.ravel().astype(np.int32) for g in np.meshgrid(*(np.arange(n) for n in q.shape), indexing="ij"))
+        return pd.DataFrame({"t": np.int32(pdf["t"].iloc[0]), "x": x, "y": y, "z": z, "f": f, "re": q.real.ravel(), "im": q.imag.ravel()})
+
+    return df.groupBy("t").applyInPandas(run, "t int, x int, y int, z int, f int, re double, im double")
+
+
+_PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+
+
+def _table(values: np.ndarray) -> Column:
+    """A constant for each filter, picked by column f."""
+    return F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.col("f") + 1)
+
+
+def structure_tensor(responses: DataFrame, directions=SIX) -> DataFrame:
+    """(t, x, y, z, t11 .. t33): magnitudes times projection tensors, summed over filters."""
+    m = projection_tensors(directions)
+    size = F.hypot("re", "im")
+    return responses.groupBy("t", *VOXEL).agg(*(F.sum(size * _table(m[:, i, j])).alias(f"t{i + 1}{j + 1}") for i, j in _PAIRS))
+
+
+def field_equations(pairs: DataFrame, directions=SIX) -> DataFrame:
+    """(x, y, z, a11 .. a33, h1 .. h3) over rows (x, y, z, f, re1, im1, re2, im2, t11 .. t33): sums over filters of c T T and c d T T n."""
+    n = np.asarray(directions, float)
+    re, im = F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2"), F.col("im1") * F.col("re2") - F.col("re1") * F.col("im2")
+    rows = pairs.withColumn("d", F.atan2(im, re)).withColumn("c", F.sqrt(F.hypot(re, im)) * F.cos(F.col("d") / 2) ** 2)
+    t = lambda i, j: F.col(f"t{min(i, j) + 1}{max(i, j) + 1}")
+    square = {(i, j): t(i, 0) * t(0, j) + t(i, 1) * t(1, j) + t(i, 2) * t(2, j) for i in range(3) for j in range(3)}
+    a = [F.sum(F.col("c") * square[i, j]).alias(f"a{i + 1}{j + 1}") for i, j in _PAIRS]
+    h = [F.sum(F.col("c") * F.col("d") * sum(square[i, j] * _table(n[:, j]) for j in range(3))).alias(f"h{i + 1}") for i in range(3)]
+    return rows.groupBy(*VOXEL).agg(*a, *h)
+
+
+# ------------------------------------------------------------------ several scales
+
+
+def shrink(vol: np.ndarray, times: int) -> np.ndarray:
+    """Halved ``times`` times: means of 2 x 2 x 2 cells, the edge repeated where a size is odd."""
+    for _ in range(times):
+        vol = np.pad(vol, [(0, n % 2) for n in vol.shape], mode="edge")
+        vol = vol.reshape(vol.shape[0] // 2, 2, vol.shape[1] // 2, 2, vol.shape[2] // 2, 2).mean(axis=(1, 3, 5))
+    return vol
+
+
+def align_scales(moving: np.ndarray, fixed: np.ndarray, filters: np.ndarray, scales: int = 3, iterations: int = 10, kind: str = "affine") -> np.ndarray:
+    """Affine parameters from the coarsest of ``scales`` (each half the next) to the full grid."""
+    p = np.zeros(12)
+    for k in range(scales - 1, -1, -1):
+        small, target = shrink(moving, k), shrink(fixed, k)
+        if min(target.shape) >= 2:
+            p = compose(p, align(resample(small, p), target, filters, iterations, kind))
+        if k:
+            p = next_scale(p)
+    return rigid(p) if kind == "rigid" else p
+
+
+def warp(vol: np.ndarray, field: np.ndarray) -> np.ndarray:
+    """Trilinear values of (z, y, x) at v + u(v); field: (3, z, y, x) of x, y and z displacements; the edge repeats."""
+    z, y, x = np.meshgrid(*(np.arange(n, dtype=float) for n in vol.shape), indexing="ij")
+    s = [np.clip(g + u, 0, n - 1) for g, u, n in zip((x, y, z), field, vol.shape[::-1])]
+    i = [np.minimum(np.floor(g).astype(int), max(n - 2, 0)) for g, n in zip(s, vol.shape[::-1])]
+    f = [g - k for g, k in zip(s, i)]
+    out = np.zeros(vol.shape)
+    for o in np.ndindex(2, 2, 2):
+        w = np.prod([f[k] if o[k] else 1 - f[k] for k in range(3)], axis=0)
+        at = [np.minimum(i[k] + o[k], n - 1) for k, n in enumerate(vol.shape[::-1])]
+        out += w * vol[at[2], at[1], at[0]]
+    return out
+
+
+def blur(vol: np.ndarray, sigma: float) -> np.ndarray:
+    """Normalised Gaussian smoothing of the last three axes."""
+    for axis in (-3, -2, -1):
+        n = vol.shape[axis]
+        k = np.exp(-(np.subtract.outer(np.arange(n), np.arange(n)) ** 2) / (2 * sigma**2))
+        vol = np.moveaxis(np.moveaxis(vol, axis, -1) @ (k / k.sum(axis=1, keepdims=True)).T, -1, axis)
+    return vol
+
+
+def align_field(moving: np.ndarray, fixed: np.ndarray, filters: np.ndarray, directions=SIX, scales: int = 2, iterations: int = 5, sigma: float = 5.0) -> np.ndarray:
+    """Displacements (3, z, y, x) that bring ``moving`` to ``fixed``: tensor-weighted phase differences, Gaussian-regularised, coarse to fine."""
+    n, m = np.asarray(directions, float), projection_tensors(directions)
+    field = None
+    for k in range(scales - 1, -1, -1):
+        small, target = shrink(moving, k), shrink(fixed, k)
+        if field is None:
+            field = np.zeros((3, *target.shape))
+        else:
+            up = [np.minimum(np.arange(s) // 2, f - 1) for s, f in zip(target.shape, field.shape[1:])]
+            field = 2 * field[np.ix_(range(3), *up)]
+        q1 = filter_volume(target, filters)
+        for _ in range(iterations):
+            q2 = filter_volume(warp(small, field), filters)
+            t = blur(np.einsum("fzyx,fij->ijzyx", np.abs(q2), m), 1.0)
+            t = t / max(np.sqrt((t**2).sum(axis=(0, 1))).max(), 1e-12)
+            square = np.einsum("ikzyx,kjzyx->ijzyx", t, t)
+            prod = q1 * np.conj(q2)
+            diff = np.angle(prod)
+            c = np.sqrt(np.abs(prod)) * np.cos(diff / 2) ** 2
+            a = blur(np.einsum("fzyx,ijzyx->ijzyx", c, square), sigma)
+            h = blur(np.einsum("fzyx,fzyx,ijzyx,fj->izyx", c, diff, square, n), sigma)
+            a = np.moveaxis(a, (0, 1), (-2, -1))
+            a = a + np.eye(3) * (1e-3 * np.trace(a, axis1=-2, axis2=-1)[..., None, None] + 1e-12)
+            field = field + blur(np.moveaxis(np.linalg.solve(a, np.moveaxis(h, 0, -1)[..., None])[..., 0], -1, 0), sigma / 5)
+    return field
+
+
+def register_images(df: DataFrame, reference: DataFrame, size: tuple[int, int, int], linear: bool = True, scales: int = 3, iterations: int = 10, field_iterations: int = 5, filter_size: int = 7, sigma: float = 5.0) -> DataFrame:
+    """(t, x, y, z, v, ux, uy, uz): every image t brought to one reference, first by an affine, then by a displacement field; images are independent groups."""
+    ref = reference.select(*VOXEL, "v").toPandas()  # one volume: bounded
+    fixed = np.zeros(size[::-1])
+    fixed[ref["z"], ref["y"], ref["x"]] = ref["v"]
+    three, six = quadrature_filters(filter_size), quadrature_filters(filter_size, SIX)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vol = np.zeros(size[::-1])
+        vol[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
+        z, y, x = np.meshgrid(*(np.arange(n) for n in size[::-1]), indexing="ij")
+        p = align_scales(vol, fixed, three, scales, iterations) if linear else np.zeros(12)
+        u = align_field(resample(vol, p), fixed, six, SIX, min(scales, 2), field_iterations, sigma) if field_iterations else np.zeros((3, *vol.shape))
+        # One displacement for both steps: the affine at the places that the field names.
+        c, mat = [(n - 1) / 2 for n in size], np.asarray(p[3:]).reshape(3, 3)
+        s = [g + d for g, d in zip((x, y, z), u)]
+        total = np.stack([u[r] + p[r] + sum(mat[r, j] * (s[j] - c[j]) for j in range(3)) for r in range(3)])
+        out = warp(vol, total)
+        return pd.DataFrame({"t": np.int32(pdf["t"].iloc[0]), **{k: g.ravel().astype(np.int32) for k, g in zip("xyz", (x, y, z))}, "v": out.ravel(), **{f"u{k}": total[r].ravel() for r, k in enumerate("xyz")}})
+
+    return df.groupBy("t").applyInPandas(run, "t int, x int, y int, z int, v double, ux double, uy double, uz double")

@@ -65,20 +65,17 @@ def gather(source: DataFrame, targets: DataFrame, size: tuple[int, int, int], mo
     A target makes 1, 8 or 64 weighted taps, joined by cell and summed.
     """
     t = targets.select(*VOXEL, *(_clamp(F.col(f"s{k}"), n).alias(f"s{k}") for k, n in zip(VOXEL, size)))
-    taps = []
     if mode == "nearest":
-        taps = [F.struct(*(F.floor(F.col(f"s{k}") + 0.5).cast("int").alias(f"i{k}") for k in VOXEL), F.lit(1.0).alias("w"))]
+        rows = t.select(*VOXEL, *(F.floor(F.col(f"s{k}") + 0.5).cast("int").alias(f"i{k}") for k in VOXEL), F.lit(1.0).alias("w"))
     else:
-        f = {k: F.floor(f"s{k}").cast("int") for k in VOXEL}
-        d = {k: F.col(f"s{k}") - F.floor(f"s{k}") for k in VOXEL}
-        steps = {k: [(0, 1 - d[k]), (1, d[k])] if mode == "linear" else list(zip((-1, 0, 1, 2), bspline(d[k]))) for k in VOXEL}
-        inside = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
-        for ox, wx in steps["x"]:
-            for oy, wy in steps["y"]:
-                for oz, wz in steps["z"]:
-                    cells = [inside(f[k] + o, n).alias(f"i{k}") for k, o, n in zip(VOXEL, (ox, oy, oz), size)]
-                    taps.append(F.struct(*cells, (wx * wy * wz).alias("w")))
-    rows = t.select(*VOXEL, F.inline(F.array(*taps)))
+        # One axis after the other: 2 or 4 taps each, so that the generated code stays small.
+        rows = t
+        for k, n in zip(VOXEL, size):
+            d = F.col(f"s{k}") - F.floor(f"s{k}")
+            taps = [(0, 1 - d), (1, d)] if mode == "linear" else list(zip((-1, 0, 1, 2), bspline(d)))
+            cell = lambda o, k=k, n=n: F.least(F.greatest(F.floor(f"s{k}").cast("int") + o, F.lit(0)), F.lit(n - 1))
+            rows = rows.select("*", F.inline(F.array(*(F.struct(cell(o).alias(f"i{k}"), w.alias(f"w{k}")) for o, w in taps))))
+        rows = rows.select(*VOXEL, "ix", "iy", "iz", (F.col("wx") * F.col("wy") * F.col("wz")).alias("w"))
     src = source.select(*(F.col(k).alias(f"i{k}") for k in VOXEL), "v")
     return rows.join(src, ["ix", "iy", "iz"]).groupBy(*VOXEL).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
@@ -179,3 +176,11 @@ def tfce(df: DataFrame, levels: list[float], width: int, height: int, dh: float
         part = lab.join(cluster_stats(lab).select("cluster", "size"), "cluster").select(*VOXEL, (F.sqrt("size") * h * h * dh).alias("v"))
         parts = part if parts is None else parts.union(part)
     return parts.groupBy(*VOXEL).agg(F.sum("v").alias("v"))
+
+
+def centre_mass(df: DataFrame, size: tuple[int, int, int], mode: str = "linear") -> DataFrame:
+    """The volume moved so that its centre of mass lies in the middle of the grid."""
+    total = F.sum("v")
+    centre = df.agg(*((F.sum(F.col(k) * F.col("v")) / total).alias(f"m{k}") for k in VOXEL))
+    places = df.select(*VOXEL).join(F.broadcast(centre))  # one row
+    return gather(df, places.select(*VOXEL, *((F.col(k) + F.col(f"m{k}") - (n - 1) / 2).alias(f"s{k}") for k, n in zip(VOXEL, size))), size, mode)

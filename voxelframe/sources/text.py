@@ -99,3 +99,55 @@ def concatenate_runs(df: DataFrame, lengths: dict[int, int]) -> DataFrame:
         offset += [F.lit(run), F.lit(total)]
         total += lengths[run]
     return df.withColumn("t", F.col("t") + F.create_map(*offset)[F.col("run")])
+
+
+def output_name(path: str, suffix: str, given: str | None = None) -> str:
+    """The input's name with a suffix before its first dot (of the last path part), unless a name is given."""
+    if given:
+        return given
+    folder, slash, name = path.rpartition("/")
+    stem, dot, rest = name.partition(".")
+    return f"{folder}{slash}{stem}{suffix}{dot}{rest}"
+
+
+def motion(path: str, times: int | None = None) -> np.ndarray:
+    """T x 6 motion regressors."""
+    x = np.loadtxt(path, ndmin=2)
+    if x.shape[1] != 6 or (times is not None and len(x) != times):
+        raise ValueError(f"{path}: {times or 'T'} x 6 values expected, {x.shape} found")
+    return x
+
+
+def matrix_columns(spark: SparkSession, path: str) -> DataFrame:
+    """(regressor, t, value) of a design file whose numbers follow a ``/Matrix`` line."""
+    with open(path) as f:
+        lines = [x.strip() for x in f]
+    if "/Matrix" not in lines:
+        raise ValueError(f"{path}: no /Matrix line")
+    rows = [list(map(float, x.split())) for x in lines[lines.index("/Matrix") + 1 :] if x]
+    return spark.createDataFrame([(j, t, v) for t, row in enumerate(rows) for j, v in enumerate(row)], "regressor int, t int, value double")
+
+
+def write_design(path: str, x: np.ndarray) -> None:
+    """Six decimals, two spaces after each."""
+    with open(path, "w") as f:
+        f.writelines("".join(f"{v:.6f}  " for v in row) + "\n" for row in np.atleast_2d(x))
+
+
+def write_distribution(null: DataFrame, path: str, value: str = "max_stat") -> None:
+    """A null distribution as text, one value a line, in order of its permutations."""
+    null.orderBy("p").select(F.col(value).cast("string")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def displacement(ux: DataFrame, uy: DataFrame, uz: DataFrame) -> DataFrame:
+    """(x, y, z, ux, uy, uz) of three volumes of one size."""
+    parts = [d.select("x", "y", "z", F.col("v").alias(n)) for d, n in ((ux, "ux"), (uy, "uy"), (uz, "uz"))]
+    return parts[0].join(parts[1], ["x", "y", "z"]).join(parts[2], ["x", "y", "z"])
+
+
+def condition_files(table: DataFrame) -> DataFrame:
+    """(run, trial_type, text): the three-column event file of each condition; a condition without events gives ``NumEvents 0``."""
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("onset", "duration", "value")))
+    g = table.groupBy("run", "trial_type").agg(F.sort_array(F.collect_list(F.when(F.col("onset").isNotNull(), F.struct("onset", line.alias("l"))))).alias("e"))
+    text = F.concat_ws("\n", F.array(F.concat(F.lit("NumEvents "), F.size("e").cast("string"))), F.transform("e", lambda s: s["l"]))
+    return g.select("run", "trial_type", text.alias("text"))
