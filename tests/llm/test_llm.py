@@ -228,3 +228,12 @@ def test_site_bayes_held_out(spark):
     assert sum(got[i] == (i % 5 != 0) for i in held) / len(held) > 0.97
     none = site_bayes.classify(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert none.where("not kept").count() == 0
+
+
+def test_line_dedup_keeps_clashing_names(spark):
+    rows = [(1, "a b\nc\nd\nx", 5, 6, 7), (2, "a b\nc\nd", 8, 9, 10), (None, "a b\nc\nd", 1, 1, 1), (2, "a b\nc\nd", 8, 9, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, pos int, first int")
+    got = sorted((tuple(r) for r in line_dedup.dedup(df).collect()), key=str)
+    assert got == sorted([rows[0], (2, "", 8, 9, 10), (2, "", 8, 9, 10), rows[2]], key=str)
+    long = "\n".join(f"l{k % 5000}" for k in range(10_000))
+    assert line_dedup.dedup(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().text == "\n".join(f"l{k}" for k in range(5000))

@@ -12,7 +12,9 @@ document, and the texts once by document.
 Edge cases: a null text counts as empty and comes back null; texts of fewer
 than ``width`` such lines are left alone; rows that repeat both id and text
 are judged as one row, and both get the result; rows of a null id are left
-alone and mark nothing; extra columns are kept by :func:`dedup`.
+alone and mark nothing; a very long text is one row of windows, its lines and marks
+arrays of its own length; extra columns, whatever their names, are kept by
+:func:`dedup`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,15 +61,15 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, info: bool = False) -> DataFrame:
     """``docs`` with the marked lines taken out of ``text``; with ``info`` also __n_lines and __n_removed."""
-    marks = covered(docs, id_col, text, width)
-    body = F.col(f"`{text}`")
-    keyed = docs.withColumns({"__th": F.xxhash64(body), "__id": F.col(f"`{id_col}`")})
-    got = keyed.join(marks, ["__id", "__th"], "left")
-    got = got.withColumn("__lines", F.split(body, "\n", -1))
-    lines = F.col("__lines")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = [F.col(f"`{c}`") if c != text else kept.alias(text) for c in docs.columns]
+    marks = covered(docs, id_col, text, width).select("__id", "__th", F.col("gone").alias("__gone"))
+    body, lines, gone = F.col(f"`{text}`"), F.col("__lines"), F.col("__gone")
+    # The document travels as one struct, so no name of its columns can meet one of ours.
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(f"`{id_col}`").alias("__id"), F.xxhash64(body).alias("__th"))
+    body = F.col("__doc")[text]
+    got = keyed.join(marks, ["__id", "__th"], "left").withColumn("__lines", F.split(body, "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.when(gone.isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = [F.col("__doc")[c].alias(c) if c != text else kept.alias(text) for c in docs.columns]
     if info:
-        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__n_removed")]
+        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed")]
     return got.select(*out)
