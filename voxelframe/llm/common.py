@@ -23,11 +23,13 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode; on a cluster that is an error."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(sc, "_voxelframe_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
@@ -36,11 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors. :func:`spent` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxelframe_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for ``tables``, once everything that reads them is written itself."""
+    for df in tables:
+        path = getattr(df, "_voxelframe_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 # ---------------------------------------------------------------- what worker processes keep between tasks

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lane_join
+from .common import cut, lane_join, spent
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        now = cut(_star(_star(now, True), False), "links")
+        old, now = now, cut(_star(_star(now, True), False), "links")
+        spent(old)
         after = state(now)
         if after == before:
             break
@@ -51,10 +52,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def grow(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: only the links between known components are contracted, then names are mapped."""
+    """Components after more links: only the links between known components are contracted, then names are mapped. Both tables are deleted if they are cuts."""
     of = lambda side, out: comp.select(F.col("node").alias(side), F.col("component").alias(out))
     lifted = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     more = components(lifted.distinct())
     renamed = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = more.join(comp.select("node"), "node", "left_anti").select("node", "component")
-    return cut(renamed.union(fresh), "components")
+    out = cut(renamed.union(fresh), "components")
+    spent(comp, links)
+    return out

@@ -8,7 +8,7 @@ have no SQL form.
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, url_filter
 from .url_filter import LOWER, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +47,35 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+def _op4() -> str:
+    u = url_filter
+    part = lambda k: f"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {k})"
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(u.RULES, key=lambda r: -len(r.pattern))
+    pick = lambda out: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{out(r)}'" for r in longest) + " END"
+    steps = []
+    # A level a turn: children, the crowded ones as wildcards, labelled ones numbered by share, folded into branches.
+    for k in range(u.DEPTH + 1):
+        steps.append(f"""a{k} AS (SELECT *, seg[{k + 1}] AS child FROM v{k} WHERE len(seg) > {k}),
+c{k} AS (SELECT a.* REPLACE (CASE WHEN child <> '**' AND (SELECT count(DISTINCT o.child) FROM a{k} o WHERE o.host = a.host AND o.br = a.br AND o.child NOT IN ('*', '**')) > {u.MOST_SIBLINGS} THEN '*' ELSE child END AS child) FROM a{k} a),
+t{k} AS (SELECT host, br, child, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, min(p) AS p FROM c{k} GROUP BY ALL HAVING sum(n) > 0),
+s{k} AS (SELECT *, row_number() OVER (PARTITION BY host, br ORDER BY b / n, child) AS i FROM t{k}),
+f{k} AS (SELECT host, br, child, i, p, n, b, n AS bn, b AS bb, 1 AS g FROM s{k} WHERE i = 1 UNION ALL
+SELECT s.host, s.br, s.child, s.i, s.p, s.n, s.b, CASE WHEN d THEN s.n ELSE f.bn + s.n END, CASE WHEN d THEN s.b ELSE f.bb + s.b END, f.g + CASE WHEN d THEN 1 ELSE 0 END
+FROM (SELECT f.host, f.br, f.i, f.bn, f.bb, f.g, abs(f.bb / f.bn - s.b / s.n) > {u.Z} * sqrt((f.bb + s.b) / (f.bn + s.n) * (1 - (f.bb + s.b) / (f.bn + s.n)) * (1 / f.bn + 1 / s.n)) AS d
+FROM f{k} f JOIN s{k} s ON s.host = f.host AND s.br = f.br AND s.i = f.i + 1) f JOIN s{k} s ON s.host = f.host AND s.br = f.br AND s.i = f.i + 1),
+m{k} AS (SELECT host, br, child, string_agg(child, '/') OVER q AS label, (sum(b) OVER q + {u.STRENGTH} * p) / (sum(n) OVER q + {u.STRENGTH}) AS np FROM f{k} WINDOW q AS (PARTITION BY host, br, g ORDER BY child ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+v{k + 1} AS (SELECT v.host, v.seg, v.n, v.b, v.told, CASE WHEN c.child IS NULL THEN v.br ELSE v.br || '//' || coalesce(m.label, c.child) END AS br, coalesce(m.np, v.p) AS p
+FROM v{k} v LEFT JOIN c{k} c ON c.host = v.host AND c.seg = v.seg LEFT JOIN m{k} m ON m.host = c.host AND m.br = c.br AND m.child = c.child)""")
+    return f"""WITH RECURSIVE hp AS (SELECT page_id, translate({part(1)}, '{UPPER}', '{LOWER}') AS host, {part(2)} AS path FROM pages),
+r AS (SELECT *, {pick(lambda r: r.pattern)} AS rule, {pick(lambda r: r.verdict)} AS said, [CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > {u.LONG_SEGMENT} THEN '*' ELSE x END FOR x IN string_split(path, '/') IF x <> ''] AS all_seg FROM hp),
+rs AS (SELECT *, all_seg[1:{u.DEPTH}] || CASE WHEN len(all_seg) > {u.DEPTH} THEN ['**'] ELSE [] END AS seg FROM r),
+lf AS (SELECT host, seg, count(said) AS n, count(*) FILTER (WHERE said = 'block') AS b FROM rs GROUP BY ALL),
+v0 AS (SELECT host, seg, n, b, sum(n) OVER w AS told, '' AS br, (sum(b) OVER w + {u.STRENGTH} * (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) FROM lf)) / (sum(n) OVER w + {u.STRENGTH}) AS p FROM lf WINDOW w AS (PARTITION BY host)),
+{', '.join(steps)}
+SELECT page_id, rs.host, path, rule, coalesce(said, CASE WHEN told > 0 AND round(p, 9) >= {u.REJECT} THEN 'block' ELSE 'allow' END) AS verdict FROM rs JOIN v{u.DEPTH + 1} v ON v.host = rs.host AND v.seg = rs.seg"""
+
+
 def _op5() -> str:
     lower = f"translate(text, '{UPPER}', '{LOWER}')"
     more = " || ' ' || ".join(f"lead(w, {k}) {_over()}" for k in range(1, 5))
@@ -114,6 +143,7 @@ SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(k, 0) AS n_removed, sha256(
 SQL = {
     "op1_substring_dedup": _op1(),
     "op3_topk_search": _op3(),
+    "op4_url_filter": _op4(),
     "op5_jaccard_join": _op5(),
     "op6_mixing": _op6(),
     "op7_quality_rules": _op7(),
