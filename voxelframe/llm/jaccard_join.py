@@ -1,40 +1,43 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 Two sets of sizes m and n reach Jaccard p/100 only if they share
-T = ceil(p (m + n) / (100 + p)) members. DivideSkip divides the inverted lists of
-a set's members into short ones, which are merged, and long ones, which are only
-probed by binary search for candidates from the short ones. Here the division is by
-document frequency, from a counting sketch of all documents: the lists of a set's
-n - ceil(p n / 100) + 1 rarest members are short, the others, one fewer than any
-partner must share, are long. So every partner appears in a short list.
-
-* Short lists are found by a shuffled, sorted stream over (member, set): runs of
-  one member are consumed as they come, and lists of one set go.
-* Candidates are sets that occur together in T - L of the short lists, L the number of
-  long ones. Lists of at most ``SHORT_LIST`` sets are counted by key; sets that share
-  longer ones meet in bins, large bins in pairs of blocks of bounded size, where the
-  sorted lists are merged.
-* Candidates are probed: both whole sets are compared by binary search in sorted
-  arrays, and pairs that reach T become links.
-* Only components are asked for, so each set first tries the leader of most of its
-  lists, then its likeliest partners in other components, a few a turn; candidates
-  inside one component are skipped. The last turn probes every candidate between
-  components that is left, so no link between them can be lost, and a
-  group of thousands of near copies probes a multiple of its size, not its square.
-* Lists that the sketch finds to be very long are salted, and the salts' leaders
-  are tried with the least of them.
-
-Documents of equal sets are one class, represented by its least id.
+T = ceil(p (m + n) / (100 + p)) members. The lists of a set's n - ceil(p n / 100) + 1
+rarest members (by a counting sketch of all documents) are indexed; the L others,
+one fewer than any partner must share, are only probed. So every partner occurs in
+T - L indexed lists at least.
+
+* Index: a shuffled, sorted stream over (member, set); lists of one set go. Salts cut
+  lists that the sketch finds to be very long.
+* First links: each set probes the leader of most of its lists, so a group of
+  thousands of near copies becomes one component for a probe a set. Only components are
+  asked for, so lists that hold a single one are closed from then on.
+* Search: queries, sets that share an open list with a larger component, are dealt
+  into bins of bounded work, and each list is shipped once to every bin that asks for it. For
+  each query and band of sizes, DivideSkip sets the longest lists aside, merges the
+  short ones with a heap that skips what can't reach the count, and looks the
+  candidates up in the long ones by binary search. A query whose lists are longer than
+  a task's share is split by its candidates, each with all of its occurrences.
+* Candidates are probed: binary search of one's sorted members in the other's whole
+  array; pairs that reach T are links. The first turns probe each query's likeliest
+  candidates, which merges most components; the last probes every one that is left,
+  so no link between components is lost.
+
+Work is the sum of the open lists' lengths over the queries, and a task holds
+``TASK_ENTRIES`` list entries whatever the input. Documents of equal sets are one class,
+represented by its least id.
 
 Edge cases: null and empty texts have no shingles, are linked with nothing and
 are their own component; fewer words than the shingle length give one shingle of
 them all; a row of a null id has no component; rows that repeat an id are one
-document whose texts are linked; extra columns are ignored; an empty table gives
-no rows.
+document whose texts are linked; a very long text is one sorted array of 8 bytes a
+shingle; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, claim, cut, lane_join, mix, slices, words_of
+from .common import Rolling, claim, cut, lane_join, mix, slices, spent, words_of
 from .components import components, grow
 
 SHINGLE = 5
@@ -51,14 +54,15 @@ SKETCH_BITS = 20
 CHUNK = 1 << 14
 #: Rows of one member's list that one task may hold in a run before the list is salted.
 RUN_ROWS = 4096
-#: Sets of a list whose pairs are counted one by one; longer lists are merged in blocks.
-SHORT_LIST = 32
-#: Sets of one block of the T-occurrence merge.
-BLOCK = 1024
+#: List entries that one task of the search takes, and the least number of bins of queries.
+TASK_ENTRIES, LEAST_BINS = 500_000, 32
 #: Ids that a filter of texts may broadcast, at 8 bytes each.
 IDS_BROADCAST = 500_000
-#: Turns that try each set's likeliest partners, partners a turn, and pairs so few that they are all tried at once.
+#: Turns that try each query's likeliest candidates, candidates a turn, and pairs so few that they are all tried at once.
 MOST_TURNS, TRIES, FEW_PAIRS = 4, 2, 5000
+#: DivideSkip's weight of a probe against a merge step, and the bands of sizes around a query's.
+MU = 0.0085
+BANDS = (0.0, 0.85, 0.9, 0.95, 1.0, 1.06, 1.12, 1.18, math.inf)
 
 _ROLL = Rolling(0xB5AD4ECEDA1CE2A9)
 
@@ -149,7 +153,7 @@ def sketch(survey: DataFrame, bits: int) -> np.ndarray:
     return total
 
 
-def _short_rows(docs: DataFrame, counts, width: int, percent: int, bits: int) -> DataFrame:
+def _short_rows(docs: DataFrame, counts, width: int, percent: int, bits: int, run_rows: int) -> DataFrame:
     """Rows (key, salt, f1, n): each set's members with short lists. A task emits a set that it meets again only once."""
     schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("f1", pa.int64()), ("n", pa.int32())])
 
@@ -177,7 +181,7 @@ def _short_rows(docs: DataFrame, counts, width: int, percent: int, bits: int) ->
                 first = np.searchsorted(row, row)
                 short = np.arange(len(row)) - first < short_lists(n, percent)[row]
                 got, row, often = got[short], row[short], often[short]
-                lanes = np.maximum(often // RUN_ROWS, 1)
+                lanes = np.maximum(often // run_rows, 1)
                 salt = np.where(lanes > 1, 1 + (mix(f1[row]) % lanes.astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(salt), pa.array(f1[row].view(np.int64)), pa.array(n[row].astype(np.int32))], schema=schema)
 
@@ -225,160 +229,234 @@ def _merge_lists(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return sorted_rows.mapInArrow(run, "key bigint, salt int, f1 bigint, n int, lead bigint, lead_n int")
 
 
-def _probe(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _arrays(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc, members): the sorted members of the documents ``wanted`` (doc_id). A task emits an id's text that it meets again only once."""
+
+    def run(batches):
+        claim("jaccard_join")
+        met = set()
+        for batch in batches:
+            ids = batch.column(0)
+            for a, b, data, offsets in slices(batch.column(1)):
+                got, bounds = shingles(data, offsets, width)
+                f1 = mix(_sums(mix(got), bounds))
+                fresh = []
+                for r, name in enumerate(zip(ids.slice(a, b - a).to_pylist(), f1.tolist())):
+                    if bounds[r] < bounds[r + 1] and name not in met:
+                        if len(met) > 100_000:
+                            met.clear()
+                        met.add(name)
+                        fresh.append(r)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(fresh, pa.int64())), lists.take(pa.array(fresh, pa.int64()))], names=["doc", "members"])
+
+    # A filter of ids is a broadcast while they are few (checked), else a shuffled join.
+    some = src.join(F.broadcast(wanted) if wanted.count() <= IDS_BROADCAST else wanted, "doc_id", "left_semi")
+    return some.select("doc_id", "text").mapInArrow(run, "doc bigint, members array<bigint>")
+
+
+def _probe(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of document ids, those whose whole sets share enough: binary search of one's sorted members in the other's."""
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                sides = []
-                for c in (2, 3):
-                    got, rows = [], []
-                    for _, _, data, offsets in slices(part.column(c)):
-                        g, bounds = shingles(data, offsets, width)
-                        rows += [g[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
-                    del got
-                    sides.append(rows)
-                ok = np.zeros(len(part), bool)
-                for i, (x, y) in enumerate(zip(*sides)):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if not len(x) or len(x) < needed(len(x), len(y), percent):
-                        continue
-                    k = np.searchsorted(y, x)
-                    k[k == len(y)] = 0
-                    both = int((y[k] == x).sum())
-                    ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], schema=schema)
-
-    pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Only texts of the pairs are shuffled; the filter is a broadcast while its ids are few (checked), else a shuffled join.
-    wanted = texts.join(F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids, "doc_id", "left_semi")
-    one = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def _pairs_by_list(sets: DataFrame, hot_sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components that lists of bounded length hold together, if with the long lists they may occur in T - L of all."""
-    rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    one = rows.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = one.join(two, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    long = hot_sets.groupBy("doc").agg(F.count("*").alias("h"))
-    pairs = pairs.join(long.select(F.col("doc").alias("a"), F.col("h").alias("ha")), "a", "left").join(long.select(F.col("doc").alias("b"), F.col("h").alias("hb")), "b", "left")
-    total = F.expr(f"({percent} * (na + nb) + {100 + percent} - 1) div {100 + percent}")
-    long_lists = F.expr(f"({percent} * greatest(na, nb) + 99) div 100") - 1
-    return pairs.where(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= total - long_lists).select("a", "b")
-
-
-def _open_sets(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """(doc, n, comp, keys): of each set, the members whose short lists hold more than one component."""
+            sides = []
+            for c in (2, 3):
+                lists = batch.column(c)
+                sides.append((np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)))
+            (xo, xs), (yo, ys) = sides
+            ok = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
+                if len(x) > len(y):
+                    x, y = y, x
+                if not len(x) or len(x) < needed(len(x), len(y), percent):
+                    continue
+                k = np.searchsorted(y, x)
+                k[k == len(y)] = 0
+                both = int((y[k] == x).sum())
+                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], schema=schema)
+
+    one = arrays.select(F.col("doc").alias("a"), F.col("members").alias("x"))
+    two = arrays.select(F.col("doc").alias("b"), F.col("members").alias("y"))
+    # The side that may repeat, a leader's, is joined last and by lanes.
+    got = lane_join(pairs.join(one, "a"), two, ["b"], ["a"], 2)
+    return got.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+# ---------------------------------------------------------------- the search
+
+
+def threshold(n, m, percent: int = PERCENT):
+    """Indexed lists that sets of n and m members must share: T - L."""
+    most = np.maximum(n, m)
+    return needed(n, m, percent) - (most - short_lists(most, percent))
+
+
+def divide_skip(lists: list[list[int]], theta: int) -> list[tuple[int, int]]:
+    """(id, number of lists) of every id that ``theta`` of the ascending lists hold.
+
+    The longest lists are set aside; the others are merged by a heap of their
+    heads. A head that too few lists hold can't be an answer, nor can any id before the
+    head that the next lists bring: they skip to it by binary search. Candidates are
+    then looked up in the long lists, the longest last, until theta is out of reach.
+    """
+    if len(lists) < theta:
+        return []
+    lists = sorted(lists, key=len)
+    aside = min(theta - 1, int(theta / (MU * math.log2(len(lists[-1]) + 1) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    least = theta - aside
+    heap = [(x[0], k) for k, x in enumerate(short)]
+    heapq.heapify(heap)
+    at, found = [0] * len(short), []
+    while len(heap) >= least:
+        head, popped = heap[0][0], []
+        while heap and heap[0][0] == head:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            found.append((head, len(popped)))
+            for k in popped:
+                at[k] += 1
+                if at[k] < len(short[k]):
+                    heapq.heappush(heap, (short[k][at[k]], k))
+            continue
+        while heap and len(popped) < least - 1:
+            popped.append(heapq.heappop(heap)[1])
+        if not heap:
+            break
+        for k in popped:
+            at[k] = bisect_left(short[k], max(heap[0][0], head + 1), at[k])
+            if at[k] < len(short[k]):
+                heapq.heappush(heap, (short[k][at[k]], k))
+    out = []
+    for head, count in found:
+        for left, x in zip(range(len(long), 0, -1), long):
+            if count + left < theta:
+                break
+            j = bisect_left(x, head)
+            count += j < len(x) and x[j] == head
+        if count >= theta:
+            out.append((head, count))
+    return out
+
+
+def _search(lists: pa.Table, queries: pa.Table, percent: int, low: int, high: int):
+    """Candidates (query, set) of one task, those at places ``low`` to ``high`` of each query's likeliest, and the number of all."""
+    out_a, out_b, total = [], [], 0
+    if not lists.num_rows or not queries.num_rows:
+        return out_a, out_b, total
+    key, doc, n, comp, w = (lists.column(c).to_numpy() for c in ("key", "doc", "n", "comp", "w"))
+    # Sets get local names in order of size, so that a band of sizes is a range of every list.
+    order = np.lexsort((doc, n))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (n[order][1:] != n[order][:-1])
+    name = np.empty(len(order), np.int64)
+    name[order] = np.cumsum(new) - 1
+    one = order[new]
+    ids, sizes = doc[one], n[one].astype(np.int64)
+    qc, qw = queries.column("comp").to_numpy(), queries.column("w").to_numpy()
+    # Places of components in one order, shared by sets and queries.
+    allc, allw = np.concatenate([comp[one], qc]), np.concatenate([w[one], qw])
+    by = np.lexsort((allc, allw))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(np.concatenate([[0], (allc[by][1:] != allc[by][:-1]) | (allw[by][1:] != allw[by][:-1])]))
+    place, q_place = place[: len(one)], place[len(one) :]
+    by_key = np.lexsort((name, key))
+    key, name = key[by_key], name[by_key]
+    keys, first = np.unique(key, return_index=True)
+    last = np.append(first[1:], len(key))
+    q_id, q_n = queries.column("doc").to_numpy(), queries.column("n").to_numpy().astype(np.int64)
+    asked = queries.column("keys").combine_chunks()
+    asked_at, flat = np.asarray(asked.offsets), asked.values.to_numpy(zero_copy_only=False)
+    where = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    there = keys[where] == flat
+    for q in range(len(q_id)):
+        z = where[asked_at[q] : asked_at[q + 1]][there[asked_at[q] : asked_at[q + 1]]]
+        count = last[z] - first[z]
+        if not len(z):
+            continue
+        base = np.repeat(first[z] - (np.cumsum(count) - count), count)
+        t, k = name[base + np.arange(int(count.sum()))], np.repeat(np.arange(len(z)), count)
+        size = int(q_n[q])
+        edges = np.searchsorted(sizes, [-(-percent * size // 100), 100 * size // percent + 1])
+        keep = (t >= edges[0]) & (t < edges[1]) & (place[t] > q_place[q])
+        t, k = t[keep], k[keep]
+        if not len(t):
+            continue
+        found: list[tuple[int, int]] = []
+        cuts = np.searchsorted(sizes, [b * size if math.isfinite(b) else 1 << 62 for b in BANDS])
+        for lo, hi in zip(cuts, cuts[1:]):
+            mine = (t >= lo) & (t < hi)
+            if mine.any():
+                tt, kk = t[mine], k[mine]
+                theta = max(1, int(threshold(size, sizes[[tt.min(), tt.max()]], percent).min()) - 1)
+                heads = np.flatnonzero(np.append(True, kk[1:] != kk[:-1]))
+                if len(heads) >= theta:
+                    plain = tt.tolist()
+                    found += divide_skip([plain[a:b] for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(plain)])], theta)
+        if not found:
+            continue
+        hit, c = np.array([x for x, _ in found]), np.array([x for _, x in found])
+        fine = c >= threshold(size, sizes[hit], percent)
+        hit, c = hit[fine], c[fine]
+        total += len(hit)
+        best = np.lexsort((ids[hit], -c / np.maximum(sizes[hit], size)))[low:high]
+        out_a += [int(q_id[q])] * len(best)
+        out_b += ids[hit[best]].tolist()
+    return out_a, out_b, total
+
+
+def _candidates(sets: DataFrame, comp: DataFrame, percent: int, turn: int | None, task_entries: int, bins: int) -> DataFrame | None:
+    """(a, b, total): queries and sets of other components that occur together in enough indexed lists; None if no list is open.
+
+    With ``turn`` only the next ``TRIES`` likeliest of each query come out, and in a
+    row of nulls the number of all.
+    """
     rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    rows = lane_join(rows, mixed, ["key"], ["doc"])
-    return cut(rows.groupBy("doc", "n", "comp").agg(F.collect_list("key").alias("keys")), "open")
-
-
-def _blocks(open_sets: DataFrame, components) -> DataFrame | None:
-    """(doc, bin, block, blocks): sets that share lists, however indirectly, come to one bin; large bins are cut into blocks of bounded size."""
-    total = open_sets.count()
-    if not total:
+    rows = cut(rows, "entries")
+    weight = rows.groupBy("comp").agg(F.count("*").alias("w"))
+    rows_w = lane_join(rows, weight, ["comp"], ["key", "doc"])
+    rank = F.struct("w", "comp")
+    some = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("f")).where("x < y").select("key", "f")
+    opened = cut(lane_join(rows_w, some, ["key"], ["doc"]), "open")
+    spent(rows)
+    # Of two components the smaller asks: in each list all but the largest one's sets are queries.
+    top = opened.groupBy("key").agg(F.max(rank).alias("top"))
+    asks = lane_join(opened, top, ["key"], ["doc"]).where(rank < F.col("top"))
+    queries = cut(asks.groupBy("doc", "n", "comp", "w").agg(F.collect_list("key").alias("keys"), F.sum("f").alias("work")), "queries")
+    total = queries.agg(F.sum("work"), F.max("work")).first()
+    if not total[0]:
         return None
-    flat = open_sets.select("doc", F.explode("keys").alias("key"))
-    heads = flat.groupBy("key").agg(F.min("doc").alias("head"))
-    joined = lane_join(flat, heads, ["key"], ["doc"]).select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
-    cluster = components(joined).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    sized = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    bins = max(1, -(-total // BLOCK))
-    # Small clusters share bins (their lists are disjoint); a large one has its own, told apart by sign.
-    bin_of = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    got = lane_join(cluster, sized, ["cluster"], ["doc"])
-    return cut(got.select("doc", bin_of.alias("bin"), F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"), "blocks"), "blocks")
-
-
-def _t_occurrence(open_sets: DataFrame, blocks: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """(a, b, total): pairs of sets of different components that occur together in enough short lists.
-
-    Every pair of blocks of a bin meets in one task. With ``turn`` only the next
-    ``TRIES`` likeliest partners of each set come out, and in a row of nulls the
-    number of all.
-    """
-    rows = open_sets.join(blocks, "doc")
-    as_left = rows.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bin", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "doc", "n", "comp", "keys")
-    as_right = rows.where("block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("other")).select("bin", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "doc", "n", "comp", "keys")
+    shards = -(-total[1] // task_entries)
+    share = shards * task_entries
+    bins = max(bins, -(-total[0] // share))
+    # Queries of one component share lists, and so a bin, unless they are too many.
+    own = queries.groupBy("comp").agg(F.ceil(F.sum("work") / F.lit(float(share))).cast("int").alias("pieces"))
+    dealt = lane_join(queries, own, ["comp"], ["doc"])
+    # A component's queries keep together, a piece at a time.
+    piece = F.pmod(F.xxhash64("doc"), F.col("pieces"))
+    dealt = cut(dealt.select("doc", "n", "comp", "w", "keys", F.pmod(F.xxhash64("comp", piece), F.lit(bins)).cast("int").alias("bin")), "dealt")
+    need = dealt.select("bin", F.explode("keys").alias("key")).distinct()
+    shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")
+    left = lane_join(opened.select("key", "doc", "n", "comp", "w"), need, ["key"], ["doc"]).select("bin", shard, "key", "doc", "n", "comp", "w")
+    right = dealt.select(F.col("bin").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("part"), "doc", "n", "comp", "w", "keys")
     low, high = (0, 1 << 62) if turn is None else (turn * TRIES, (turn + 1) * TRIES)
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        left, right = (table.filter(pa.array(table.column("side").to_numpy() == k)) for k in (0, 1))
-        same = key[1].as_py() == key[2].as_py()
-        a, b, total = _merge_block(left, left if same else right, same, percent, low, high)
-        yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), None], pa.int64()), pa.array([*b.tolist(), None], pa.int64()), pa.array([0] * len(a) + [total], pa.int64())], names=["a", "b", "total"])
-
-    return as_left.union(as_right).groupBy("bin", "i", "j").applyInArrow(run, "a bigint, b bigint, total bigint")
-
-
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    lists = table.column("keys").combine_chunks()
-    at = np.asarray(lists.offsets).astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(table.num_rows), np.diff(at))
-
-
-def _merge_block(left: pa.Table, right: pa.Table, same: bool, percent: int, low: int, high: int):
-    """Merge the sorted short lists of one block with those of another, and keep sets that occur in T - L of them."""
-    none = np.zeros(0, np.int64)
-    if not left.num_rows or not right.num_rows:
-        return none, none, 0
-    l_key, l_row = _flat(left)
-    r_key, r_row = _flat(right)
-    order = np.argsort(r_key, kind="stable")
-    r_key, r_row = r_key[order], r_row[order]
-    first, last = np.searchsorted(r_key, l_key, "left"), np.searchsorted(r_key, l_key, "right")
-    ids = [t.column("doc").to_numpy() for t in (left, right)]
-    ns = [t.column("n").to_numpy().astype(np.int64) for t in (left, right)]
-    comps = [t.column("comp").to_numpy() for t in (left, right)]
-    width = right.num_rows
-    step = max(1, (1 << 20) // width)
-    xs, ys, cs = [], [], []
-    for at in range(0, left.num_rows, step):
-        lo, hi = np.searchsorted(l_row, [at, min(at + step, left.num_rows)])
-        hits = np.zeros(min(step, left.num_rows - at) * width, np.int32)
-        for k in range(lo, hi, 256):  # lists of a slice of members at a time: 256 times a block at most
-            z = slice(k, min(k + 256, hi))
-            count = last[z] - first[z]
-            total = int(count.sum())
-            if total:
-                base = np.repeat(first[z] - (np.cumsum(count) - count), count)
-                code = np.repeat(l_row[z] - at, count) * width + r_row[base + np.arange(total)]
-                np.add.at(hits, code, 1)
-        found = np.flatnonzero(hits)
-        x, y, c = found // width + at, found % width, hits[found]
-        m, n = ns[0][x], ns[1][y]
-        most = np.maximum(m, n)
-        ok = (comps[0][x] != comps[1][y]) & (100 * np.minimum(m, n) >= percent * most) & (c >= needed(m, n, percent) - (most - short_lists(most, percent)))
-        if same:
-            ok &= x < y
-        xs.append(x[ok]), ys.append(y[ok]), cs.append(c[ok])
-    x, y, c = np.concatenate(xs), np.concatenate(ys), np.concatenate(cs)
-    if high < 1 << 62 and len(x):
-        # Places of each pair among those of either of its sets, likeliest first.
-        share = c / np.maximum(ns[0][x], ns[1][y])
-        owner = np.concatenate([x, (left.num_rows if not same else 0) + y])
-        order = np.lexsort((-np.concatenate([share, share]), owner))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        keep = ((place >= low) & (place < high)).reshape(2, -1).any(axis=0)
-        return ids[0][x[keep]], ids[1][y[keep]], len(x)
-    return ids[0][x], ids[1][y], len(x)
-
-
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    def run(lists: pa.Table, asked: pa.Table) -> pa.Table:
+        claim("jaccard_join")
+        a, b, all_of = _search(lists, asked, percent, low, high)
+        return pa.table({"a": pa.array([*a, None], pa.int64()), "b": pa.array([*b, None], pa.int64()), "total": pa.array([0] * len(a) + [all_of], pa.int64())})
+
+    found = cut(left.groupBy("bin", "shard").cogroup(right.groupBy("to", "part")).applyInArrow(run, "a bigint, b bigint, total bigint"), "pairs")
+    spent(opened, queries, dealt)
+    return found
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS, run_rows: int = RUN_ROWS, task_entries: int = TASK_ENTRIES, bins: int = LEAST_BINS, turns: int = MOST_TURNS, few: int = FEW_PAIRS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links). The numbers after ``percent`` deal the work out and change no result."""
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     survey = cut(_survey(src, width, bits), "survey")
@@ -389,7 +467,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     tied = members.join(same_id, "doc_id").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     counts = spark.sparkContext.broadcast(sketch(survey, bits))  # 2**bits counters: a fixed bound
-    rows = _short_rows(src.where("text is not null"), counts, width, percent, bits)
+    rows = _short_rows(src.where("text is not null"), counts, width, percent, bits, run_rows)
     lists = cut(_merge_lists(rows), "lists")
     reps = classes.where("rep is not null").select("f1", "n", "rep")
     named = cut(
@@ -398,6 +476,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
         .select("key", "salt", F.col("rep").alias("doc"), "n", "leader", "lead_n"),
         "short",
     )
+    spent(lists)
+    sets = cut(named.select("key", "doc", "n").distinct(), "sets")
+    wanted = cut(sets.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    arrays = cut(_arrays(src, wanted, width), "members")
     fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
     # Leaders of one list's salts meet at the least of them.
     heads = named.where("salt > 0 and doc = leader").select("key", "doc", "n")
@@ -407,32 +489,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     star = star.where(f"doc <> leader and {fits}").groupBy("doc", "leader").agg(F.count("*").alias("c"), F.max(t).alias("t"))
     # Each set's likeliest leader, if likely at all: one probe a set, so a group of copies costs its size.
     star = star.where(F.col("c") >= F.col("t")).groupBy("doc").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    links = cut(_probe(star.select(F.col("doc").alias("a"), F.col("leader").alias("b")), src, width, percent), "probed")
-    comp = components(links.union(tied))
-
-    sets = cut(named.select("key", "doc", "n").distinct(), "sets")
-    # Long ones among the short lists go to blocks; of the rest, bounded in length, pairs are counted by key.
-    hot = cut(sets.groupBy("key").count().where(F.col("count") > SHORT_LIST).select("key"), "hot")
-    hot_sets = cut(lane_join(sets, hot, ["key"], ["doc"]), "hot")
-    pairs = cut(_pairs_by_list(sets.join(hot, "key", "left_anti"), hot_sets, comp, percent), "pairs")
-    comp = grow(comp, cut(_probe(pairs, src, width, percent), "probed"))
-    hot_texts = cut(src.join(hot_sets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    blocks = None
-    for turn in range(MOST_TURNS + 1):
-        open_sets = _open_sets(hot_sets, comp)
-        if blocks is None:
-            blocks = _blocks(open_sets, components)
-            if blocks is None:
-                break
-        # The first turns try each set's likeliest partners in other components, which merges most of them; the last tries all that are left.
-        found = cut(_t_occurrence(open_sets, blocks, percent, None if turn == MOST_TURNS else turn), "pairs")
+    links = cut(_probe(star.select(F.col("doc").alias("a"), F.col("leader").alias("b")), arrays, percent), "probed")
+    comp = cut(components(links.union(tied)), "components")
+    spent(links, named, wanted)
+
+    for turn in range(turns + 1):
+        # The first turns try each query's likeliest candidates, which merges most components; the last tries all that are left.
+        whole = turn == turns
+        found = _candidates(sets, comp, percent, None if whole else turn, task_entries, bins)
+        if found is None:
+            break
         counted = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("a")).first()
-        if counted[0] > counted[1] and counted[0] <= FEW_PAIRS + 2 * counted[1]:
-            found, turn = cut(_t_occurrence(open_sets, blocks, percent, None), "pairs"), MOST_TURNS
+        if not whole and counted[1] < counted[0] and (not counted[1] or counted[0] <= few + 2 * counted[1]):
+            spent(found)
+            whole, found = True, _candidates(sets, comp, percent, None, task_entries, bins)
         pairs = found.where("a is not null").select("a", "b").distinct()
-        comp = grow(comp, cut(_probe(pairs, hot_texts, width, percent), "probed"))
-        if turn == MOST_TURNS or counted[0] <= counted[1]:
+        links = cut(_probe(pairs, arrays, percent), "probed")
+        spent(found)
+        comp = grow(comp, links)
+        if whole or counted[0] <= counted[1]:
             break
+    spent(sets, arrays)
 
     ranked = classes.select("f1", "f2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = lane_join(members.where("n > 0 and doc_id is not null"), ranked, ["f1", "f2", "n"], ["doc_id"])
