@@ -121,7 +121,7 @@ def test_topk(spark):
     v = rng.normal(size=(300, 6)).round(1)
     rows = [(i, list(map(float, x))) for i, x in enumerate(v)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (None, [1.0] * 6), (303, [1.0]), (320, [1e18, -1e18, 0.0, 0.0, 0.0, 0.0])]
     got = collections.defaultdict(list)
-    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7, data_block=64, query_block=4).collect():
+    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7, data_chunk=64, query_block=4).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     whole = {i: [int(np.floor(64 * e)) for e in x] for i, x in rows if i is not None and x and len(x) == 6 and all(e is not None and np.isfinite(e) for e in x)}
     for q in [i for i in whole if i % 20 == 0]:

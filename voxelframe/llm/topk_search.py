@@ -1,23 +1,34 @@
 """Exact top-k inner products with vector-approximation files.
 
-Vectors become integers, floor(scale * x). The rows are dealt into blocks of
-bounded size, and so are the queries; every query block meets every data block
-once. Each data block is a vector-approximation file: a cell number of a few
-bits for each component, with the least and greatest value of each cell. A
-query scans the cells for upper and lower bounds of its scores, drops what
-can't reach the k-th best lower bound, and reads exact vectors in the order of
-their upper bounds until the k-th score is certain. The blocks' best are merged
-by score and id.
-
-The results are exact whatever the cells are; memory is one data block and one
-query block for each task. Blocks are dealt by a hash of id and vector, so
-repeated vectors spread.
+Vectors become integers, floor(scale * x), and each gets a row number. The
+approximation file holds a cell number of one byte for each component, packed in blocks
+with their own grids: whole numbers from the block's least to its greatest value,
+in cells of equal width (of width 1, and so exact, where 256 cells reach).
+
+* Scan: blocks of queries meet chunks of the file. One matrix product gives every score
+  at the cells' middles; a margin of the query and the grid makes it a lower and an
+  upper bound. What can't reach the k-th best lower bound so far is dropped.
+* Bound: the k-th best lower bound of each query over the whole file drops most of
+  what the chunks have left. Only row numbers and bounds have travelled so far.
+* Read: exact vectors are fetched by row number in order of their bounds: first
+  each query's k likeliest, then, with their exact k-th score, the rest that can
+  still reach it. After that the k-th result is certain.
+
+Equal vectors score alike, so of a vector that many rows share only the k + 1 least ids
+can be among any query's best (one of them may be the query's own): the others take no
+part, which keeps a vector that a third of the rows hold from tying with all
+queries.
+
+Every chunk is scanned for every query, as an exact search without an index of
+directions must: the file is shipped once a block of ``QUERY_BLOCK`` queries, at a byte a
+component. Memory is a chunk of the file and a block of queries for each task.
 
 Edge cases: vectors that are null, or hold null or non-finite components, and
 rows of a null id take no part; vectors of another length than the query's are
 no candidates; fewer candidates than k give all of them; equal scores go to the
 smaller id; rows that repeat the query's id are not candidates, other repeated
-rows count each; scores beyond 64 bits become the nearest 64-bit integer; extra
+rows count each; a query's id that repeats with other vectors asks for the best of
+them all; scores beyond 64 bits become the nearest 64-bit integer; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -29,13 +40,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DATA_BLOCK = 8192
-QUERY_BLOCK = 2048
-CELL_BITS = 6
+from .common import cut, spent
+
+#: Vectors of one chunk of the file, and queries of one block.
+DATA_CHUNK = 1 << 17
+QUERY_BLOCK = 8192
+CELLS = 256
+#: Queries whose bounds one matrix holds at a time.
+STEP = 256
 SAFE = 2.0**52
+#: Scores beyond 64 bits are clipped, and so are their bounds, so that clipped scores tie.
+RANGE = (-(2.0**63), 2.0**63)
+#: Rows that a filter may broadcast.
+ROWS_BROADCAST = 100_000
 
 
-def _matrix(column: pa.ChunkedArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _matrix(column) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, matrix) for each length of vectors."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.diff(np.asarray(arr.offsets))
@@ -47,103 +67,166 @@ def _matrix(column: pa.ChunkedArray) -> list[tuple[int, np.ndarray, np.ndarray]]
     return out
 
 
-class Cells:
-    """The approximation file of one block: for each vector and component, its cell's bounds."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = CELL_BITS):
-        n, d = vectors.shape
-        cells = 1 << bits
-        self.code = np.zeros((n, d), np.uint8 if bits <= 8 else np.uint16)
-        self.low, self.high = np.zeros((cells, d)), np.zeros((cells, d))
-        for j in range(d):
-            x = vectors[:, j]
-            edges = np.unique(np.quantile(x, np.linspace(0, 1, cells + 1)[1:-1], method="nearest")) if n else np.zeros(0)
-            code = np.searchsorted(edges, x, "left")
-            self.code[:, j] = code
-            low, high = np.full(cells, np.inf), np.full(cells, -np.inf)
-            np.minimum.at(low, code, x)
-            np.maximum.at(high, code, x)
-            self.low[:, j], self.high[:, j] = np.where(np.isfinite(low), low, 0), np.where(np.isfinite(high), high, 0)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lower, upper) bounds of each query's score with each vector."""
-        cols = np.arange(self.code.shape[1])
-        low, high = self.low[self.code, cols], self.high[self.code, cols]
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        return plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
-
-
-def _exact(q: np.ndarray, vectors: np.ndarray, safe: bool) -> np.ndarray:
-    if safe:
-        return vectors @ q
-    whole = [int(x) for x in q]
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, sum(a * int(b) for a, b in zip(whole, v)))) for v in vectors], object)
-
-
-def search_block(q_ids, queries, ids, vectors, k: int, bits: int = CELL_BITS, reads: list | None = None):
-    """Lists (query id, vector id, score) of each query's k best in one block. ``reads`` gets the number of exact vectors read."""
-    out_q, out_v, out_s = [], [], []
-    if not len(ids) or not len(q_ids):
-        return out_q, out_v, out_s
-    size = max(1.0, float(np.abs(vectors).max(initial=0))) * max(1.0, float(np.abs(queries).max(initial=0))) * max(1, vectors.shape[1])
-    safe = size < SAFE
-    # Beyond exact doubles the bounds are widened by more than their rounding.
-    slack = 0.0 if safe else size * 1e-12
-    cells = Cells(vectors, bits)
-    for at in range(0, len(q_ids), 256):
-        lower, upper = cells.bounds(queries[at : at + 256])
-        for i in range(lower.shape[0]):
-            qid, q = q_ids[at + i], queries[at + i]
-            other = np.flatnonzero(ids != qid)
-            if not len(other):
-                continue
-            up, low = upper[i][other] + slack, lower[i][other] - slack
-            floor = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            could = np.flatnonzero(up >= min(floor, 2.0**63))
-            could = could[np.argsort(-up[could], kind="stable")]
-            got_s, got_v, step, done = np.zeros(0, np.float64 if safe else object), np.zeros(0, np.int64), max(64, 2 * k), 0
-            while done < len(could):
-                part = could[done : done + step]
-                got_s = np.concatenate([got_s, _exact(q, vectors[other[part]], safe)])
-                got_v = np.concatenate([got_v, ids[other[part]]])
-                done += len(part)
-                best = np.lexsort((got_v, -got_s))[:k] if safe else np.array(sorted(range(len(got_s)), key=lambda x: (-got_s[x], got_v[x]))[:k])
-                got_s, got_v = got_s[best], got_v[best]
-                # Certain once nothing unread can reach the k-th score; equal ones are still read, for ties.
-                if len(got_s) == k and done < len(could) and up[could[done]] < float(got_s[-1]) - slack:
-                    break
-            if reads is not None:
-                reads.append(done)
-            out_q += [qid] * len(got_s)
-            out_v += got_v.tolist()
-            out_s += [int(s) for s in got_s]
-    return out_q, out_v, out_s
-
-
-def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, bits: int = CELL_BITS) -> DataFrame:
-    """Each query row's k best others: query_id, rank, vec_id, score. ``queries`` is a condition on the rows."""
+def cells(vectors: np.ndarray, count: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, low, width): cell c of a component holds the whole numbers from low + c * width, ``width`` of them."""
+    low = vectors.min(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
+    span = (vectors.max(axis=0) if len(vectors) else low) - low
+    width = np.maximum(np.ceil((span + 1) / count), 1)
+    return np.minimum((vectors - low) // width, count - 1).astype(np.uint8), low, width
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, base, margin): a query's score with a vector lies within margin of scores + base."""
+    half = (width - 1) / 2
+    step = queries * width
+    size = np.abs(step).sum(axis=1) * CELLS + np.abs(queries) @ (np.abs(low) + width)
+    small = bool((size < 1e30).all())
+    scores = (step.astype(np.float32) @ codes.astype(np.float32).T) if small else step @ codes.astype(np.float64).T
+    # Rounding of the product and of the sums, bounded by the size of what is summed.
+    loss = size * (queries.shape[1] + 4) * (2.0**-23 if small else 2.0**-50)
+    return scores, queries @ (low + half), np.abs(queries) @ half + loss
+
+
+def scan(blocks: list, q_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, lower, upper) of what the cells of ``blocks`` can't rule out. blocks: (ids, rows, codes, low, width)."""
+    out = []
+    for at in range(0, len(q_ids), STEP):
+        ids, q = q_ids[at : at + STEP], queries[at : at + STEP]
+        floor = np.full(len(ids), -np.inf)
+        order = np.argsort(ids, kind="stable")
+        kept = []
+        for v_ids, rows, codes, low, width in blocks:
+            scores, base, margin = bounds(q, codes, low, width)
+            scores = scores.astype(np.float64)
+            # A query's own id is no candidate.
+            first, last = np.searchsorted(ids[order], v_ids, "left"), np.searchsorted(ids[order], v_ids, "right")
+            for j in np.flatnonzero(first < last):
+                scores[order[first[j] : last[j]], j] = -np.inf
+            if scores.shape[1] >= k:
+                kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                floor = np.maximum(floor, np.clip(kth + base - margin, *RANGE))
+            x, j = np.nonzero((np.clip(scores + (base + margin)[:, None], *RANGE) >= floor[:, None]) & (scores > -np.inf))
+            s = scores[x, j] + base[x]
+            kept.append((x, rows[j], np.clip(s - margin[x], *RANGE), np.clip(s + margin[x], *RANGE)))
+        if kept:
+            x, row, lower, upper = (np.concatenate(c) for c in zip(*kept))
+            fine = upper >= floor[x]
+            out.append((x[fine] + at, row[fine], lower[fine], upper[fine]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def exact(q: np.ndarray, v: np.ndarray) -> list[int]:
+    """Inner products of rows of whole numbers, as 64-bit integers."""
+    size = np.abs(q).max(initial=0) * max(1.0, np.abs(v).max(initial=0)) * max(1, q.shape[1])
+    if size < SAFE:
+        return np.einsum("ij,ij->i", q, v).astype(np.int64).tolist()
+    return [max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for x, y in zip(q, v)]
+
+
+def _whole(table: DataFrame, queries: Column, id_col: str, vector: str, scale: int) -> DataFrame:
+    """(row, id, v, h1, h2, is_query) of rows that take part, written once, so that row numbers hold."""
     v = F.col(f"`{vector}`")
-    x = F.transform(v, lambda e: e.cast("double") * scale)
     fine = F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = table.where(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"), queries.alias("is_query"))
-    size = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    blocks, query_blocks = max(1, -(-size[0] // data_block)), max(1, -(-size[1] // query_block))
-    data = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block"))
-    asked = rows.where("is_query").select("id", "v").distinct()
-    asked = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q_block"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
-        if left.num_rows and right.num_rows:
-            ids, q_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-            sides = {n: (rows, m) for n, rows, m in _matrix(left.column("v"))}
-            for n, q_rows, q in _matrix(right.column("v")):
-                if n in sides:
-                    r, m = sides[n]
-                    for out, new in zip((out_q, out_v, out_s), search_block(q_ids[q_rows], np.floor(q), ids[r], np.floor(m), k, bits)):
-                        out += new
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
-
-    found = data.groupBy("block", "q_block").cogroup(asked.groupBy("block", "q_block")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+    def whole(e: Column) -> Column:
+        x = e.cast("double") * scale
+        return F.when(F.abs(x) < F.lit(SAFE), F.floor(x).cast("double")).otherwise(x)  # beyond, doubles are whole
+
+    rows = table.where(fine).select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, whole).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    rows = rows.where(F.forall("v", lambda e: F.abs(e) < F.lit(float("inf"))))
+    return cut(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= ROWS_BROADCAST else df
+
+
+def _candidates(rows: DataFrame, k: int) -> DataFrame:
+    """Of a vector that more than k + 1 rows hold, the rows of its k + 1 least ids, k of each at most; all others as they are."""
+    name = ["h1", "h2"]
+    crowded = cut(rows.groupBy(*name).agg(F.count("*").alias("c")).where(F.col("c") > k + 1).select(*name), "crowded")
+    if crowded.isEmpty():
+        return rows
+    light = rows.select("row", "id", *name).join(_few(crowded), name)
+    light = light.withColumn("i", F.row_number().over(Window.partitionBy(*name, "id").orderBy("row"))).where(F.col("i") <= k)
+    light = light.withColumn("i", F.dense_rank().over(Window.partitionBy(*name).orderBy("id"))).where(F.col("i") <= k + 1)
+    keep = cut(light.select("row"), "kept")
+    return rows.join(_few(crowded), name, "left_anti").select(*rows.columns).union(rows.join(_few(keep), "row", "left_semi").select(*rows.columns))
+
+
+def _file(rows: DataFrame, chunks: int, q_blocks: int) -> DataFrame:
+    """The approximation file: (chunk, q_block, ids, rows, codes, low, width), a row for each Arrow batch and length, repeated for every block of queries."""
+
+    def run(batches):
+        for batch in batches:
+            for _, at, m in _matrix(batch.column(2)):
+                codes, low, width = cells(m)
+                take = pa.array(at)
+                one = [batch.column(0).take(take), batch.column(1).take(take)]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in one]
+                arrays += [pa.array([codes.tobytes()], pa.binary()), pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([width.tolist()], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rows", "ids", "codes", "low", "width"])
+
+    packed = cut(rows.select("row", "id", "v").mapInArrow(run, "rows array<bigint>, ids array<bigint>, codes binary, low array<double>, width array<double>"), "cells")
+    chunk = F.pmod(F.xxhash64(F.get("rows", 0)), F.lit(chunks)).cast("int").alias("chunk")
+    return packed.select(chunk, F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), "ids", "rows", "codes", "low", "width")
+
+
+def _read(pairs: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Exact scores of pairs (query_id, q_row, row): (query_id, q_row, row, vec_id, score)."""
+
+    def run(batches):
+        for batch in batches:
+            q, v = ({n: (at, m) for n, at, m in _matrix(batch.column(c))} for c in (4, 5))
+            score = np.zeros(len(batch), object)
+            for n, (at, m) in q.items():
+                for z in range(0, len(at), 4096):
+                    score[at[z : z + 4096]] = exact(m[z : z + 4096], v[n][1][z : z + 4096])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(score.tolist(), pa.int64())], names=["query_id", "q_row", "row", "vec_id", "score"])
+
+    got = pairs.select("query_id", "q_row", "row").join(rows.select("row", F.col("id").alias("vec_id"), "v"), "row").join(asked.select("q_row", "q"), "q_row")
+    return got.select("query_id", "q_row", "row", "vec_id", "q", "v").mapInArrow(run, "query_id bigint, q_row bigint, row bigint, vec_id bigint, score bigint")
+
+
+def search(table: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64, data_chunk: int = DATA_CHUNK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Each query row's k best others: query_id, rank, vec_id, score. ``queries`` is a condition on the rows."""
+    rows = _whole(table, queries, id_col, vector, scale)
+    asked = rows.where("is_query").groupBy("id", "h1", "h2").agg(F.min_by("v", "row").alias("q"), F.min("row").alias("q_row"))
+    asked = cut(asked.select(F.col("id").alias("query_id"), "q_row", "q"), "asked")
+    chunks, q_blocks = max(1, -(-rows.count() // data_chunk)), max(1, -(-asked.count() // query_block))
+    left = _file(_candidates(rows, k), chunks, q_blocks)
+    right = asked.select(F.pmod(F.xxhash64("q_row"), F.lit(q_blocks)).cast("int").alias("to_block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("to_chunk"), "query_id", "q_row", "q")
+
+    def run(file: pa.Table, block: pa.Table) -> pa.Table:
+        out = []
+        if file.num_rows and block.num_rows:
+            by_length: dict[int, list] = {}
+            for r in range(file.num_rows):
+                ids, at, raw, low, width = (file.column(c)[r] for c in ("ids", "rows", "codes", "low", "width"))
+                low, width = low.values.to_numpy(), width.values.to_numpy()
+                codes = np.frombuffer(raw.as_buffer(), np.uint8).reshape(len(ids.values), len(low))
+                by_length.setdefault(len(low), []).append((ids.values.to_numpy(), at.values.to_numpy(), codes, low, width))
+            q_id, q_row = block.column("query_id").to_numpy(), block.column("q_row").to_numpy()
+            for n, at, q in _matrix(block.column("q")):
+                if n in by_length:
+                    x, row, lower, upper = scan(by_length[n], q_id[at], q, k)
+                    out.append((q_id[at][x], q_row[at][x], row, lower, upper))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+        return pa.table(dict(zip(("query_id", "q_row", "row", "low", "up"), cols)))
+
+    found = left.groupBy("q_block", "chunk").cogroup(right.groupBy("to_block", "to_chunk")).applyInArrow(run, "query_id bigint, q_row bigint, row bigint, low double, up double")
+    # Places by lower bound give the k-th one; what it doesn't rule out, in order of upper bounds, is to be read.
+    found = cut(found, "found")
+    kth = found.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("i") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("low")).alias("floor"))
+    left_over = found.join(kth, "query_id").where(F.col("floor").isNull() | (F.col("up") >= F.col("floor")))
+    left_over = cut(left_over.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("up"), "row"))).drop("floor", "low"), "left")
+    first = cut(_read(left_over.where(F.col("i") <= k), asked, rows), "read")
+    sure = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("sure"))
+    rest = left_over.where(F.col("i") > k).join(sure, "query_id").where(F.col("sure").isNull() | (F.col("up") >= F.col("sure").cast("double")))
+    scored = first.union(_read(rest, asked, rows))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spent(found)
+    return out
