@@ -2,23 +2,29 @@
 
 Document evidence: two ridge logistic models (toxic; of low quality) over which
 words a text holds, hashed, and over a few shape ratios. They are trained here on a bounded,
-deterministic sample of labelled documents (``SAMPLE`` rows; the one bounded
-step). Words enter a model when their presence differs between the classes by
-``WORD_Z`` standard errors.
+deterministic sample of labelled documents (``SAMPLE`` ids of least hashes; the one
+bounded step). Words enter a model when their presence differs between the classes by
+``WORD_Z`` standard errors; they are counted by Spark, and the driver gets at most
+``MOST_WORDS`` marks and the shapes of each sampled document.
 
 Site evidence: over all labelled documents, bad ones are counted by host and by
 path below it (here: source and language) in one grouped aggregation. A host's
 rate is a beta posterior around the global rate, whose strength is estimated
-from how much hosts differ (method of moments); a path's rate is a posterior around
-its host's. Sparse sites thus shrink to their host, and hosts to the whole.
+from how much hosts differ beyond chance; a path's rate is a posterior around its
+host's, with a strength from how much paths differ within their hosts. Sparse sites
+thus shrink to their host, and hosts to the whole; a path without labels has its host's
+rate, a host without labels the global one.
 
 A document's odds of being bad are its classifier's odds times its path's odds over
-the global odds; it is kept below one half.
+the global odds; it is kept while the probability, rounded to 9 digits, is at most
+``KEEP``, which is below one half because a bad text that stays costs more than a good one that goes.
 
 Edge cases: a null or empty text has no words and gets the intercept's evidence;
 null hosts and paths form their own groups; documents that repeat an id share
-its label; labels that repeat an id count once (the worst); without labelled documents
-of both classes the classifier says nothing (odds of one half count as kept);
+its label, and the text of least hash stands for them in the sample; labels that repeat
+an id count once (the worst); without labelled documents of both classes the classifier
+says nothing (its probability is the global rate, 0 without labels); a probability
+of exactly ``KEEP`` keeps; a very long text costs its words once, in its own slice;
 extra columns are ignored; an empty table gives no rows.
 """
 
@@ -30,14 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, slices, words_of
+from .common import cut, slices, spent, words_of
 
 SAMPLE = 20_000
 BITS = 18
-WORD_Z = 6.0
+WORD_Z = 4.0
 MOST_WORDS = 256
-RIDGE = 1.0
+RIDGE = 0.3
+KEEP = 0.3
 GROUPS_BROADCAST = 50_000
 
 SHAPES = ("log_words", "distinct", "again", "mean_len", "symbols", "loud", "pipes", "upper", "digits", "lines")
@@ -111,20 +119,12 @@ class Model:
         return np.clip(out, -30, 30)
 
 
-def fit(y: np.ndarray, bucket: np.ndarray, at: np.ndarray, shapes: np.ndarray) -> Model | None:
-    """Ridge logistic regression by Newton steps over significant words and shapes; None unless both classes occur."""
-    pos, n = int(y.sum()), len(y)
-    if not 0 < pos < n:
+def fit(y: np.ndarray, chosen: np.ndarray, bucket: np.ndarray, at: np.ndarray, shapes: np.ndarray) -> Model | None:
+    """Ridge logistic regression by Newton steps over the ``chosen`` words (ascending) and the shapes; None unless both classes occur."""
+    n = len(y)
+    if not 0 < int(y.sum()) < n:
         return None
     row = np.repeat(np.arange(n), np.diff(at))
-    in_pos = np.bincount(bucket, weights=y[row], minlength=1 << BITS)
-    in_all = np.bincount(bucket, minlength=1 << BITS)
-    p = in_all / n
-    gap = in_pos / pos - (in_all - in_pos) / (n - pos)
-    z = np.abs(gap) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / pos + 1 / (n - pos)))
-    z[in_all < 5] = 0
-    chosen = np.flatnonzero(z > WORD_Z)
-    chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")][:MOST_WORDS])
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     words = np.zeros((n, len(chosen)), np.float64)
@@ -155,38 +155,60 @@ def _labels(labels: DataFrame, id_col: str) -> DataFrame:
     return marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(bad).alias("bad"))
 
 
+def _telling(sample: DataFrame, y: str, n: int, pos: int) -> np.ndarray:
+    """The word buckets whose presence tells the classes of ``y`` apart best, ``MOST_WORDS`` at most, ascending."""
+    if not 0 < pos < n:
+        return np.zeros(0, np.int64)
+    words = sample.select(y, F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("k"), F.sum(y).alias("kp")).where("k >= 3")
+    p = F.col("k") / n
+    gap = F.col("kp") / pos - (F.col("k") - F.col("kp")) / (n - pos)
+    z = F.abs(gap) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / pos + 1 / (n - pos)))
+    best = words.select("bucket", z.alias("z")).where(F.col("z") > WORD_Z).orderBy(F.desc("z"), "bucket").limit(MOST_WORDS)
+    return np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, Model | None]:
-    """Fit both models on the ``sample`` labelled documents of the least hashes. docs: (doc_id, text); labels: (doc_id, toxic, quality)."""
+    """Fit both models on the ``sample`` labelled ids of the least hashes. docs: (doc_id, text); labels: (doc_id, toxic, quality)."""
     picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = F.broadcast(cut(picked, "sample"))  # ``sample`` rows at most
-    schema = pa.schema([("toxic", pa.int32()), ("low", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shapes", pa.list_(pa.float64()))])
+    picked = cut(picked, "sample")
 
     def run(batches):
         for batch in batches:
-            toxic, quality = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for a, b, data, offsets in slices(batch.column(0)):
+            toxic, quality = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for a, b, data, offsets in slices(batch.column(2)):
                 bucket, at, shapes = features(data, offsets)
                 arrays = [
+                    batch.column(0).slice(a, b - a),
+                    batch.column(1).slice(a, b - a),
                     pa.array(toxic[a:b].astype(np.int32)),
                     pa.array((1 - quality[a:b]).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32))),
                     pa.FixedSizeListArray.from_arrays(pa.array(shapes.ravel()), shapes.shape[1]).cast(pa.list_(pa.float64())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    rows = docs.join(picked, "doc_id").select("text", "toxic", "quality").mapInArrow(run, "toxic int, low int, buckets array<int>, shapes array<double>").limit(sample)
-    table = rows.toArrow()
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "toxic", "low", "buckets", "shapes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "toxic", "quality")  # ``sample`` rows at most
+    rows = rows.mapInArrow(run, f"doc_id {kind}, h bigint, toxic int, low int, buckets array<int>, shapes array<double>")
+    # One text for an id that repeats.
+    rows = cut(rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where("k = 1").drop("k"), "sample")
+    spent(picked)
+    n, toxic, low = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("low"), F.lit(0))).first()
+    chosen = {"toxic": _telling(rows, "toxic", n, toxic), "low": _telling(rows, "low", n, low)}
+    marks = F.array(*(F.lit(int(x)) for x in sorted({*chosen["toxic"].tolist(), *chosen["low"].tolist()}))).cast("array<int>")
+    table = rows.select("toxic", "low", F.array_intersect("buckets", marks).alias("words"), "shapes", "doc_id").orderBy("doc_id").drop("doc_id").toArrow()
+    spent(rows)
     if not table.num_rows:
         return {"toxic": None, "low": None}
-    lists = table.column("buckets").combine_chunks()
+    lists = table.column("words").combine_chunks()
     at = np.asarray(lists.offsets).astype(np.int64)
     bucket = lists.flatten().to_numpy().astype(np.int64)
     shapes = table.column("shapes").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-    return {k: fit(table.column(k).to_numpy().astype(np.float64), bucket, at - at[0], shapes) for k in ("toxic", "low")}
+    return {k: fit(table.column(k).to_numpy().astype(np.float64), chosen[k], bucket, at - at[0], shapes) for k in ("toxic", "low")}
 
 
-def score(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
-    """From (doc_id, host, path, text): (doc_id, host, path, p_doc), the classifier's probability of being toxic or of low quality."""
+def score(docs: DataFrame, models: dict[str, Model | None], mu: float) -> DataFrame:
+    """From (doc_id, host, path, text): (doc_id, host, path, p_doc), the classifier's probability of being toxic or of low quality; ``mu`` without models."""
     used = docs.sparkSession.sparkContext.broadcast(models)  # two models of bounded size
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -199,51 +221,58 @@ def score(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
                     if m is not None:
                         fine *= 1 - 1 / (1 + np.exp(-m.logit(bucket, at, shapes)))
                 if not any(m is not None for m in used.value.values()):
-                    fine[:] = 0.5
+                    fine[:] = 1 - mu
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(1 - fine)], names=["doc_id", "host", "path", "p_doc"])
 
     return docs.select("doc_id", "host", "path", "text").mapInArrow(run, f"doc_id {id_kind}, host string, path string, p_doc double")
 
 
-def site_rates(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """From (host, path, bad): (host, path, p_site, p_path) for every labelled path, and the global rate."""
+def strength(between: float, total: float, spread: float, chance: float, rate: float) -> float:
+    """Prior observations of a beta prior: ``between`` is the counts' weighted sum of squares around their mean, of which
+    ``chance`` is due to binomial noise and the rest to ``spread`` weights of true variance."""
+    if spread <= 0 or total <= 0:
+        return 50.0
+    variance = max((between - chance) / spread, 1e-6)
+    return float(min(max(rate / variance - 1, 2.0), 1000.0))
+
+
+def site_rates(labelled: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """From (host, path, bad): (host, p_site) of labelled hosts, (host, path, p_path) of labelled paths, and the global rate."""
     paths = cut(labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("k")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    total = hosts.agg(F.sum("hn"), F.sum("hk"), F.count("*")).first()
-    if not total[0]:
-        return paths.select("host", "path", F.lit(None).cast("double").alias("p_site"), F.lit(None).cast("double").alias("p_path")), 0.5
-    mu = min(max(total[1] / total[0], 1e-4), 1 - 1e-4)
-
-    def strength(df, n, k):
-        """Prior observations: how much rates vary beyond what their counts explain."""
-        m = df.where(f"{n} >= 2").agg(F.sum((F.col(k) / F.col(n) - mu) ** 2 * F.col(n)), F.sum(n), F.count("*")).first()
-        if not m[2] or m[2] < 2:
-            return 50.0
-        observed, by_chance = m[0] / m[1], mu * (1 - mu) * m[2] / m[1]
-        between = max(observed - by_chance, 1e-6)
-        return float(min(max(mu * (1 - mu) / between - 1, 2.0), 1000.0))
-
-    a_host, a_path = strength(hosts, "hn", "hk"), strength(paths, "n", "k")
-    hosts = hosts.withColumn("p_site", (F.col("hk") + a_host * mu) / (F.col("hn") + a_host))
-    hosts = hosts.select(F.col("host").alias("h"), "p_site")
-    joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    return joined.select("host", "path", "p_site", ((F.col("k") + a_path * F.col("p_site")) / (F.col("n") + a_path)).alias("p_path")), mu
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    by_host = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"), F.count("*").alias("m"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    by_host = cut(by_host, "hosts")
+    rate = F.col("hk") / F.col("hn")
+    total = by_host.agg(F.sum("hn"), F.sum("hk"), F.count("*"), F.sum(F.col("hk") * F.col("hk") / F.col("hn")), F.sum(F.col("hn").cast("double") * F.col("hn"))).first()
+    mu = min(max(total[1] / total[0], 1e-4), 1 - 1e-4) if total[0] else 0.0
+    n, k, hosts, kk, nn = (float(x or 0) for x in total)
+    # Sums of squares around a mean: sum of k * k / n less the mean's own.
+    a_host = strength(kk - k * k / n, n, n - nn / n, (hosts - 1) * mu * (1 - mu), mu * (1 - mu)) if n else 50.0
+    # Paths around their hosts: pooled over the hosts that have several.
+    inner = by_host.where("m > 1").agg(F.sum(F.col("kk") - F.col("hk") * rate), F.sum("hn"), F.sum(F.col("hn") - F.col("nn") / F.col("hn")), F.sum((F.col("m") - 1) * rate * (1 - rate)), F.sum(F.col("hn") * rate * (1 - rate))).first()
+    b, t, w, c, v = (float(x or 0) for x in inner)
+    a_path = strength(b, t, w, c, v / t if t else 0.0)
+    hosts = by_host.select("host", ((F.col("hk") + a_host * mu) / (F.col("hn") + a_host)).alias("p_site"))
+    joined = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
+    return hosts, joined.select("host", "path", ((F.col("k") + a_path * F.col("p_site")) / (F.col("n") + a_path)).alias("p_path")), mu
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= GROUPS_BROADCAST else df
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """One row per document: doc_id, p_doc, p_site, p_path, p_bad, kept."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
     marks = _labels(labels, id_col)
     models = train(src.select("doc_id", "text"), marks, sample)
-    rates, mu = site_rates(src.select("doc_id", "host", "path").join(marks.select("doc_id", "bad"), "doc_id").select("host", "path", "bad"))
-    rates = cut(rates, "rates")
-    side = rates.select(F.col("host").alias("h"), F.col("path").alias("q"), "p_site", "p_path")
-    if rates.count() <= GROUPS_BROADCAST:
-        side = F.broadcast(side)
-    got = score(src, models).join(side, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
+    hosts, paths, mu = site_rates(src.select("doc_id", "host", "path").join(marks.select("doc_id", "bad"), "doc_id").select("host", "path", "bad"))
+    hosts = cut(hosts.select(F.col("host").alias("h"), "p_site"), "rates")
+    paths = cut(paths.select(F.col("host").alias("g"), F.col("path").alias("q"), "p_path"), "rates")
+    got = score(src, models, mu).join(_small(hosts), F.col("host").eqNullSafe(F.col("h")), "left")
+    got = got.join(_small(paths), F.col("host").eqNullSafe(F.col("g")) & F.col("path").eqNullSafe(F.col("q")), "left")
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = lambda c: F.log(clip(c) / (1 - clip(c)))
-    p_path = F.coalesce("p_path", "p_site", F.lit(mu))
-    total = odds(F.col("p_doc")) + odds(p_path) - odds(F.lit(mu))
-    bad = 1 / (1 + F.exp(-total))
-    return got.select("doc_id", "p_doc", F.coalesce("p_site", F.lit(mu)).alias("p_site"), p_path.alias("p_path"), bad.alias("p_bad"), (F.round(bad, 9) <= 0.5).alias("kept"))
+    p_site = F.coalesce("p_site", F.lit(mu))
+    p_path = F.coalesce(F.col("p_path"), p_site)
+    bad = 1 / (1 + F.exp(-(odds(F.col("p_doc")) + odds(p_path) - odds(F.lit(mu)))))
+    return got.select("doc_id", "p_doc", p_site.alias("p_site"), p_path.alias("p_path"), bad.alias("p_bad"), (F.round(bad, 9) <= keep).alias("kept"))
