@@ -95,13 +95,13 @@ def _op6() -> str:
     w = " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(mixing.WEIGHTS))
     cap = mixing.LIMIT
     # The level rises round by round: what is above its stop is taken out, and the rest is shared again by weight.
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} {w} END AS w FROM d GROUP BY source),
 lv AS (SELECT 1 AS k, (SELECT sum(n) * 1.0 / sum(w) FROM s) AS level UNION ALL
 SELECT k + 1, (SELECT ((SELECT sum(n) FROM s) - coalesce(sum({cap} * n) FILTER (WHERE level * w > {cap} * n), 0)) * 1.0 / sum(w) FILTER (WHERE level * w <= {cap} * n) FROM s) FROM lv WHERE k < 20),
 t AS (SELECT source, n, round(least({cap} * n, w * (SELECT max(level) FROM lv)), 6) AS target FROM s),
 r AS (SELECT *, CASE WHEN n > 0 THEN least(target / n, {cap}) ELSE 0 END AS rate FROM t),
-u AS (SELECT d.*, n, target, rate, CAST('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+u AS (SELECT d.*, n, target, rate, CAST('0x' || substr(md5('{mixing.SEED}:' || d.key), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, CAST(target AS DOUBLE) AS target,
 CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM u"""
 
