@@ -1,35 +1,45 @@
 """Sharding by minimax contiguous partition, in DataFrame operations only.
 
-Rows of equal text form one atomic group. Groups are ordered by the first 16
-bits of the text's MD5, so that the ordered atoms that the partition works on
-are at most 65,536 whatever the input's size: one aggregation with map-side
-combine gives their sizes, and only those sums reach the driver. There, a
-binary search finds the smallest capacity for which a greedy scan needs no more
-than the wanted shards; the cuts then stay within that capacity and lie as near
-to even shares as it allows. A row's shard is a projection of its text's hash.
+Rows of equal text form one atomic group; groups are ordered by their text's MD5.
+The smallest capacity for which a greedy scan of the groups needs no more than the
+wanted shards is found without bringing the groups to the driver:
+
+* One aggregation with map-side combine gives each group's size, written once.
+* The driver works on atoms, ranges of the order: first the 65,536 of a 16-bit prefix.
+  A binary search over whole atoms bounds the capacity from above; one that may cut
+  atoms of several groups anywhere bounds it from below.
+* While the bounds differ, the atoms that a cut between them may fall into are split
+  by the next 8 bits and read again. Others stay as they are, so the driver holds some
+  hundred atoms a cut and turn more, whatever the input's size.
+
+The cuts then stay within the capacity and lie as near to even shares as it allows. A
+row's shard is a projection of its text's hash.
 
 Slots: rows are counted by (shard, lane), a lane being a hash of the id, and
-numbered within their lane; so no task holds a whole shard and one text that a
-third of the rows share is spread over the lanes of its shard.
+numbered within their lane; lanes grow in number with the table, so no task holds a whole
+shard and one text that a third of the rows share is spread over the lanes of its shard.
 
 Edge cases: a null text has no bytes, counts as the empty text and has its
 checksum (0); a group larger than an even share gets a shard of its size; with
-fewer atoms than shards the last shards are empty; repeated rows each get a
-slot; an empty table gives no rows.
+fewer groups than shards the last shards are empty; rows of a null id, and repeated
+rows, each get a slot of their own (ties fall in any order among equal rows); a very
+long text is one size; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-ATOM_BITS = 16
-LANES = 64
+from .common import cut, spent
+
+#: Hex digits of the first atoms, and of each split.
+FIRST_DIGITS, MORE_DIGITS = 4, 2
+#: Lanes of a shard: so many at least, and one for so many rows.
+LANES, LANE_ROWS = 64, 50_000
 
 
 def need_from(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,19 +62,55 @@ def feasible(sums: np.ndarray, shards: int, capacity: int) -> bool:
     return at >= end
 
 
+def fluid(sums: np.ndarray, whole: np.ndarray, shards: int, capacity: int) -> list[int] | None:
+    """Ends of greedy shards when atoms that aren't ``whole`` may be cut anywhere; None if the shards don't suffice."""
+    at, end, ends = 0, int(sums[-1]), []
+    for _ in range(shards):
+        to = at + capacity
+        if to >= end:
+            return [*ends, end]
+        j = int(np.searchsorted(sums, to, "right")) - 1
+        to = int(sums[j]) if whole[j] else to
+        if to <= at:
+            return None
+        at = to
+        ends.append(at)
+    return ends if at >= end else None
+
+
+def least(fits, low: int, high: int) -> int:
+    """The least capacity that fits."""
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+def between(sizes: np.ndarray, whole: np.ndarray, shards: int) -> tuple[int, int, np.ndarray]:
+    """(lower, upper) bounds of the capacity, and which atoms to split: those of several groups that a cut between the two may fall into."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    even = -(-int(sums[-1]) // shards)
+    high = least(lambda c: feasible(sums, shards, c), max(int(sizes.max()), even), int(sums[-1]))
+    low = least(lambda c: fluid(sums, whole, shards, c) is not None, max(int(sizes[whole].max(initial=0)), even), high)
+    split = np.zeros(len(sizes), bool)
+    if low < high:
+        # Shard ends grow with the capacity, so those of any between lie between these.
+        first, last = fluid(sums, whole, shards, low), fluid(sums, whole, shards, high)
+        last += [int(sums[-1])] * (len(first) - len(last))
+        for x, y in zip(first, last):
+            split[max(0, int(np.searchsorted(sums, x, "right")) - 2) : int(np.searchsorted(sums, y, "left")) + 1] = True
+        split[sizes > low] = True
+        split &= ~whole
+    return low, high, split
+
+
 def minimax_cuts(sizes, shards: int) -> tuple[int, list[int]]:
     """The smallest capacity, and for shards 1.. the index of their first atom (shards - 1 cuts)."""
     sizes = np.asarray(sizes, np.int64)
     if not len(sizes):
         return 0, [0] * (shards - 1)
     sums = np.concatenate([[0], np.cumsum(sizes)])
-    low, high = max(int(sizes.max()), -(-int(sums[-1]) // shards)), int(sums[-1])
-    while low < high:
-        mid = (low + high) // 2
-        if feasible(sums, shards, mid):
-            high = mid
-        else:
-            low = mid + 1
+    low = least(lambda c: feasible(sums, shards, c), max(int(sizes.max()), -(-int(sums[-1]) // shards)), int(sums[-1]))
     need, cuts, at = need_from(sizes, low), [], 0
     for k in range(1, shards):
         left = shards - k
@@ -80,42 +126,56 @@ def minimax_cuts(sizes, shards: int) -> tuple[int, list[int]]:
     return low, cuts
 
 
-def atom_of(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), 1, ATOM_BITS // 4), 16, 10).cast("int")
+def _atoms(groups: DataFrame, digits) -> dict[str, tuple[int, bool]]:
+    """{prefix: (size, one group only)} of the groups (m, size), by their first ``digits`` (a number or a column)."""
+    got = groups.groupBy(F.substring("m", 1, digits).alias("p") if isinstance(digits, int) else digits.alias("p")).agg(F.sum("size").alias("s"), (F.min("m") == F.max("m")).alias("one"))
+    return {r["p"]: (r["s"], r["one"]) for r in got.collect()}
+
+
+def starts(groups: DataFrame, shards: int) -> list[str | None]:
+    """For shards 1.. the prefix of the MD5 at which each starts (None: it is empty). groups: (m, size), one row for each text."""
+    atoms = _atoms(groups, FIRST_DIGITS)
+    while True:
+        names = sorted(atoms)
+        sizes, whole = np.array([atoms[p][0] for p in names], np.int64), np.array([atoms[p][1] for p in names], bool)
+        if not names:
+            return [None] * (shards - 1)
+        low, high, split = between(sizes, whole, shards)
+        if low == high or not split.any():
+            break
+        by_length: dict[int, list[str]] = {}
+        for p in np.array(names, object)[split]:
+            by_length.setdefault(len(p), []).append(p)
+            del atoms[p]
+        for n, wanted in by_length.items():
+            some = groups.sparkSession.createDataFrame([(p,) for p in wanted], "p string")  # atoms that cuts fall into: hundreds a cut at most
+            inside = groups.withColumn("p", F.substring("m", 1, n)).join(F.broadcast(some), "p", "left_semi").select("m", "size")
+            atoms.update(_atoms(inside, n + MORE_DIGITS))
+    _, cuts = minimax_cuts(sizes, shards)
+    return [names[c] if c < len(names) else None for c in cuts]
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 24, overhead: int = 8) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``)."""
+    spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        (F.octet_length(body) + overhead).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        atom_of(body).alias("atom"),
-    )
-    lane = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(LANES)).cast("int")
-    rows = rows.withColumn("lane", lane)
-    sizes = sorted((r["atom"], r["s"]) for r in rows.groupBy("atom").agg(F.sum("size").alias("s")).collect())
-    _, cuts = minimax_cuts([s for _, s in sizes], shards)
-    atoms = [a for a, _ in sizes]
-    # The atom value at which each next shard starts; past the end for an empty shard.
-    starts = [atoms[c] if c < len(atoms) else 1 << ATOM_BITS for c in cuts]
+    raw = F.encode(body, "UTF-8")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("m"))
+    # What the passes below read: 48 bytes a row instead of its text.
+    rows = cut(rows, "rows")
+    groups = cut(rows.groupBy("m").agg(F.sum("size").alias("size")), "groups")
     shard = F.lit(0)
-    for s in starts:
-        shard = shard + (F.col("atom") >= s).cast("int")
-    rows = rows.withColumn("shard", shard)
-    spark = docs.sparkSession
-    by_lane = rows.groupBy("shard", "lane").count().collect()
+    for p in starts(groups, shards):
+        shard = shard + (F.col("m") >= p).cast("int") if p is not None else shard
+    spent(groups)
+    lanes = max(LANES, -(-rows.count() // (shards * LANE_ROWS)))
+    rows = rows.withColumn("shard", shard).withColumn("lane", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(lanes)).cast("int"))
     total, before = {}, []
-    for r in sorted(by_lane, key=lambda r: (r["shard"], r["lane"])):
+    for r in sorted(rows.groupBy("shard", "lane").count().collect(), key=lambda r: (r["shard"], r["lane"])):
         before.append((r["shard"], r["lane"], total.get(r["shard"], 0)))
         total[r["shard"]] = total.get(r["shard"], 0) + r["count"]
     offsets = spark.createDataFrame(before, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("lane", T.IntegerType()), T.StructField("before", T.LongType())]))
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size")))
-    # At most shards x LANES rows: a proven bound.
+    # A row for each lane: a small share of the table's rows, LANE_ROWS to one.
     got = numbered.join(F.broadcast(offsets), ["shard", "lane"])
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("k") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def shard_of(cuts: list[int], atom: int) -> int:
-    return bisect.bisect_right(cuts, atom)
