@@ -2,6 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept; all but the last return the columns of ``documents``.
+
+Line dedup comes before the join of near copies: of a near copy that shares whole
+lines with an earlier document, only what is its own reaches the join, which then
+finds copies that differ within their lines.
+
+Edge cases, as the stages' operators define them: a null, empty or short text fails the
+quality rules and goes; rows that repeat an id and text share every verdict, and all
+stay where their document stays; a row of a null id is judged by the rules, is no
+copy of anything and is mixed by a draw on its text; extra columns of any name pass
+through all stages but the last; a very long text is one row throughout; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Hashing of shingles, Jaccard components and BPE have no SQL form; tests hold run() against a plain version.
+#: BPE has no SQL form; tests/llm/test_pipeline.py holds every stage and run() against plain versions.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
