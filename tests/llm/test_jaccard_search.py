@@ -34,12 +34,12 @@ def test_search_finds_every_pair_that_is_due():
     rows = [(k, i, len(sets[i]), comp[i], weight[comp[i]]) for i in range(60) for k in short[i]]
     lists = pa.table(dict(zip(("key", "doc", "n", "comp", "w"), map(list, zip(*rows)))))
     asked = pa.table({"doc": list(range(60)), "n": [len(s) for s in sets], "comp": comp, "w": [weight[c] for c in comp], "keys": short})
-    a, b, total = jj._search(lists, asked, 80, 0, 1 << 62)
+    a, b, total, met = jj._search(lists, asked, 80, None)
     found = set(zip(a, b))
     assert len(a) == total == len(found)
     due = {(i, j) for i in range(60) for j in range(60) if (weight[comp[i]], comp[i]) < (weight[comp[j]], comp[j]) and 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
-    assert due and due <= found
-    some = jj._search(lists, asked, 80, 0, 2)
+    assert due and due <= found and met == set(a) | set(b)
+    some = jj._search(lists, asked, 80, 2)
     assert some[2] == total and set(zip(*some[:2])) <= found and max(collections.Counter(some[0]).values()) == 2
 
 
@@ -65,7 +65,7 @@ def family(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {(i, len(sets[i]), comp[i]) for i in sets}
 
 
-@pytest.mark.parametrize("ways", [{}, {"run_rows": 2, "task_entries": 40, "bins": 3, "few": 0}, {"turns": 0, "bits": 6, "bins": 1}], ids=str)
+@pytest.mark.parametrize("ways", [{}, {"run_rows": 2, "task_entries": 40, "bins": 3, "tries": (1, 2)}, {"tries": (), "bits": 6, "bins": 1}], ids=str)
 def test_every_way_gives_one_result(family, ways):
     df, want = family
     assert {tuple(r) for r in jj.link(df, **ways).collect()} == want

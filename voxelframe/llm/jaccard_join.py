@@ -19,8 +19,8 @@ T - L indexed lists at least.
   a task's share is split by its candidates, each with all of its occurrences.
 * Candidates are probed: binary search of one's sorted members in the other's whole
   array; pairs that reach T are links. The first turns probe each query's likeliest
-  candidates, which merges most components; the last probes every one that is left,
-  so no link between components is lost.
+  candidates, which merges most components; the last probes every one that is left
+  (none, as a rule), so no link between components is lost.
 
 Work is the sum of the open lists' lengths over the queries, and a task holds
 ``TASK_ENTRIES`` list entries whatever the input. Documents of equal sets are one class,
@@ -58,8 +58,8 @@ RUN_ROWS = 4096
 TASK_ENTRIES, LEAST_BINS = 500_000, 32
 #: Ids that a filter of texts may broadcast, at 8 bytes each.
 IDS_BROADCAST = 500_000
-#: Turns that try each query's likeliest candidates, candidates a turn, and pairs so few that they are all tried at once.
-MOST_TURNS, TRIES, FEW_PAIRS = 4, 2, 5000
+#: Likeliest candidates of each query that the first turns probe; a last turn probes all that are left, if any are.
+TRIES = (8, 1000)
 #: DivideSkip's weight of a probe against a merge step, and the bands of sizes around a query's.
 MU = 0.0085
 BANDS = (0.0, 0.85, 0.9, 0.95, 1.0, 1.06, 1.12, 1.18, math.inf)
@@ -229,8 +229,8 @@ def _merge_lists(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return sorted_rows.mapInArrow(run, "key bigint, salt int, f1 bigint, n int, lead bigint, lead_n int")
 
 
-def _arrays(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, members): the sorted members of the documents ``wanted`` (doc_id). A task emits an id's text that it meets again only once."""
+def _arrays(src: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, members): the sorted members of the documents of ``ids`` (doc_id). A task emits an id's text that it meets again only once."""
 
     def run(batches):
         claim("jaccard_join")
@@ -251,8 +251,11 @@ def _arrays(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(fresh, pa.int64())), lists.take(pa.array(fresh, pa.int64()))], names=["doc", "members"])
 
     # A filter of ids is a broadcast while they are few (checked), else a shuffled join.
-    some = src.join(F.broadcast(wanted) if wanted.count() <= IDS_BROADCAST else wanted, "doc_id", "left_semi")
-    return some.select("doc_id", "text").mapInArrow(run, "doc bigint, members array<bigint>")
+    ids = cut(ids.where("doc_id is not null").distinct(), "ids")
+    some = src.join(F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids, "doc_id", "left_semi")
+    out = cut(some.select("doc_id", "text").mapInArrow(run, "doc bigint, members array<bigint>"), "members")
+    spent(ids)
+    return out
 
 
 def _probe(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -281,8 +284,8 @@ def _probe(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     one = arrays.select(F.col("doc").alias("a"), F.col("members").alias("x"))
     two = arrays.select(F.col("doc").alias("b"), F.col("members").alias("y"))
-    # The side that may repeat, a leader's, is joined last and by lanes.
-    got = lane_join(pairs.join(one, "a"), two, ["b"], ["a"], 2)
+    # A leader repeats in b: both sides come from exchanges of this join alone, so adaptive execution can split it.
+    got = pairs.join(one, "a").join(two, "b")
     return got.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -343,11 +346,11 @@ def divide_skip(lists: list[list[int]], theta: int) -> list[tuple[int, int]]:
     return out
 
 
-def _search(lists: pa.Table, queries: pa.Table, percent: int, low: int, high: int):
-    """Candidates (query, set) of one task, those at places ``low`` to ``high`` of each query's likeliest, and the number of all."""
-    out_a, out_b, total = [], [], 0
+def _search(lists: pa.Table, queries: pa.Table, percent: int, most: int | None):
+    """Candidates (query, set) of one task, the ``most`` likeliest of each query, the number of all, and the ids that all hold."""
+    out_a, out_b, total, met = [], [], 0, set()
     if not lists.num_rows or not queries.num_rows:
-        return out_a, out_b, total
+        return out_a, out_b, total, met
     key, doc, n, comp, w = (lists.column(c).to_numpy() for c in ("key", "doc", "n", "comp", "w"))
     # Sets get local names in order of size, so that a band of sizes is a range of every list.
     order = np.lexsort((doc, n))
@@ -402,60 +405,62 @@ def _search(lists: pa.Table, queries: pa.Table, percent: int, low: int, high: in
         hit, c = np.array([x for x, _ in found]), np.array([x for _, x in found])
         fine = c >= threshold(size, sizes[hit], percent)
         hit, c = hit[fine], c[fine]
+        if not len(hit):
+            continue
         total += len(hit)
-        best = np.lexsort((ids[hit], -c / np.maximum(sizes[hit], size)))[low:high]
+        met.add(int(q_id[q]))
+        met.update(ids[hit].tolist())
+        best = np.lexsort((ids[hit], -c / np.maximum(sizes[hit], size)))[:most]
         out_a += [int(q_id[q])] * len(best)
         out_b += ids[hit[best]].tolist()
-    return out_a, out_b, total
+    return out_a, out_b, total, met
 
 
-def _candidates(sets: DataFrame, comp: DataFrame, percent: int, turn: int | None, task_entries: int, bins: int) -> DataFrame | None:
-    """(a, b, total): queries and sets of other components that occur together in enough indexed lists; None if no list is open.
+def _candidates(sets: DataFrame, comp: DataFrame, percent: int, most: int | None, task_entries: int, bins: int) -> DataFrame | None:
+    """(a, b, total, met): queries and sets of other components that occur together in enough indexed lists; None if no list is open.
 
-    With ``turn`` only the next ``TRIES`` likeliest of each query come out, and in a
-    row of nulls the number of all.
+    Only the ``most`` likeliest of each query come out. Other rows have the number of
+    all candidates, and the ids that they hold, once a task.
     """
-    rows = sets.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    sized = comp.join(comp.groupBy("component").agg(F.count("*").alias("w")), "component").select(F.col("node").alias("doc"), "component", "w")
+    rows = sets.join(sized, "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"), F.coalesce("w", F.lit(1)).alias("w"))
     rows = cut(rows, "entries")
-    weight = rows.groupBy("comp").agg(F.count("*").alias("w"))
-    rows_w = lane_join(rows, weight, ["comp"], ["key", "doc"])
+    # Of two components the smaller asks: in each open list all but the largest one's sets are queries.
     rank = F.struct("w", "comp")
-    some = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("f")).where("x < y").select("key", "f")
-    opened = cut(lane_join(rows_w, some, ["key"], ["doc"]), "open")
+    some = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("f"), F.max(rank).alias("top")).where("x < y").select("key", "f", "top")
+    opened = cut(lane_join(rows, some, ["key"], ["doc"]), "open")
     spent(rows)
-    # Of two components the smaller asks: in each list all but the largest one's sets are queries.
-    top = opened.groupBy("key").agg(F.max(rank).alias("top"))
-    asks = lane_join(opened, top, ["key"], ["doc"]).where(rank < F.col("top"))
-    queries = cut(asks.groupBy("doc", "n", "comp", "w").agg(F.collect_list("key").alias("keys"), F.sum("f").alias("work")), "queries")
+    asks = opened.where(rank < F.col("top"))
+    queries = cut(asks.groupBy("doc", "n", "comp", "w").agg(F.collect_list("key").alias("keys"), F.sum("f").alias("work"), F.min("key").alias("lead")), "queries")
     total = queries.agg(F.sum("work"), F.max("work")).first()
     if not total[0]:
         return None
     shards = -(-total[1] // task_entries)
     share = shards * task_entries
     bins = max(bins, -(-total[0] // share))
-    # Queries of one component share lists, and so a bin, unless they are too many.
-    own = queries.groupBy("comp").agg(F.ceil(F.sum("work") / F.lit(float(share))).cast("int").alias("pieces"))
-    dealt = lane_join(queries, own, ["comp"], ["doc"])
-    # A component's queries keep together, a piece at a time.
+    # Queries of one least member, likely ones that share many lists, share a bin and so a copy of those, a piece at a time.
+    own = queries.groupBy("lead").agg(F.ceil(F.sum("work") / F.lit(float(share))).cast("int").alias("pieces"))
+    dealt = lane_join(queries, own, ["lead"], ["doc"])
     piece = F.pmod(F.xxhash64("doc"), F.col("pieces"))
-    dealt = cut(dealt.select("doc", "n", "comp", "w", "keys", F.pmod(F.xxhash64("comp", piece), F.lit(bins)).cast("int").alias("bin")), "dealt")
+    dealt = cut(dealt.select("doc", "n", "comp", "w", "keys", F.pmod(F.xxhash64("lead", piece), F.lit(bins)).cast("int").alias("bin")), "dealt")
     need = dealt.select("bin", F.explode("keys").alias("key")).distinct()
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")
     left = lane_join(opened.select("key", "doc", "n", "comp", "w"), need, ["key"], ["doc"]).select("bin", shard, "key", "doc", "n", "comp", "w")
     right = dealt.select(F.col("bin").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1))).alias("part"), "doc", "n", "comp", "w", "keys")
-    low, high = (0, 1 << 62) if turn is None else (turn * TRIES, (turn + 1) * TRIES)
 
     def run(lists: pa.Table, asked: pa.Table) -> pa.Table:
         claim("jaccard_join")
-        a, b, all_of = _search(lists, asked, percent, low, high)
-        return pa.table({"a": pa.array([*a, None], pa.int64()), "b": pa.array([*b, None], pa.int64()), "total": pa.array([0] * len(a) + [all_of], pa.int64())})
+        a, b, all_of, met = _search(lists, asked, percent, most)
+        ids = [*[None] * len(a), *sorted(met)]
+        more = [None] * len(met)
+        return pa.table({"a": pa.array([*a, *more], pa.int64()), "b": pa.array([*b, *more], pa.int64()), "total": pa.array([all_of, *[0] * (len(ids) - 1)] if ids else [], pa.int64()), "met": pa.array(ids, pa.int64())})
 
-    found = cut(left.groupBy("bin", "shard").cogroup(right.groupBy("to", "part")).applyInArrow(run, "a bigint, b bigint, total bigint"), "pairs")
+    found = cut(left.groupBy("bin", "shard").cogroup(right.groupBy("to", "part")).applyInArrow(run, "a bigint, b bigint, total bigint, met bigint"), "pairs")
     spent(opened, queries, dealt)
     return found
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS, run_rows: int = RUN_ROWS, task_entries: int = TASK_ENTRIES, bins: int = LEAST_BINS, turns: int = MOST_TURNS, few: int = FEW_PAIRS) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS, run_rows: int = RUN_ROWS, task_entries: int = TASK_ENTRIES, bins: int = LEAST_BINS, tries: tuple[int, ...] = TRIES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links). The numbers after ``percent`` deal the work out and change no result."""
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -478,8 +483,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     )
     spent(lists)
     sets = cut(named.select("key", "doc", "n").distinct(), "sets")
-    wanted = cut(sets.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    arrays = cut(_arrays(src, wanted, width), "members")
     fits = f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)"
     # Leaders of one list's salts meet at the least of them.
     heads = named.where("salt > 0 and doc = leader").select("key", "doc", "n")
@@ -489,27 +492,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     star = star.where(f"doc <> leader and {fits}").groupBy("doc", "leader").agg(F.count("*").alias("c"), F.max(t).alias("t"))
     # Each set's likeliest leader, if likely at all: one probe a set, so a group of copies costs its size.
     star = star.where(F.col("c") >= F.col("t")).groupBy("doc").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-    links = cut(_probe(star.select(F.col("doc").alias("a"), F.col("leader").alias("b")), arrays, percent), "probed")
+    pairs = cut(star.select(F.col("doc").alias("a"), F.col("leader").alias("b")), "star")
+    arrays = _arrays(src, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), width)
+    links = cut(_probe(pairs, arrays, percent), "probed")
     comp = cut(components(links.union(tied)), "components")
-    spent(links, named, wanted)
+    spent(links, named, pairs, arrays)
+    arrays = None
 
-    for turn in range(turns + 1):
-        # The first turns try each query's likeliest candidates, which merges most components; the last tries all that are left.
-        whole = turn == turns
-        found = _candidates(sets, comp, percent, None if whole else turn, task_entries, bins)
+    # The first turns try each query's likeliest candidates, which merges most components; the last tries all that are left.
+    for most in (*tries, None):
+        found = _candidates(sets, comp, percent, most, task_entries, bins)
         if found is None:
             break
         counted = found.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("a")).first()
-        if not whole and counted[1] < counted[0] and (not counted[1] or counted[0] <= few + 2 * counted[1]):
-            spent(found)
-            whole, found = True, _candidates(sets, comp, percent, None, task_entries, bins)
+        if arrays is None:  # candidates of later turns are among those of the first
+            arrays = _arrays(src, found.select(F.col("met").alias("doc_id")), width)
         pairs = found.where("a is not null").select("a", "b").distinct()
         links = cut(_probe(pairs, arrays, percent), "probed")
         spent(found)
         comp = grow(comp, links)
-        if whole or counted[0] <= counted[1]:
+        if counted[0] <= counted[1]:  # all were probed
             break
-    spent(sets, arrays)
+    spent(sets)
+    if arrays is not None:
+        spent(arrays)
 
     ranked = classes.select("f1", "f2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = lane_join(members.where("n > 0 and doc_id is not null"), ranked, ["f1", "f2", "n"], ["doc_id"])
