@@ -39,6 +39,72 @@ def t_tail(t: np.ndarray, dof: float) -> np.ndarray:
     return 0.5 * beta_fraction(dof / 2, 0.5, dof / (dof + t * t))
 
 
+def f_tail(f: np.ndarray, d1: float, d2: float) -> np.ndarray:
+    """P(F > f) of Fisher's F; 1 below 0."""
+    f = np.maximum(np.asarray(f, float), 0.0)
+    return beta_fraction(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
+
+
+def gamma_fraction(a: float, x: np.ndarray, terms: int = 2000) -> np.ndarray:
+    """Regularised lower incomplete gamma function P(a, x): a series below a + 1, a continued fraction (Lentz) above."""
+    x = np.maximum(np.asarray(x, float), 0.0)
+    low = x < a + 1
+    y = np.where(low, x, 0.0)
+    term = total = np.full(x.shape, 1 / a)
+    for k in range(1, terms):
+        term = term * y / (a + k)
+        total = total + term
+        if np.abs(term).max(initial=0) < 1e-17 * np.abs(total).max(initial=1):
+            break
+    z, tiny = np.where(low, a + 2, x), 1e-300
+    b = z + 1 - a
+    c, d = np.full(x.shape, 1 / tiny), 1 / b
+    h = d.copy()
+    for k in range(1, terms):
+        top = -k * (k - a)
+        b = b + 2
+        d = 1 / np.where(np.abs(top * d + b) < tiny, tiny, top * d + b)
+        c = np.where(np.abs(b + top / c) < tiny, tiny, b + top / c)
+        h = h * d * c
+        if np.abs(d * c - 1).max(initial=0) < 1e-15:
+            break
+    with np.errstate(divide="ignore"):
+        front = np.exp(a * np.log(x) - x - math.lgamma(a))
+        above = 1 - np.exp(a * np.log(z) - z - math.lgamma(a)) * h
+    return np.where(low, front * total, above)
+
+
+def chi2_tail(x: np.ndarray, dof: float) -> np.ndarray:
+    """P(X > x) of chi squared."""
+    return 1 - gamma_fraction(dof / 2, np.asarray(x, float) / 2)
+
+
+def inverse_tail(tail, p: np.ndarray, low: float = 0.0, high: float = 1e6, steps: int = 200) -> np.ndarray:
+    """x with tail(x) = p of a falling ``tail``, by bisection between ``low`` and ``high``."""
+    p = np.asarray(p, float)
+    a, b = np.full(p.shape, low), np.full(p.shape, high)
+    for _ in range(steps):
+        mid = (a + b) / 2
+        over = tail(mid) > p
+        a, b = np.where(over, mid, a), np.where(over, b, mid)
+    return (a + b) / 2
+
+
+def column_of(f, *columns: Column) -> Column:
+    """A vectorised function of doubles over columns; null where any is."""
+
+    @F.pandas_udf("double")
+    def run(*series: pd.Series) -> pd.Series:
+        arrays = [s.to_numpy(float, na_value=np.nan) for s in series]
+        known = np.isfinite(np.stack(arrays)).all(axis=0)
+        out = np.full(len(known), np.nan)
+        if known.any():
+            out[known] = f(*(a[known] for a in arrays))
+        return pd.Series(out).where(known, None)
+
+    return run(*(c.cast("double") for c in columns))
+
+
 def t_to_z(t: Column, dof: float) -> Column:
     """z of the same tail probability as t; null stays null; tails below the smallest double stop there."""
     quantile = np.vectorize(NormalDist().inv_cdf, otypes=[float])
@@ -66,3 +132,10 @@ def lehmer(seed: int, n: int) -> np.ndarray:
 
 def box_muller(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+
+
+def inverse_gamma(a: float, b: float, normals: np.ndarray) -> np.ndarray:
+    """2 b over sums of 2 round(a) squared normals: as many draws as ``normals`` has such groups."""
+    k = 2 * round(a)
+    n = len(normals) // k
+    return 2 * b / (np.asarray(normals[: n * k], float).reshape(n, k) ** 2).sum(axis=1)

@@ -44,6 +44,14 @@ def downsample(signal: DataFrame, factor: int = FINE) -> DataFrame:
     return signal.where(F.col("i") % factor == 0).select((F.col("i") / factor).cast("int").alias("t"), "v")
 
 
+def sampled(signal: DataFrame, times: int, factor: int = FINE) -> np.ndarray:
+    """A boxcar's value at each volume, 0 where it has none: ``times`` numbers."""
+    out = np.zeros(times)
+    for r in downsample(signal, factor).where(F.col("t").between(0, times - 1)).collect():
+        out[r["t"]] = r["v"]
+    return out
+
+
 def hrf(tr: float, seconds: float = 32.0, peak: float = 6.0, under: float = 16.0, ratio: float = 6.0) -> np.ndarray:
     """The published double-gamma response, sampled at TR, summing to 1 (our choice of parameters)."""
     t = np.arange(0, seconds + 1e-9, tr)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .design import f_matrix, pseudo_inverse, t_scalar
 from .grid import VOXEL
-from .temporal import lag_products, solve_ar, whiten
+from .temporal import lag_products, solve_ar
 
 
 def pack(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -101,38 +101,89 @@ def transform_data(df: DataFrame, m: np.ndarray) -> DataFrame:
     return packed.select(*VOXEL, F.posexplode(F.array(*(dot(F.col("ys"), row) for row in m))).alias("t", "v"))
 
 
-def cochrane_orcutt(df: DataFrame, x: np.ndarray, c: np.ndarray, times: int, iterations: int = 1, smooth=None, invalid: int = 4) -> DataFrame:
-    """First-level t-map with AR(4) errors: fit, estimate from residuals, smooth the coefficient maps if asked, whiten data and design by voxel, fit again without the first volumes."""
+def map_series(df: DataFrame, f) -> DataFrame:
+    """Each voxel's series through ``f``, which takes and gives an array in order of t."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                out = np.stack([f(np.asarray(ys, float)) for ys in pdf["ys"]])
+                yield pd.DataFrame({**{k: np.repeat(pdf[k].to_numpy(), out.shape[1]) for k in VOXEL}, "t": np.tile(np.arange(out.shape[1], dtype=np.int32), len(out)), "v": out.ravel()})
+
+    return pack(df).mapInPandas(run, "x int, y int, z int, t int, v double")
+
+
+def unexplained(df: DataFrame, x: np.ndarray, b: DataFrame) -> DataFrame:
+    """Rows of y - X b for betas (x, y, z, b0, ...) that come from elsewhere."""
+    res = residuals(pack(df).join(b, VOXEL), x)
+    return res.select(*VOXEL, F.posexplode("es").alias("t", "v"))
+
+
+def estimate_ar(df: DataFrame, x: np.ndarray, times: int, iterations: int = 1, smooth=None, invalid: int = 4) -> DataFrame:
+    """(x, y, z, a1..a4) of the errors.
+
+    Each iteration takes the residuals of the data as they came, by betas of the
+    whitened model (at first of the plain one), estimates the coefficients from them and smooths
+    their maps if asked.
+    """
     ar = None
     for _ in range(iterations):
-        source = df if ar is None else whiten(df, ar)
-        ar = solve_ar(lag_products(detrend(source, x), times))
+        left = detrend(df, x) if ar is None else unexplained(df, x, voxel_betas(df, x, ar, invalid))
+        ar = solve_ar(lag_products(left, times))
         if smooth is not None:
             ar = smooth(ar)
-    packed = pack(df).join(ar, VOXEL)
-    c = np.asarray(c, float)
+    return ar
+
+
+def cochrane_orcutt(df: DataFrame, x: np.ndarray, c: np.ndarray, times: int, iterations: int = 1, smooth=None, invalid: int = 4) -> DataFrame:
+    """First-level t-map with AR(4) errors: data and design are whitened by voxel and fitted without the first volumes."""
+    ar = estimate_ar(df, x, times, iterations, smooth, invalid)
+    return whitened_maps(df, x, np.atleast_2d(np.asarray(c, float)), ar, invalid).select(*VOXEL, F.col("c0").alias("cope"), F.col("t0").alias("stat"))
+
+
+def _whitened(pdf: pd.DataFrame, x: np.ndarray, invalid: int) -> tuple[np.ndarray, np.ndarray]:
+    """Series and designs of a batch, whitened by the voxels' own AR(4) coefficients, without the first volumes."""
+    ys, a = np.array(pdf["ys"].tolist()), pdf[["a1", "a2", "a3", "a4"]].to_numpy(float)
+    wy, wx = ys.copy(), np.repeat(x[None], len(ys), axis=0).astype(float)
+    for k in range(1, 5):
+        wy[:, k:] -= a[:, k - 1, None] * ys[:, :-k]
+        wx[:, k:] -= a[:, k - 1, None, None] * x[None, :-k]
+    return wy[:, invalid:], wx[:, invalid:]
+
+
+def whitened_maps(df: DataFrame, x: np.ndarray, contrasts: np.ndarray, ar: DataFrame, invalid: int = 4) -> DataFrame:
+    """(x, y, z, b0.., c0.., t0.., var, a1..a4): betas, contrasts, t and residual variance of data and design whitened by voxel."""
+    r, n = x.shape[1], len(contrasts)
+    names = [*(f"b{k}" for k in range(r)), *(f"c{k}" for k in range(n)), *(f"t{k}" for k in range(n)), "var", "a1", "a2", "a3", "a4"]
 
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            ys = np.array(pdf["ys"].tolist())
-            a = pdf[["a1", "a2", "a3", "a4"]].to_numpy(float)
-            wy, wx = ys.copy(), np.repeat(x[None], len(ys), axis=0).astype(float)
-            for k in range(1, 5):
-                wy[:, k:] -= a[:, k - 1, None] * ys[:, :-k]
-                wx[:, k:] -= a[:, k - 1, None, None] * x[None, :-k]
-            wy, wx = wy[:, invalid:], wx[:, invalid:]
+            wy, wx = _whitened(pdf, x, invalid)
             inv = np.linalg.pinv(np.einsum("vtr,vts->vrs", wx, wx))
             b = np.einsum("vrs,vts,vt->vr", inv, wx, wy)
             e = wy - np.einsum("vtr,vr->vt", wx, b)
             e = e - e.sum(axis=1, keepdims=True) / e.shape[1]
             var = (e**2).sum(axis=1) / (e.shape[1] - 1)
-            scale = var * np.einsum("r,vrs,s->v", c, inv, c)
-            stat = np.where(scale > 0, (b @ c) / np.sqrt(np.where(scale > 0, scale, 1)), 0.0)
-            yield pd.DataFrame({**{k: pdf[k] for k in VOXEL}, "cope": b @ c, "stat": stat})
+            cope = b @ contrasts.T
+            scale = var[:, None] * np.einsum("nr,vrs,ns->vn", contrasts, inv, contrasts)
+            stat = np.where(scale > 0, cope / np.sqrt(np.where(scale > 0, scale, 1)), 0.0)
+            table = np.column_stack([b, cope, stat, var, pdf[["a1", "a2", "a3", "a4"]].to_numpy(float)])
+            yield pd.concat([pdf[VOXEL], pd.DataFrame(table, columns=names, index=pdf.index)], axis=1)
+
+    return pack(df).join(ar, VOXEL).mapInPandas(run, "x int, y int, z int" + "".join(f", {k} double" for k in names))
+
+
+#: What each choice of outputs writes: betas, contrasts and their t, or both.
+OUTPUTS = {"betas": "b", "contrasts": "ct", "both": "bct"}
+
 
-    return packed.mapInPandas(run, "x int, y int, z int, cope double, stat double")
+def select_outputs(maps: DataFrame, outputs: str = "both") -> DataFrame:
+    """(x, y, z, map, v): the maps that a choice of :data:`OUTPUTS` asks for, one row a voxel and map."""
+    kinds = OUTPUTS[outputs]
+    wanted = [c for c in maps.columns if c[0] in kinds and c[1:].isdigit()]
+    return maps.select(*VOXEL, F.inline(F.array(*(F.struct(F.lit(c).alias("map"), F.col(c).cast("double").alias("v")) for c in wanted))))
 
 
 def voxel_betas(df: DataFrame, x: np.ndarray, ar: DataFrame, invalid: int = 4) -> DataFrame:
@@ -143,12 +194,8 @@ def voxel_betas(df: DataFrame, x: np.ndarray, ar: DataFrame, invalid: int = 4) -
         for pdf in batches:
             if not len(pdf):
                 continue
-            ys, a = np.array(pdf["ys"].tolist()), pdf[["a1", "a2", "a3", "a4"]].to_numpy(float)
-            wy, wx = ys.copy(), np.repeat(x[None], len(ys), axis=0).astype(float)
-            for k in range(1, 5):
-                wy[:, k:] -= a[:, k - 1, None] * ys[:, :-k]
-                wx[:, k:] -= a[:, k - 1, None, None] * x[None, :-k]
-            b = np.einsum("vrt,vt->vr", np.linalg.pinv(wx[:, invalid:]), wy[:, invalid:])
+            wy, wx = _whitened(pdf, x, invalid)
+            b = np.einsum("vrt,vt->vr", np.linalg.pinv(wx), wy)
             yield pd.DataFrame({**{k: pdf[k] for k in VOXEL}, **{f"b{k}": b[:, k] for k in range(r)}})
 
     return pack(df).join(ar, VOXEL).mapInPandas(run, "x int, y int, z int" + "".join(f", b{k} double" for k in range(r)))

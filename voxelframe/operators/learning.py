@@ -121,36 +121,107 @@ def infomax(x: np.ndarray, seed: int = 0, steps: int = 512, stop: float = 1e-6)
     return w
 
 
+def _bits(voxel: np.ndarray, step: int, lane: int, seed: int) -> np.ndarray:
+    """64 bits for each (voxel, step, lane): a counter through the splitmix finaliser, so a draw depends on nothing else."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        x = voxel * u(0x9E3779B97F4A7C15) + u(((seed * 1_000_003 + step) * 4096 + lane) % (1 << 64)) * u(0xD1342543DE82EF95)
+        x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+    return x ^ (x >> u(31))
+
+
+class Draws:
+    """Uniforms, normals and gammas of many voxels at a time; each call takes the next lanes of a step."""
+
+    def __init__(self, voxel: np.ndarray, seed: int):
+        self.voxel, self.seed, self.step, self.lane = voxel.astype(np.uint64), seed, 0, 0
+
+    def next_step(self) -> None:
+        self.step, self.lane = self.step + 1, 0
+
+    def lanes_from(self, lane: int) -> None:
+        """Each kind of draw has lanes of its own: how often one rejects moves no other."""
+        self.lane = lane
+
+    def uniform(self) -> np.ndarray:
+        self.lane += 1
+        return ((_bits(self.voxel, self.step, self.lane, self.seed) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+    def normal(self) -> np.ndarray:
+        from ..functions.stats import box_muller
+
+        return box_muller(self.uniform(), self.uniform())
+
+    def gamma(self, shape: float) -> np.ndarray:
+        """Marsaglia and Tsang's squeeze for a shape over 1; voxels that reject draw again."""
+        d = shape - 1 / 3
+        out, left = np.full(len(self.voxel), d), np.ones(len(self.voxel), bool)
+        for _ in range(64):
+            n, u = self.normal(), self.uniform()
+            v = (1 + n / np.sqrt(9 * d)) ** 3
+            safe = np.where(v > 0, v, 1.0)
+            good = left & (v > 0) & (np.log(u) < n * n / 2 + d - d * safe + d * np.log(safe))
+            out[good] = (d * safe)[good]
+            left &= ~good
+            if not left.any():
+                break
+        return out
+
+
 def gibbs(packed: DataFrame, x: np.ndarray, draws: int = 1000, burn: int = 100, seed: int = 1, tau: float = 1000.0, a0: float = 0.01, b0: float = 0.01) -> DataFrame:
-    """Two-regressor model with AR(1) errors, by voxel: shares of draws with b1 > 0, b2 > 0, b1 < 0, b2 < 0, b1 > b2, b2 > b1, and the last draw. Draws depend on the voxel and the seed only."""
+    """Two-regressor model with AR(1) errors, by voxel: shares of draws with b1 > 0, b2 > 0, b1 < 0, b2 < 0, b1 > b2, b2 > b1, and the last draw.
+
+    All voxels of a batch are drawn together, in closed form. Draws depend on the
+    voxel and the seed only, not on the batch.
+    """
     if x.shape[1] != 2:
         raise ValueError("two regressors are needed")
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for vx, vy, vz, ys in zip(pdf["x"], pdf["y"], pdf["z"], pdf["ys"]):
-                rng = np.random.default_rng([seed, int(vx), int(vy), int(vz)])
-                y, rho, beta, s2, kept = np.asarray(ys, float), 0.0, np.zeros(2), 1.0, []
-                for i in range(draws + burn):
-                    xw, yw = x[1:] - rho * x[:-1], y[1:] - rho * y[:-1]
-                    e = yw - xw @ beta
-                    s2 = (b0 + e @ e / 2) / rng.gamma(a0 + len(e) / 2)
-                    prec = xw.T @ xw / s2 + np.eye(2) / tau
-                    cov = np.linalg.inv(prec)
-                    beta = cov @ (xw.T @ yw) / s2 + np.linalg.cholesky(cov) @ rng.standard_normal(2)
-                    r = y - x @ beta
-                    pr = r[:-1] @ r[:-1] / s2 + 1.0
-                    for _ in range(100):
-                        rho = r[:-1] @ r[1:] / s2 / pr + rng.standard_normal() / np.sqrt(pr)
-                        if abs(rho) < 1:
-                            break
-                    else:
-                        rho = float(np.clip(rho, -0.99, 0.99))
-                    if i >= burn:
-                        kept.append(beta)
-                b = np.array(kept)
-                rows.append((vx, vy, vz, *(float(m.mean()) for m in (b[:, 0] > 0, b[:, 1] > 0, b[:, 0] < 0, b[:, 1] < 0, b[:, 0] > b[:, 1], b[:, 1] > b[:, 0])), *map(float, beta), float(rho)))
-            yield pd.DataFrame(rows, columns=["x", "y", "z", "p1", "p2", "n1", "n2", "p12", "p21", "b1", "b2", "rho"]).astype({"x": "int32", "y": "int32", "z": "int32"})
+            if not len(pdf):
+                continue
+            y = np.array(pdf["ys"].tolist(), float)
+            vx, vy, vz = (pdf[k].to_numpy(np.int64) for k in VOXEL)
+            rng = Draws((vx << 42) ^ (vy << 21) ^ vz, seed)
+            n = y.shape[1]
+            # Sums that whitening by rho needs: of lag 0 at either end, and of lag 1.
+            xa, xb, ya, yb = x[1:], x[:-1], y[:, 1:], y[:, :-1]
+            xx = [xa.T @ xa, xa.T @ xb + xb.T @ xa, xb.T @ xb]
+            dot = lambda p, q: (p[:, :, None] * q).sum(axis=1)  # noqa: E731  row by row, so that no batch rounds otherwise
+            xy = [dot(ya, xa), dot(ya, xb) + dot(yb, xa), dot(yb, xb)]
+            rho, beta, s2 = np.zeros(len(y)), np.zeros((len(y), 2)), np.ones(len(y))
+            counts = np.zeros((6, len(y)))
+            for i in range(draws + burn):
+                rng.next_step()
+                r = y - beta[:, :1] * x[:, 0] - beta[:, 1:] * x[:, 1]
+                r11, r00, r01 = (r[:, 1:] ** 2).sum(1), (r[:, :-1] ** 2).sum(1), (r[:, 1:] * r[:, :-1]).sum(1)
+                s2 = (b0 + (r11 - 2 * rho * r01 + rho**2 * r00) / 2) / rng.gamma(a0 + (n - 1) / 2)
+                a, b, c = (sum(w * m[j] for w, m in zip((1.0, -rho, rho**2), xx)) for j in ((0, 0), (0, 1), (1, 1)))
+                a, b, c = a / s2 + 1 / tau, b / s2, c / s2 + 1 / tau
+                h = [(xy[0][:, j] - rho * xy[1][:, j] + rho**2 * xy[2][:, j]) / s2 for j in (0, 1)]
+                det = a * c - b * b
+                # Cholesky factor of the 2 x 2 inverse.
+                l11 = np.sqrt(c / det)
+                l21, l22 = -b / det / l11, np.sqrt(1 / c)
+                rng.lanes_from(256)
+                z1, z2 = rng.normal(), rng.normal()
+                beta = np.stack([(c * h[0] - b * h[1]) / det + l11 * z1, (a * h[1] - b * h[0]) / det + l21 * z1 + l22 * z2], axis=1)
+                r = y - beta[:, :1] * x[:, 0] - beta[:, 1:] * x[:, 1]
+                rng.lanes_from(512)
+                pr = (r[:, :-1] ** 2).sum(1) / s2 + 1.0
+                mean, new, left = (r[:, :-1] * r[:, 1:]).sum(1) / s2 / pr, np.zeros(len(y)), np.ones(len(y), bool)
+                for _ in range(100):
+                    new = np.where(left, mean + rng.normal() / np.sqrt(pr), new)
+                    left &= np.abs(new) >= 1
+                    if not left.any():
+                        break
+                rho = np.where(left, np.clip(new, -0.99, 0.99), new)
+                if i >= burn:
+                    p, q = beta[:, 0], beta[:, 1]
+                    counts += np.stack([p > 0, q > 0, p < 0, q < 0, p > q, q > p])
+            names = ("p1", "p2", "n1", "n2", "p12", "p21")
+            yield pd.DataFrame({**{k: pdf[k] for k in VOXEL}, **dict(zip(names, counts / draws)), "b1": beta[:, 0], "b2": beta[:, 1], "rho": rho})
 
     return packed.mapInPandas(run, "x int, y int, z int, p1 double, p2 double, n1 double, n2 double, p12 double, p21 double, b1 double, b2 double, rho double")

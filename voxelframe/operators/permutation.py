@@ -1,8 +1,9 @@
 """Permutation inference: statistics under sign flips and permuted designs, null distributions, p-maps.
 
 A voxel's series is packed into one row; each batch of rows is multiplied with
-all permuted designs at once, so permutations cost arithmetic, not rows: what
-leaves a task is one maximum for each permutation.
+permuted designs, a chunk of permutations at a time, so permutations cost arithmetic,
+not rows: what leaves a task is one maximum for each permutation. A statistic takes
+(voxels x subjects, part of the table of permutations or signs) and gives voxels x part.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from .design import pseudo_inverse, t_scalar
 from .glm import pack
 from .grid import VOXEL
+from .spatial import cluster_stats, clusters
+
+#: Permutations that one array of statistics holds.
+CHUNK = 128
 
 
 def sign_table(n: int, count: int, seed: int = 0) -> np.ndarray:
@@ -42,12 +47,24 @@ def classify(x: np.ndarray, c: np.ndarray) -> str:
     return "mean" if k == 1 else "two_sample" if k == 2 else "correlation"
 
 
+def plans(x: np.ndarray, contrasts: np.ndarray, wanted: int, joint: bool = False) -> list[tuple[str, int]]:
+    """(kind, number of permutations) of each contrast; ``joint``: of the F of them all, by the values of all contrasts together. A mean has a single one."""
+    out = []
+    for c in [contrasts] if joint else [c[None] for c in np.atleast_2d(contrasts)]:
+        kind = classify(x, c)
+        values = np.round(x @ c.T, 9)
+        group = int((values == np.unique(values, axis=0)[-1]).all(axis=1).sum())
+        out.append((kind, 1 if kind == "mean" else int(min(wanted, most_permutations(kind, len(x), group) + 0.5))))
+    return out
+
+
 def most_permutations(kind: str, n: int, n1: int | None = None) -> float:
     if kind == "mean":
         return 2.0**n
+    log = math.lgamma(n + 1)
     if kind == "two_sample":
-        return math.exp(math.lgamma(n + 1) - math.lgamma(n1 + 1) - math.lgamma(n - n1 + 1))
-    return math.exp(math.lgamma(n + 1))
+        log -= math.lgamma(n1 + 1) + math.lgamma(n - n1 + 1)
+    return math.exp(log) if log < 700 else math.inf
 
 
 def group_mean_t(ys: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -87,39 +104,65 @@ def design_f(ys: np.ndarray, x: np.ndarray, c: np.ndarray, perms: np.ndarray) ->
     return out
 
 
-def null_of_max(df: DataFrame, statistic) -> DataFrame:
-    """(p, max_stat): the largest statistic over voxels of each permutation. ``statistic``: voxels x subjects -> voxels x permutations."""
+def _parts(table: np.ndarray, chunk: int):
+    return ((at, table[at : at + chunk]) for at in range(0, len(table), chunk))
+
+
+def null_of_max(df: DataFrame, statistic, table: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """(p, max_stat): the largest statistic over voxels of each permutation of ``table``."""
 
     def run(batches):
-        best = None
+        best = np.full(len(table), -np.inf)
         for pdf in batches:
             if len(pdf):
-                top = statistic(np.array(pdf["ys"].tolist())).max(axis=0)
-                best = top if best is None else np.maximum(best, top)
-        if best is not None:
+                ys = np.array(pdf["ys"].tolist())
+                for at, part in _parts(table, chunk):
+                    best[at : at + chunk] = np.maximum(best[at : at + chunk], statistic(ys, part).max(axis=0))
+        if np.isfinite(best).all():
             yield pd.DataFrame({"p": np.arange(len(best), dtype=np.int32), "max_stat": best})
 
     return pack(df).select("ys").mapInPandas(run, "p int, max_stat double").groupBy("p").agg(F.max("max_stat").alias("max_stat"))
 
 
-def permuted_maps(df: DataFrame, statistic) -> DataFrame:
-    """(p, x, y, z, v): every statistic, for cluster inference."""
+def permuted_maps(df: DataFrame, statistic, table: np.ndarray, above: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(p, x, y, z, v): the statistics, those over ``above`` only if it is given."""
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                s = statistic(np.array(pdf["ys"].tolist()))
-                k = s.shape[1]
-                yield pd.DataFrame({"p": np.tile(np.arange(k, dtype=np.int32), len(pdf)), **{a: np.repeat(pdf[a].to_numpy(), k) for a in VOXEL}, "v": s.ravel()})
+                ys = np.array(pdf["ys"].tolist())
+                for at, part in _parts(table, chunk):
+                    s = statistic(ys, part)
+                    i, k = np.nonzero(s > above) if above is not None else map(np.ravel, np.indices(s.shape))
+                    yield pd.DataFrame({"p": (k + at).astype(np.int32), **{a: pdf[a].to_numpy()[i] for a in VOXEL}, "v": s[i, k]})
 
     return pack(df).mapInPandas(run, "p int, x int, y int, z int, v double")
 
 
+def null_of_clusters(df: DataFrame, statistic, table: np.ndarray, level: float, width: int, height: int, what: str = "size") -> DataFrame:
+    """(p, max_stat): size or mass of each permutation's largest cluster over ``level``, 0 if it has none."""
+    stats = cluster_stats(clusters(permuted_maps(df, statistic, table, level), level, width, height, ["p"]), ["p"])
+    every = df.sparkSession.range(len(table)).select(F.col("id").cast("int").alias("p"))
+    return every.join(stats.groupBy("p").agg(F.max(what).cast("double").alias("m")), "p", "left").select("p", F.coalesce("m", F.lit(0.0)).alias("max_stat"))
+
+
+def cluster_map(df: DataFrame, statistic, level: float, width: int, height: int, what: str = "size") -> DataFrame:
+    """(x, y, z, v) of every voxel: size or mass of the cluster that it is in, 0 below ``level``. ``statistic``: voxels x subjects -> voxels x 1."""
+    first = permuted_maps(df, lambda ys, _: statistic(ys), np.zeros((1, 1))).drop("p")
+    lab = clusters(first, level, width, height)
+    sized = lab.join(cluster_stats(lab), "cluster").select(*VOXEL, F.col(what).cast("double").alias("s"))
+    return first.select(*VOXEL).join(sized, VOXEL, "left").select(*VOXEL, F.coalesce("s", F.lit(0.0)).alias("v"))
+
+
 def p_map(stats: DataFrame, null: DataFrame, value: str = "v") -> DataFrame:
-    """Adds one_minus_p: the share of the null strictly below. The null holds one number a permutation."""
-    packed = null.agg(F.sort_array(F.collect_list("max_stat")).alias("null"))
-    below = F.size(F.filter("null", lambda e: e < F.col(value)))
-    return stats.join(F.broadcast(packed)).withColumn("one_minus_p", below / F.size("null")).drop("null")
+    """Adds one_minus_p: the share of the null strictly below, by binary search. The null holds one number a permutation."""
+    levels = np.sort(np.array([r[0] for r in null.select("max_stat").collect()], float))
+
+    @F.pandas_udf("double")
+    def below(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(levels, v.to_numpy(float), "left") / max(len(levels), 1))
+
+    return stats.withColumn("one_minus_p", below(F.col(value)))
 
 
 def significance_level(null: DataFrame, alpha: float = 0.05) -> DataFrame:

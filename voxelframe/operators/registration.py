@@ -92,7 +92,12 @@ def solve_affine(row) -> np.ndarray:
             h[place[i]] = row[f"h{axis}_{names[i]}"]
             for j in range(4):
                 a[place[i], place[j]] = row[f"a{axis}_{pair(i, j)}"]
-    return np.linalg.lstsq(a, h, rcond=None)[0]
+    return solve_system(a, h)
+
+
+def solve_system(a: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The least solution of A p = h: directions that the filters don't see stay 0."""
+    return np.linalg.lstsq(a, h, rcond=1e-9)[0]
 
 
 def tensor_norm() -> Column:
@@ -200,7 +205,7 @@ def align(moving: np.ndarray, fixed: np.ndarray, filters: np.ndarray, iterations
             place = [axis, 3 + 3 * axis, 4 + 3 * axis, 5 + 3 * axis]
             a[np.ix_(place, place)] += (rows * c) @ rows.T
             h[place] += (rows * c) @ d
-        step = np.linalg.lstsq(a, h, rcond=1e-9)[0]
+        step = solve_system(a, h)
         if kind == "translation":
             step[3:] = 0
         p = p + step
@@ -215,12 +220,14 @@ def motion_correct(df: DataFrame, size: tuple[int, int, int], reference: DataFra
     fixed = np.zeros(size[::-1])
     fixed[ref["z"], ref["y"], ref["x"]] = ref["v"]
     filters = quadrature_filters(filter_size)
+    shared, known = df.sparkSession.sparkContext.broadcast((fixed, filters)), reference is not None  # one volume and its filters
     schema = "t int, x int, y int, z int, v double" + "".join(f", p{k} double" for k in range(6))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vol = np.zeros(size[::-1])
         vol[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
-        same = reference is None and int(pdf["t"].iloc[0]) == 0
+        same = not known and int(pdf["t"].iloc[0]) == 0
+        fixed, filters = shared.value
         p = np.zeros(12) if same else align(vol, fixed, filters, iterations)
         out = vol if same else resample(vol, p)
         z, y, x = (g.ravel().astype(np.int32) for g in np.meshgrid(*(np.arange(n) for n in size[::-1]), indexing="ij"))
@@ -372,9 +379,10 @@ def register_images(df: DataFrame, reference: DataFrame, size: tuple[int, int, i
     ref = reference.select(*VOXEL, "v").toPandas()  # one volume: bounded
     fixed = np.zeros(size[::-1])
     fixed[ref["z"], ref["y"], ref["x"]] = ref["v"]
-    three, six = quadrature_filters(filter_size), quadrature_filters(filter_size, SIX)
+    shared = df.sparkSession.sparkContext.broadcast((fixed, quadrature_filters(filter_size), quadrature_filters(filter_size, SIX)))  # one volume
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fixed, three, six = shared.value
         vol = np.zeros(size[::-1])
         vol[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
         z, y, x = np.meshgrid(*(np.arange(n) for n in size[::-1]), indexing="ij")
@@ -388,3 +396,50 @@ def register_images(df: DataFrame, reference: DataFrame, size: tuple[int, int, i
         return pd.DataFrame({"t": np.int32(pdf["t"].iloc[0]), **{k: g.ravel().astype(np.int32) for k, g in zip("xyz", (x, y, z))}, "v": out.ravel(), **{f"u{k}": total[r].ravel() for r, k in enumerate("xyz")}})
 
     return df.groupBy("t").applyInPandas(run, "t int, x int, y int, z int, v double, ux double, uy double, uz double")
+
+
+# ------------------------------------------------------------------ functional to anatomical
+
+
+def to_grid(vol: np.ndarray, voxel, target_voxel, target_shape) -> np.ndarray:
+    """(z, y, x) resampled to another voxel size and cropped or padded, centred, to another grid."""
+    ratio = np.asarray(target_voxel, float)[::-1] / np.asarray(voxel, float)[::-1]
+    places = [np.clip((np.arange(n) - (n - 1) / 2) * k + (m - 1) / 2, -1, m) for n, k, m in zip(target_shape, ratio, vol.shape)]
+    inside = [(g >= -0.5) & (g <= m - 0.5) for g, m in zip(places, vol.shape)]
+    out = vol
+    for axis, g in enumerate(places):
+        g = np.clip(g, 0, vol.shape[axis] - 1)
+        i = np.minimum(np.floor(g).astype(int), max(vol.shape[axis] - 2, 0))
+        f = (g - i).reshape([-1 if a == axis else 1 for a in range(3)])
+        out = np.take(out, i, axis) * (1 - f) + np.take(out, np.minimum(i + 1, vol.shape[axis] - 1), axis) * f
+    return out * inside[0][:, None, None] * inside[1][None, :, None] * inside[2][None, None, :]
+
+
+def segment(vol: np.ndarray, share: float = 0.9) -> np.ndarray:
+    """The head alone: voxels over ``share`` of the mean."""
+    return np.where(vol > share * vol.mean(), vol, 0.0)
+
+
+def tensor_size(vol: np.ndarray, filters: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Norm of the smoothed local structure tensor: the same edges whatever the contrast."""
+    q = filter_volume(vol, filters)
+    t = blur(np.einsum("fzyx,fij->ijzyx", np.abs(q), projection_tensors()), sigma)
+    return np.sqrt((t**2).sum(axis=(0, 1)))
+
+
+def epi_to_t1(epi: np.ndarray, t1: np.ndarray, epi_voxel, t1_voxel, filter_size: int = 7, scales: int = 2, iterations: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, aligned volume): a functional volume brought to an anatomical one.
+
+    The functional volume is segmented and brought to the anatomical grid. Contrasts
+    differ, so all alignments work on tensor magnitudes: a translation first, then a rigid
+    motion, then an affine whose rotation is kept.
+    """
+    three, six = quadrature_filters(filter_size), quadrature_filters(filter_size, SIX)
+    start = to_grid(segment(epi), epi_voxel, t1_voxel, t1.shape)
+    fixed, moving = tensor_size(t1, six), tensor_size(start, six)
+    fixed, moving = fixed / max(fixed.max(), 1e-12), moving / max(moving.max(), 1e-12)
+    p = np.zeros(12)
+    for kind in ("translation", "rigid", "affine"):
+        p = compose(p, align_scales(resample(moving, p), fixed, three, scales, iterations, kind))
+    p = rigid(p)
+    return p, resample(start, p)

@@ -49,6 +49,15 @@ def smooth(df: DataFrame, kernel: np.ndarray, certainty: DataFrame | None = None
 # ------------------------------------------------------------------ resampling
 
 
+def smooth_maps(maps: DataFrame, names: list[str], kernel: np.ndarray, certainty: DataFrame) -> DataFrame:
+    """Normalised smoothing of several maps (x, y, z, names) in one pass over the grid, all by one certainty m."""
+    df = maps.join(certainty, VOXEL, "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    df = df.select(*VOXEL, *((F.col(n) * F.col("m")).alias(n) for n in names), "m")
+    for axis in ("y", "x", "z"):
+        df = smooth_axis(df, axis, kernel, VOXEL, [*names, "m"])
+    return df.select(*VOXEL, *(F.when(F.col("m") != 0, F.col(n) / F.col("m")).otherwise(0.0).alias(n) for n in names))
+
+
 def _clamp(c: Column, size: int) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(float(size - 1)))
 
@@ -59,8 +68,8 @@ def bspline(d: Column) -> list[Column]:
     return [one * one * one / 6, (4 + 3 * d * d * (d - 2)) / 6, (4 + 3 * one * one * (one - 2)) / 6, d * d * d / 6]
 
 
-def gather(source: DataFrame, targets: DataFrame, size: tuple[int, int, int], mode: str = "linear") -> DataFrame:
-    """Values of ``source`` at fractional places (sx, sy, sz) of each target voxel; places are clamped to the edge.
+def gather(source: DataFrame, targets: DataFrame, size: tuple[int, int, int], mode: str = "linear", names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Values of ``source``, one map or several, at fractional places (sx, sy, sz) of each target voxel; places are clamped to the edge.
 
     A target makes 1, 8 or 64 weighted taps, joined by cell and summed.
     """
@@ -76,8 +85,8 @@ def gather(source: DataFrame, targets: DataFrame, size: tuple[int, int, int], mo
             cell = lambda o, k=k, n=n: F.least(F.greatest(F.floor(f"s{k}").cast("int") + o, F.lit(0)), F.lit(n - 1))
             rows = rows.select("*", F.inline(F.array(*(F.struct(cell(o).alias(f"i{k}"), w.alias(f"w{k}")) for o, w in taps))))
         rows = rows.select(*VOXEL, "ix", "iy", "iz", (F.col("wx") * F.col("wy") * F.col("wz")).alias("w"))
-    src = source.select(*(F.col(k).alias(f"i{k}") for k in VOXEL), "v")
-    return rows.join(src, ["ix", "iy", "iz"]).groupBy(*VOXEL).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    src = source.select(*(F.col(k).alias(f"i{k}") for k in VOXEL), *names)
+    return rows.join(src, ["ix", "iy", "iz"]).groupBy(*VOXEL).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in names))
 
 
 def affine_places(cells: DataFrame, p, size: tuple[int, int, int]) -> DataFrame:
@@ -94,6 +103,33 @@ def field_places(field: DataFrame) -> DataFrame:
     return field.select(*VOXEL, *((F.col(k) + F.col(f"u{k}")).alias(f"s{k}") for k in VOXEL))
 
 
+def registered_places(cells: DataFrame, p, size: tuple[int, int, int], field: DataFrame | None = None) -> DataFrame:
+    """Source places of an affine followed, if given, by a displacement field (ux, uy, uz): the field names places in the affine's result."""
+    if field is None:
+        return affine_places(cells, p, size)
+    moved = field_places(field)
+    c = [(n - 1) / 2 for n in size]
+    out = []
+    for r, k in enumerate(VOXEL):
+        move = sum((float(p[3 + 3 * r + j]) * (F.col(f"s{o}") - c[j]) for j, o in enumerate(VOXEL)), F.lit(float(p[r])))
+        out.append((F.col(f"s{k}") + move).alias(f"s{k}"))
+    return cells.join(moved, VOXEL).select(*VOXEL, *out)
+
+
+def transform_results(maps: DataFrame, p, size: tuple[int, int, int], field: DataFrame | None = None, mode: str = "linear") -> DataFrame:
+    """Result maps (x, y, z, and any number of columns) brought to the reference by one set of taps."""
+    names = tuple(c for c in maps.columns if c not in VOXEL)
+    return gather(maps, registered_places(maps.select(*VOXEL), p, size, field), size, mode, names)
+
+
+def mask_original(df: DataFrame, mask: DataFrame, p, size: tuple[int, int, int]) -> DataFrame:
+    """The input in its own space, kept where a mask of reference space, moved back by the inverse affine, is 1; 0 elsewhere."""
+    from .registration import invert
+
+    back = gather(mask.withColumnRenamed("m", "v"), affine_places(mask.select(*VOXEL), invert(p), size), size, "nearest")
+    return df.join(back.withColumnRenamed("v", "m"), VOXEL).withColumn("v", F.when(F.col("m") == 1.0, F.col("v")).otherwise(0.0)).drop("m")
+
+
 def scale_places(cells: DataFrame, ratio: tuple[float, float, float]) -> DataFrame:
     return cells.select(*VOXEL, *((F.col(k) * float(r)).alias(f"s{k}") for k, r in zip(VOXEL, ratio)))
 
@@ -168,14 +204,13 @@ def cluster_stats(labelled: DataFrame, keys: list[str] | None = None) -> DataFra
     return labelled.groupBy(*(keys or []), "cluster").agg(F.count("*").alias("size"), F.sum("v").alias("mass"))
 
 
-def tfce(df: DataFrame, levels: list[float], width: int, height: int, dh: float = 1.0) -> DataFrame:
-    """Sum over levels h of sqrt(extent) h**2 dh, for each voxel over 0."""
-    parts = None
-    for h in levels:
-        lab = clusters(df, h, width, height)
-        part = lab.join(cluster_stats(lab).select("cluster", "size"), "cluster").select(*VOXEL, (F.sqrt("size") * h * h * dh).alias("v"))
-        parts = part if parts is None else parts.union(part)
-    return parts.groupBy(*VOXEL).agg(F.sum("v").alias("v"))
+def tfce(df: DataFrame, levels: list[float], width: int, height: int) -> DataFrame:
+    """Sum over levels h of sqrt(extent) h**2, for each voxel over the lowest level. Every level is one image of its own, so levels are labelled side by side."""
+    hs = F.array(*(F.lit(float(h)) for h in levels))
+    images = df.select("*", F.explode(hs).alias("h")).where(F.col("v") > F.col("h"))
+    lab = clusters(images, -float("inf"), width, height, ["h"])
+    sized = lab.join(cluster_stats(lab, ["h"]).select("h", "cluster", "size"), ["h", "cluster"])
+    return sized.groupBy(*VOXEL).agg(F.sum(F.sqrt("size") * F.col("h") * F.col("h")).alias("v"))
 
 
 def centre_mass(df: DataFrame, size: tuple[int, int, int], mode: str = "linear") -> DataFrame:

@@ -13,22 +13,23 @@ from ..operators import design, glm, grid, permutation, registration, spatial, t
 from ..operators.grid import VOXEL
 from ..sources import text
 from .queries import (
-    _AR, _FM, _GATHER, _TS, AFFINE, C, CF, CPX, FIT, P_SQL, PERMS, PINV, QUERIES, SIZE, SQL, TASK, V0, VOX, X, X_SQL, D, H, T, W,
-    _complex, _grad_sql, _rounded, field, gather_sql, num, query, r, summed, values, volume, vox,
+    _AR, _GATHER, _TS, AFFINE, C, CF, CPX, FIT, FM00, FM01, FM11, P_SQL, PERM_SQL, PERMS, PINV, QUERIES, SIZE, SQL, TASK, V0, VOX, X, X_SQL, D, H, T, W,
+    _complex, _grad_sql, _rounded, field, gather_sql, num, pinv_sql, query, r, summed, values, volume, vox,
 )
 
 __all__ = ["QUERIES", "SQL"]
 
 # ------------------------------------------------------------------ nuisance and contrasts
 
-_TREND_PINV = design.pseudo_inverse(temporal.trends(T, 4))
 _TREND = temporal.trends(T, 4)
+# Powers of a centred time, made orthogonal: odd and even ones don't overlap.
+_ORTHO = f"""n AS (SELECT range AS t, (range - {(T - 1) / 2}e0) / {(T - 1) / 2}e0 AS s FROM range({T})), m AS (SELECT avg(s ^ 2) AS m2, sum(s ^ 4) / sum(s ^ 2) AS k FROM n),
+q AS (SELECT t, 1e0 AS q0, s AS q1, s ^ 2 - m2 AS q2, s ^ 3 - k * s AS q3 FROM n, m), z AS (SELECT {', '.join(f'sum(q{k} * q{k}) AS z{k}' for k in range(4))} FROM q)"""
 
 
 @query(
-    f"WITH {VOX}, q(t, {', '.join(f'p{k}, x{k}' for k in range(4))}) AS (SELECT * FROM {values([(t, *(n for k in range(4) for n in (_TREND_PINV[k, t], _TREND[t, k]))) for t in range(T)], 'z')}), "
-    f"f AS (SELECT x, y, z, {', '.join(f'sum(v * p{k}) AS b{k}' for k in range(4))} FROM vox JOIN q USING (t) GROUP BY x, y, z) "
-    f"SELECT x, y, z, t, round(v - ({' + '.join(f'b{k} * x{k}' for k in range(4))}), 6) + 0.0 AS v FROM vox JOIN f USING (x, y, z) JOIN q USING (t)"
+    f"WITH {VOX}, {_ORTHO}, f AS (SELECT x, y, z, {', '.join(f'sum(v * q{k}) / any_value(z{k}) AS b{k}' for k in range(4))} FROM vox JOIN q USING (t), (SELECT {', '.join(f'z{k}' for k in range(4))} FROM z) zz GROUP BY x, y, z) "
+    f"SELECT x, y, z, t, round(v - ({' + '.join(f'b{k} * q{k}' for k in range(4))}), 6) + 0.0 AS v FROM vox JOIN f USING (x, y, z) JOIN q USING (t)"
 )
 def w6_detrend(spark, d):
     return _rounded(glm.detrend(vox(spark, d), _TREND))
@@ -71,9 +72,16 @@ def g10_f_matrix(spark, d):
     return _rounded(spark.createDataFrame([(float(m[0, 0]), float(m[0, 1]), float(m[1, 1]))], "m00 double, m01 double, m11 double"))
 
 
-@query(f"SELECT {3 * 2 + 4 * 2 + 6 + 1}::BIGINT AS n")
+_SETUPS = "FROM range(1, 4) a, range(2) b, range(5) c, range(1, 4) d, range(2) e, range(2) f"
+
+
+@query(f"SELECT a.range AS r, b.range AS derivatives, c.range AS trends, d.range AS runs, e.range AS motion, f.range AS global_mean, a.range * CASE WHEN b.range = 1 THEN 2 ELSE 1 END + c.range * d.range + CASE WHEN e.range = 1 THEN 6 ELSE 0 END + f.range AS n {_SETUPS}")
 def g12_total_regressors(spark, d):
-    return spark.createDataFrame([(design.total_regressors(3, True, 4, 2, True, True),)], "n bigint")
+    """The columns of every design that a first-level analysis may set up."""
+    from itertools import product
+
+    rows = [(*map(int, k), int(design.total_regressors(k[0], bool(k[1]), k[2], k[3], bool(k[4]), bool(k[5])))) for k in product(range(1, 4), range(2), range(5), range(1, 4), range(2), range(2))]
+    return spark.createDataFrame(rows, "r bigint, derivatives bigint, trends bigint, runs bigint, motion bigint, global_mean bigint, n bigint")
 
 
 @query(f"WITH {VOX}, {FIT} SELECT x, y, z, round(b0, 6) + 0.0 AS effective FROM fit")
@@ -87,40 +95,49 @@ def _constant_ar(spark):
     return grid.grid(spark, W, H, D).select(*VOXEL, *(F.lit(a).alias(f"a{k}") for k, a in enumerate(_AR, 1)))
 
 
-_WX = X.copy()
-for _k, _a in enumerate(_AR, 1):
-    _WX[_k:] -= _a * X[:-_k]
-_WP = np.linalg.pinv(_WX[4:])
+# The design whitened as the data are, without the four volumes that lack lags.
+_WX_SQL = f"(SELECT t, {', '.join(f'x{i}' + ''.join(f' - coalesce({num(a)} * lag(x{i}, {k}) OVER (ORDER BY t), 0)' for k, a in enumerate(_AR, 1)) + f' AS x{i}' for i in range(3))} FROM {X_SQL})"
 _WHITE = "wh AS (SELECT x, y, z, t, v" + "".join(f" - coalesce({num(a)} * lag(v, {k}) OVER w, 0)" for k, a in enumerate(_AR, 1)) + " AS v FROM vox WINDOW w AS (PARTITION BY x, y, z ORDER BY t))"
 
 
-@query(f"WITH {VOX}, {_WHITE} SELECT x, y, z, {', '.join(f'round(sum(v * p{k}), 6) + 0.0 AS b{k}' for k in range(3))} FROM wh JOIN {values([(t + 4, *_WP[:, t]) for t in range(T - 4)], 'p(t, p0, p1, p2)')} USING (t) GROUP BY x, y, z")
+@query(f"WITH {VOX}, {_WHITE} SELECT x, y, z, {', '.join(f'round(sum(v * p{k}), 6) + 0.0 AS b{k}' for k in range(3))} FROM wh JOIN {pinv_sql(_WX_SQL, 't >= 4')} USING (t) GROUP BY x, y, z")
 def k3_first_level_betas(spark, d):
     return _rounded(glm.voxel_betas(vox(spark, d), X, _constant_ar(spark)))
 
 
 # ------------------------------------------------------------------ permutation
 
-_PERM_SQL = values([(p, t, int(s)) for p, row in enumerate(PERMS) for t, s in enumerate(row)], "pm(p, t, s)")
-_SERIES = f"""pv AS (SELECT p, x, y, z, pm.t AS t, v FROM vox JOIN {_PERM_SQL} ON vox.t = pm.s),
+_SERIES = f"""pv AS (SELECT p, x, y, z, pm.t AS t, v FROM vox JOIN {PERM_SQL} ON vox.t = pm.s),
 pf AS (SELECT p, x, y, z, sum(v * p0) AS b0, sum(v * p1) AS b1, sum(v * p2) AS b2 FROM pv JOIN {P_SQL} USING (t) GROUP BY p, x, y, z),
 pe AS (SELECT p, x, y, z, b0, b2, var_samp(v - b0 * x0 - b1 * x1 - b2 * x2) AS var FROM pv JOIN pf USING (p, x, y, z) JOIN {X_SQL} USING (t) GROUP BY p, x, y, z, b0, b2)"""
 
 
 @query(f"WITH {VOX}, {_SERIES} SELECT CAST(p AS INT) AS p, x, y, z, round(b0 / sqrt(var * {_TS}), 5) + 0.0 AS v FROM pe")
 def p4_first_level_t(spark, d):
-    return permutation.permuted_maps(vox(spark, d), lambda ys: permutation.first_level_t(ys, X, C, PERMS)).withColumn("v", r("v", 5))
+    return permutation.permuted_maps(vox(spark, d), lambda ys, part: permutation.first_level_t(ys, X, C, part), PERMS).withColumn("v", r("v", 5))
 
 
-@query(f"WITH {VOX}, {_SERIES} SELECT CAST(p AS INT) AS p, x, y, z, round((b0 * b0 * {num(_FM[0, 0])} + 2 * b0 * b2 * {num(_FM[0, 1])} + b2 * b2 * {num(_FM[1, 1])}) / (var * 2), 5) + 0.0 AS v FROM pe")
+@query(f"WITH {VOX}, {_SERIES} SELECT CAST(p AS INT) AS p, x, y, z, round((b0 * b0 * {FM00} + 2 * b0 * b2 * {FM01} + b2 * b2 * {FM11}) / (var * 2), 5) + 0.0 AS v FROM pe")
 def p5_first_level_f(spark, d):
-    return permutation.permuted_maps(vox(spark, d), lambda ys: permutation.first_level_f(ys, X, CF, PERMS)).withColumn("v", r("v", 5))
+    return permutation.permuted_maps(vox(spark, d), lambda ys, part: permutation.first_level_f(ys, X, CF, part), PERMS).withColumn("v", r("v", 5))
+
 
+#: A group design over the nations, and contrasts: the mean, two groups, a slope, and both of those.
+_GROUP = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.0, 1.0, 1.0]]
+_XC = " UNION ALL ".join(f"SELECT {k} AS contrast, {c[0]} + {c[1]} * CASE WHEN n_regionkey = 0 THEN 1 ELSE 0 END + {c[2]} * n_nationkey AS v FROM nation" for k, c in enumerate(_GROUP))
+_KIND = "CASE count(DISTINCT v) WHEN 1 THEN 'mean' WHEN 2 THEN 'two_sample' ELSE 'correlation' END"
 
-@query("SELECT * FROM (VALUES ('mean', 1), ('two_sample', 2), ('correlation', 4)) v(kind, n_values)")
+
+@query(
+    f"WITH xc AS ({_XC}), k AS (SELECT contrast, {_KIND} AS kind FROM xc GROUP BY contrast UNION ALL SELECT -1, {_KIND} FROM xc WHERE contrast IN (0, 1)), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE n_regionkey = 0) AS n1 FROM nation) "
+    "SELECT CAST(contrast AS INT) AS contrast, kind, CASE kind WHEN 'mean' THEN 1 ELSE CAST(least(10000, CASE kind WHEN 'two_sample' THEN factorial(n::INT)::DOUBLE / factorial(n1::INT)::DOUBLE / factorial((n - n1)::INT)::DOUBLE ELSE factorial(n::INT)::DOUBLE END) AS BIGINT) END AS permutations FROM k, g"
+)
 def p6_classify(spark, d):
-    designs = {"ones": np.ones((4, 1)), "groups": np.array([[1.0], [1.0], [0.0], [0.0]]), "slope": np.arange(4.0)[:, None]}
-    return spark.createDataFrame([(permutation.classify(x, np.ones((1, 1))), len(np.unique(x))) for x in designs.values()], "kind string, n_values int")
+    """Kind and number of permutations of each contrast, and of an F of the first two (contrast -1)."""
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect()  # the group's subjects
+    x = np.array([[1.0, float(a == 0), float(b)] for a, b in rows])
+    got = [(k, *plan) for k, plan in enumerate(permutation.plans(x, np.array(_GROUP), 10_000))] + [(-1, *permutation.plans(x, np.array(_GROUP[:2]), 10_000, joint=True)[0])]
+    return spark.createDataFrame(got, "contrast int, kind string, permutations bigint")
 
 
 @query("SELECT kind, n, round(c, 3) AS most FROM (SELECT 'mean' AS kind, range AS n, 2.0::DOUBLE ^ range AS c FROM range(2, 13) UNION ALL SELECT 'correlation', range, factorial(range::INT)::DOUBLE FROM range(2, 13) UNION ALL SELECT 'two_sample', range, factorial(range::INT)::DOUBLE / factorial((range // 2)::INT)::DOUBLE / factorial((range - range // 2)::INT)::DOUBLE FROM range(2, 13))")
@@ -146,20 +163,26 @@ def p9_first_level_null(spark, d):
 # ------------------------------------------------------------------ filtering, tensors
 
 _THREE = registration.quadrature_filters(3)
-_FSQL = values([(f, k - 1, j - 1, i - 1, _THREE[f, i, j, k].real, _THREE[f, i, j, k].imag) for f in range(3) for i in range(3) for j in range(3) for k in range(3)], "fl(f, dx, dy, dz, re, im)")
+# The filters by their definition: a discrete Fourier sum over 13 frequencies an axis, a log-normal radius around pi / 3 of two octaves, a squared cosine on one side.
+_FSQL = f"""fq AS (SELECT (range - 6) * 2 * pi() / 13 AS w FROM range(13)), sp AS (SELECT a.w AS u, b.w AS v, c.w AS w, sqrt(a.w ^ 2 + b.w ^ 2 + c.w ^ 2) AS r FROM fq a, fq b, fq c WHERE a.w <> 0 OR b.w <> 0 OR c.w <> 0),
+rd AS (SELECT *, exp(-(ln(r / (pi() / 3)) ^ 2) / ln(2)) AS g FROM sp), dr AS (SELECT f, u, v, w, g * greatest(CASE f WHEN 0 THEN u WHEN 1 THEN v ELSE w END / r, 0) ^ 2 AS h FROM rd, range(3) q(f)),
+ps AS (SELECT a.range - 1 AS dx, b.range - 1 AS dy, c.range - 1 AS dz FROM range(3) a, range(3) b, range(3) c),
+fl AS (SELECT f, dx, dy, dz, sum(h * cos(u * dx + v * dy + w * dz)) / 2197 AS re, sum(h * sin(u * dx + v * dy + w * dz)) / 2197 AS im FROM dr, ps WHERE h > 0 GROUP BY ALL)"""
 
 
-@query(f"WITH {VOX} SELECT CAST(t AS INT) AS t, x + dx AS x, y + dy AS y, z + dz AS z, CAST(f AS INT) AS f, round(sum(v * re), 5) + 0.0 AS re, round(sum(v * im), 5) + 0.0 AS im FROM vox, {_FSQL} WHERE t < 2 AND x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1} AND z + dz BETWEEN 0 AND {D - 1} GROUP BY ALL")
+@query(f"WITH {VOX}, {_FSQL} SELECT CAST(t AS INT) AS t, x + dx AS x, y + dy AS y, z + dz AS z, CAST(f AS INT) AS f, round(sum(vox.v * re), 5) + 0.0 AS re, round(sum(vox.v * im), 5) + 0.0 AS im FROM vox, fl WHERE x + dx BETWEEN 0 AND {W - 1} AND y + dy BETWEEN 0 AND {H - 1} AND z + dz BETWEEN 0 AND {D - 1} GROUP BY ALL")
 def f4_quadrature(spark, d):
-    got = registration.filter_series(vox(spark, d).where("t < 2"), SIZE, _THREE)
+    got = registration.filter_series(vox(spark, d), SIZE, _THREE)
     return got.withColumns({k: F.round(k, 5) + 0.0 for k in ("re", "im")})
 
 
-_N6, _M6 = registration.SIX, registration.projection_tensors()
 _IJ = [(i, j) for i in range(3) for j in range(i, 3)]
 # Six responses from six pairs of volumes.
 _RESP = f"rs AS (SELECT x, y, z, CAST(t % 6 AS INT) AS f, max(v - 10) FILTER (WHERE t < 6) AS re, max(v - 10) FILTER (WHERE t BETWEEN 6 AND 11) AS im, max(v - 9) FILTER (WHERE t BETWEEN 12 AND 17) AS re2, max(v - 9) FILTER (WHERE t >= 18) AS im2 FROM vox GROUP BY x, y, z, t % 6)"
-_MSQL = values([(f, *_N6[f], *(_M6[f, i, j] for i, j in _IJ)) for f in range(6)], "mt(f, n1, n2, n3, " + ", ".join(f"m{i + 1}{j + 1}" for i, j in _IJ) + ")")
+_GOLD = "(1 + sqrt(5)) / 2"
+_UNIT = f"sqrt(1 + ({_GOLD}) ^ 2)"
+_VERTICES = [("1", "0", _GOLD), ("-1", "0", _GOLD), (_GOLD, "1", "0"), (_GOLD, "-1", "0"), ("0", _GOLD, "1"), ("0", _GOLD, "-1")]
+_MSQL = "(SELECT f, n1, n2, n3, " + ", ".join(f"1.25 * n{i + 1} * n{j + 1}" + " - 0.25" * (i == j) + f" AS m{i + 1}{j + 1}" for i, j in _IJ) + " FROM (VALUES " + ", ".join(f"({f}, " + ", ".join(f"({c}) / {_UNIT}" for c in v) + ")" for f, v in enumerate(_VERTICES)) + ") v(f, n1, n2, n3)) AS mt"
 
 
 def _responses(spark, d):

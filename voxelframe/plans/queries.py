@@ -173,11 +173,19 @@ def e17_sphere(spark, d):
 
 
 KERNEL = spatial.gaussian(5.5, 2.0)
-KSQL = values([(k - 4, w) for k, w in enumerate(KERNEL)], "k(o, w)")
 
 
-def smooth_sql(source: str, name: str, keys: str = "", mask: str | None = None) -> str:
-    """CTEs that end in ``name`` (x, y, z, keys, v), normalised smoothing of ``source`` with KERNEL."""
+def bell_sql(sigma: str, taps: int) -> str:
+    """A Gaussian of ``taps`` taps that sums to 1, as a table k (o, w)."""
+    o = f"(range - {taps // 2})"
+    return f"(SELECT {o} AS o, exp(-{o} * {o} / (2 * ({sigma}) ^ 2)) / sum(exp(-{o} * {o} / (2 * ({sigma}) ^ 2))) OVER () AS w FROM range({taps})) AS k"
+
+
+KSQL = bell_sql("5.5e0 / 2.354 / 2", 9)
+
+
+def smooth_sql(source: str, name: str, keys: str = "", mask: str | None = None, KSQL: str = KSQL) -> str:
+    """CTEs that end in ``name`` (x, y, z, keys, v), normalised smoothing of ``source``."""
     k = f", {keys}" if keys else ""
     m = "coalesce(mask.m, 0.0)" if mask else "1.0::DOUBLE"
     out = f"{name}0 AS (SELECT x, y, z{k}, v * {m} AS v, {m} AS m FROM {source}" + (" LEFT JOIN mask USING (x, y, z)" if mask else "") + ")"
@@ -240,10 +248,10 @@ def a11_voxel_number(spark, d):
     return grid.number_voxels(brain(vox(spark, d)), W, H)
 
 
-@query(f"WITH {VOX}, p AS (SELECT t, sum(v) / 1000 AS d FROM vox WHERE x = y AND x < 6 AND z = 0 GROUP BY t) SELECT max(d) AS displacement, CAST(min(t) FILTER (WHERE d = (SELECT max(d) FROM p)) AS INT) AS t FROM p")
+@query(f"WITH {VOX}, p AS (SELECT t, sum(abs(s)) / 1000 AS d FROM (SELECT t, x % 6 AS k, sum(v * (y - 4)) AS s FROM vox GROUP BY t, x % 6) GROUP BY t) SELECT max(d) AS displacement, CAST(min(t) FILTER (WHERE d = (SELECT max(d) FROM p)) AS INT) AS t FROM p")
 def a12_most_displaced(spark, d):
-    v = vox(spark, d).where("x = y and x < 6 and z = 0")
-    p = v.groupBy("t").agg(*(F.sum(F.when(F.col("x") == k, F.col("v")).otherwise(0.0)).alias(f"p{k}") for k in range(6)))
+    v = vox(spark, d).withColumn("v", F.col("v") * (F.col("y") - 4))
+    p = v.groupBy("t").agg(*(F.sum(F.when(F.col("x") % 6 == k, F.col("v")).otherwise(0.0)).alias(f"p{k}") for k in range(6)))
     out = grid.most_displaced(p)
     return out.select((F.col("displacement") / 1000).alias("displacement"), "t")
 
@@ -258,7 +266,8 @@ def a13_significant_voxels(spark, d):
 # ------------------------------------------------------------------ temporal
 
 DELTAS = temporal.slice_deltas(D, "up_interleaved", 2.0)
-DELTA_SQL = values([(z, x) for z, x in enumerate(DELTAS)], "dl(z, d)")
+# Even slices come first, then odd ones, a seventh of TR apart; slice 4, the third to be taken, is the reference.
+DELTA_SQL = f"(SELECT range AS z, (2 - CASE WHEN range % 2 = 0 THEN range // 2 ELSE {(D + 1) // 2} + range // 2 END) / {D}e0 AS d FROM range({D})) AS dl"
 
 
 @query(f"SELECT CAST(z AS INT) AS z, round(d, 6) + 0.0 AS delta FROM {DELTA_SQL}")
@@ -286,10 +295,32 @@ def w3_lag_products(spark, d):
     return c.select(*VOXEL, *(r(f"c{k}").alias(f"c{k}") for k in range(5)))
 
 
-@query()
+def ar_sql(source: str, name: str, ridge: str = "0.001e0") -> str:
+    """CTEs that end in ``name`` (x, y, z, a1..a4): lag products of ``source`` (x, y, z, t, v), their 4 x 4 equations, eliminated step by step."""
+    n = range(1, 5)
+    lags = ", ".join(f"lag(v, {k}) OVER w AS l{k}" for k in n)
+    sums = ", ".join(f"sum(v * l{k}) / {T - 1 - k} AS c{k}" for k in n)
+    entry = lambda i, j: "1e0" if i == j else f"c{abs(i - j)} / c0 + {ridge}"
+    out = [f"{name}l AS (SELECT x, y, z, v, {lags} FROM {source} WINDOW w AS (PARTITION BY x, y, z ORDER BY t))", f"{name}c AS (SELECT x, y, z, sum(v * v) / {T - 1} AS c0, {sums} FROM {name}l GROUP BY x, y, z)"]
+    cells = ", ".join([f"{entry(i, j)} AS m{i}{j}" for i in n for j in n] + [f"c{i} / c0 AS r{i}" for i in n])
+    out.append(f"{name}0 AS (SELECT x, y, z, {cells} FROM {name}c WHERE c0 <> 0)")
+    for k in (1, 2, 3):
+        rest = [f"m{i}{j} - m{i}{k} / m{k}{k} * m{k}{j} AS m{i}{j}" for i in n for j in n if i > k and j > k] + [f"r{i} - m{i}{k} / m{k}{k} * r{k} AS r{i}" for i in n if i > k]
+        same = [f"m{i}{j}" for i in n for j in n if i <= k and j >= i] + [f"r{i}" for i in n if i <= k]
+        out.append(f"{name}{k} AS (SELECT x, y, z, {', '.join(same + rest)} FROM {name}{k - 1})")
+    last = f"{name}3"
+    for i in (4, 3, 2, 1):
+        known = "".join(f" - m{i}{j} * a{j}" for j in range(i + 1, 5))
+        out.append(f"{name}s{i} AS (SELECT *, (r{i}{known}) / m{i}{i} AS a{i} FROM {last})")
+        last = f"{name}s{i}"
+    out.append(f"{name} AS (SELECT c.x, c.y, c.z, {', '.join(f'coalesce(a{k}, 0.0) AS a{k}' for k in n)} FROM {name}c c LEFT JOIN {last} USING (x, y, z))")
+    return ", ".join(out)
+
+
+@query(f"WITH {VOX}, cv AS (SELECT x, y, z, t, v - avg(v) OVER (PARTITION BY x, y, z) AS v FROM vox), {ar_sql('cv', 'ar')} SELECT x, y, z, {', '.join(f'round(a{k}, 6) + 0.0 AS a{k}' for k in range(1, 5))} FROM ar")
 def w3_ar_coefficients(spark, d):
     v = grid.remove_mean(vox(spark, d))
-    return temporal.solve_ar(temporal.lag_products(v, T))
+    return _rounded(temporal.solve_ar(temporal.lag_products(v, T)))
 
 
 _AR = (0.4, -0.2, 0.1, 0.05)
@@ -312,7 +343,10 @@ def w5_inverse_whiten(spark, d):
 
 @query(f"WITH {VOX} SELECT x, y, z, t, v - coalesce(lag(v) OVER (PARTITION BY x, y, z ORDER BY t), v) AS v FROM vox")
 def w7_derivative(spark, d):
-    return vox(spark, d).withColumn("v", F.col("v") - F.coalesce(F.lag("v").over(temporal.by_time()), F.col("v")))
+    """The derivative of each voxel's series, as that of a regressor."""
+    from ..operators import glm as models
+
+    return models.map_series(vox(spark, d), design.temporal_derivative)
 
 
 # ------------------------------------------------------------------ design
@@ -322,23 +356,41 @@ X = np.column_stack([TASK, temporal.trends(T, 2)])
 PINV = design.pseudo_inverse(X)
 C = np.array([1.0, 0.0, 0.0])
 CF = np.array([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
-X_SQL = values([(t, *X[t]) for t in range(T)], "x(t, x0, x1, x2)")
-P_SQL = values([(t, *PINV[:, t]) for t in range(T)], "p(t, p0, p1, p2)")
+X_SQL = f"(SELECT CAST(range AS INT) AS t, CAST(range // 4 % 2 AS DOUBLE) AS x0, 1.0::DOUBLE AS x1, (range - {(T - 1) / 2}e0) / {(T - 1) / 2}e0 AS x2 FROM range({T})) AS x"
+
+
+def adjugate(m: str = "s") -> tuple[list[str], str]:
+    """The entries (00, 01, 02, 11, 12, 22) of a symmetric 3 x 3 matrix's adjugate, and its determinant."""
+    a, b, c, d, e, f = (f"{m}{k}" for k in ("00", "01", "02", "11", "12", "22"))
+    adj = [f"({d} * {f} - {e} * {e})", f"({c} * {e} - {b} * {f})", f"({b} * {e} - {c} * {d})", f"({a} * {f} - {c} * {c})", f"({b} * {c} - {a} * {e})", f"({a} * {d} - {b} * {b})"]
+    return adj, f"({a} * {adj[0]} + {b} * {adj[1]} + {c} * {adj[2]})"
+
+
+_PAIR = ("00", "01", "02", "11", "12", "22")
+
+
+def pinv_sql(source: str, where: str = "TRUE") -> str:
+    """The pseudo-inverse of the design in ``source`` (t, x0, x1, x2), as a table p (t, p0, p1, p2)."""
+    adj, det = adjugate()
+    at = dict(zip(_PAIR, adj))
+    rows = [" + ".join(f"{at[f'{min(i, j)}{max(i, j)}']} * x{j}" for j in range(3)) for i in range(3)]
+    sums = ", ".join(f"sum(x{k[0]} * x{k[1]}) AS s{k}" for k in _PAIR)
+    return f"(WITH xx AS (SELECT * FROM {source} WHERE {where}), ss AS (SELECT {sums} FROM xx) SELECT t, {', '.join(f'({r}) / {det} AS p{i}' for i, r in enumerate(rows))} FROM xx, ss) AS p"
+
+
+P_SQL = pinv_sql(X_SQL)
 RUN = 240
 
 
 def events(spark, d):
-    """Events of one user as (idx, onset, duration, value): every 40 minutes are a second."""
-    from pyspark.sql.window import Window
+    """All events as (idx, onset, duration, value): every 40 minutes are a second."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    first = e.agg(F.min("ts").alias("first"))
+    e = e.join(F.broadcast(first)).withColumn("s", F.unix_timestamp("ts") - F.unix_timestamp("first"))
+    return e.select(F.col("event_id").alias("idx"), (F.floor(F.col("s") / 2400).cast("double") % RUN).alias("onset"), (F.col("event_id") % 5).cast("double").alias("duration"), (1 + F.col("event_id") % 3).cast("double").alias("value"))
 
-    e = spark.read.parquet(f"{d}/events.parquet").where("user_id = 1")
-    first = F.min("ts").over(Window.partitionBy("user_id"))
-    e = e.withColumn("s", F.unix_timestamp("ts") - F.unix_timestamp(first))
-    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(idx.alias("idx"), (F.floor(F.col("s") / 2400).cast("double") % RUN).alias("onset"), (F.col("event_id") % 5).cast("double").alias("duration"), (1 + F.col("event_id") % 3).cast("double").alias("value"))
 
-
-EVENTS = f"""ev0 AS (SELECT *, epoch(ts)::BIGINT - min(epoch(ts)::BIGINT) OVER () AS s, row_number() OVER (ORDER BY ts, event_id) AS idx FROM events WHERE user_id = 1),
+EVENTS = f"""ev0 AS (SELECT *, floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER () AS s, event_id AS idx FROM events),
 ev AS (SELECT idx, CAST((s // 2400) % {RUN} AS DOUBLE) AS onset, CAST(event_id % 5 AS DOUBLE) AS duration, CAST(1 + event_id % 3 AS DOUBLE) AS value FROM ev0),
 sp AS (SELECT idx, value, CAST(round(onset * 100 / 2) AS BIGINT) AS s, CAST(round(duration * 100 / 2) AS BIGINT) AS n FROM ev),
 box AS (SELECT i, max_by(value, idx) AS v FROM (SELECT idx, value, unnest(range(s, least(s + n, {RUN // 2 * 100}))) AS i FROM sp WHERE n > 0) GROUP BY i)"""
@@ -352,7 +404,7 @@ def g1_boxcar(spark, d):
 LOW = design.lowpass_kernel(2.0)
 
 
-@query(f"WITH {EVENTS} SELECT i, round(sum(p), 6) AS v FROM (SELECT i + k.o AS i, v * k.w AS p FROM box, {values([(k - 75, w) for k, w in enumerate(LOW)], 'k(o, w)')}) WHERE i BETWEEN 0 AND {RUN // 2 * 100 - 1} GROUP BY i")
+@query(f"WITH {EVENTS} SELECT i, round(sum(p), 6) AS v FROM (SELECT i + k.o AS i, v * k.w AS p FROM box, {bell_sql('150e0 / 2.354 / 2', 151)}) WHERE i BETWEEN 0 AND {RUN // 2 * 100 - 1} GROUP BY i")
 def g2_lowpass(spark, d):
     return design.convolve(design.boxcar(events(spark, d), 2.0, RUN // 2), LOW, RUN // 2 * 100).withColumn("v", r("v"))
 
@@ -363,9 +415,11 @@ def g3_downsample(spark, d):
 
 
 HRF = design.hrf(2.0)
+_RESPONSE = "(s ^ 5 / factorial(5) - s ^ 15 / factorial(15) / 6) * exp(-s)"
+HRF_SQL = f"(SELECT o, h / sum(h) OVER () AS w FROM (SELECT range AS o, 2e0 * range AS s, {_RESPONSE} AS h FROM range(17)) WHERE h <> 0) AS k"
 
 
-@query(f"WITH {EVENTS}, ds AS (SELECT CAST(i // 100 AS INT) AS t, v FROM box WHERE i % 100 = 0) SELECT i, round(sum(p), 6) + 0.0 AS v FROM (SELECT CAST(t + k.o AS INT) AS i, v * k.w AS p FROM ds, {values([(o, w) for o, w in enumerate(HRF) if w], 'k(o, w)')}) WHERE i < {RUN // 2} GROUP BY i")
+@query(f"WITH {EVENTS}, ds AS (SELECT CAST(i // 100 AS INT) AS t, v FROM box WHERE i % 100 = 0) SELECT i, round(sum(p), 6) + 0.0 AS v FROM (SELECT CAST(t + k.o AS INT) AS i, v * k.w AS p FROM ds, {HRF_SQL}) WHERE i < {RUN // 2} GROUP BY i")
 def g4_hrf(spark, d):
     ds = design.downsample(design.boxcar(events(spark, d), 2.0, RUN // 2)).withColumnRenamed("t", "i")
     padded = np.concatenate([np.zeros(len(HRF) - 1), HRF])  # causal
@@ -380,10 +434,9 @@ def g5_trends(spark, d):
 
 @query(f"WITH {EVENTS}, ds AS (SELECT CAST(range AS INT) AS t, coalesce(v, 0.0) AS v FROM range({RUN // 2}) g LEFT JOIN (SELECT i // 100 AS t, v FROM box WHERE i % 100 = 0) b ON b.t = g.range) SELECT t, round(v - avg(v) OVER (), 6) + 0.0 AS v FROM ds")
 def g7_demean(spark, d):
-    ds = design.downsample(design.boxcar(events(spark, d), 2.0, RUN // 2))
-    full = spark.range(RUN // 2).select(F.col("id").cast("int").alias("t")).join(ds, "t", "left").fillna(0.0)
-    mean = full.agg(F.avg("v").alias("mean"))
-    return full.join(F.broadcast(mean)).select("t", r(F.col("v") - F.col("mean")).alias("v"))
+    full = design.sampled(design.boxcar(events(spark, d), 2.0, RUN // 2), RUN // 2)
+    got = design.demean(full[:, None])[:, 0]
+    return spark.createDataFrame([(t, float(v)) for t, v in enumerate(got)], "t int, v double").select("t", r("v").alias("v"))
 
 
 # ------------------------------------------------------------------ linear models
@@ -392,8 +445,10 @@ FIT = f"""fit AS (SELECT x, y, z, {', '.join(f'sum(v * p{k}) AS b{k}' for k in r
 res AS (SELECT vox.x AS x, vox.y AS y, vox.z AS z, t, v - (b0 * x0 + b1 * x1 + b2 * x2) AS e FROM vox JOIN fit USING (x, y, z) JOIN {X_SQL} USING (t)),
 va AS (SELECT x, y, z, sum(e * e) AS ss, sum(e) AS se FROM res GROUP BY x, y, z)"""
 _VAR = {"first": f"((ss - se * se / {T}) / {T - 1})", "second_t": f"(ss / {T - 3})", "second_f": f"((ss - se * se / {T}) / {T - 4})"}
-_TS = num(design.t_scalar(X, C))
-_FM = design.f_matrix(X, CF)
+_TS = f"(SELECT sum(p0 * p0) FROM {P_SQL})"
+_QUAD = f"FROM (SELECT sum(p0 * p0) AS a, sum(p0 * p2) AS b, sum(p2 * p2) AS c FROM {P_SQL})"
+#: The inverse of the two contrasts' covariance factors.
+FM00, FM01, FM11 = (f"(SELECT {k} / (a * c - b * b) {_QUAD})" for k in ("c", "-b", "a"))
 
 
 def t_sql(mode: str) -> str:
@@ -401,7 +456,7 @@ def t_sql(mode: str) -> str:
 
 
 def f_sql(mode: str) -> str:
-    form = f"(b0 * b0 * {num(_FM[0, 0])} + 2 * b0 * b2 * {num(_FM[0, 1])} + b2 * b2 * {num(_FM[1, 1])})"
+    form = f"(b0 * b0 * {FM00} + 2 * b0 * b2 * {FM01} + b2 * b2 * {FM11})"
     return f"WITH {VOX}, {FIT} SELECT x, y, z, round({_VAR[mode]}, 6) AS var, CASE WHEN {_VAR[mode]} > 0 THEN round({form} / ({_VAR[mode]} * 2), 6) ELSE 0.0 END AS stat FROM fit JOIN va USING (x, y, z)"
 
 
@@ -445,32 +500,50 @@ def k8_second_level_f(spark, d):
 
 
 MIX = np.eye(T) - X[:, 1:] @ np.linalg.pinv(X[:, 1:])
+# The mean and a centred line don't overlap, so what they explain is a sum.
+_XT = X_SQL.removesuffix("AS x")
+MIX_SQL = f"(SELECT a.t AS i, b.t, CASE WHEN a.t = b.t THEN 1 ELSE 0 END - 1e0 / {T} - a.x2 * b.x2 / (SELECT sum(x2 * x2) FROM {X_SQL}) AS w FROM {_XT} AS a, {_XT} AS b) AS m"
 
 
-@query(f"WITH {VOX} SELECT x, y, z, CAST(m.i AS INT) AS t, round(sum(v * m.w), 6) + 0.0 AS v FROM vox JOIN {values([(i, j, MIX[i, j]) for i in range(T) for j in range(T)], 'm(i, t, w)')} USING (t) GROUP BY x, y, z, m.i")
+@query(f"WITH {VOX} SELECT x, y, z, CAST(m.i AS INT) AS t, round(sum(v * m.w), 6) + 0.0 AS v FROM vox JOIN {MIX_SQL} USING (t) GROUP BY x, y, z, m.i")
 def k9_transform_data(spark, d):
     return _rounded(glm.transform_data(vox(spark, d), MIX))
 
 
-@query()
+def _k11_sql(final: str = "", smoothed: bool = True) -> str:
+    """First-level betas and t with the voxels' own AR coefficients; ``final`` replaces the last SELECT."""
+    lags = ", ".join(f"lag(x{i}, {k}, 0e0) OVER (ORDER BY t) AS x{i}l{k}" for i in range(3) for k in range(1, 5))
+    white = lambda v, lag: v + "".join(f" - a{k} * {lag(k)}" for k in range(1, 5))
+    wx = ", ".join(f"{white(f'x{i}', lambda k, i=i: f'x{i}l{k}')} AS w{i}" for i in range(3))
+    adj, det = adjugate()
+    at = dict(zip(_PAIR, adj))
+    b = ", ".join("(" + " + ".join(f"{at[f'{min(i, j)}{max(i, j)}']} * h{j}" for j in range(3)) + f") / {det} AS b{i}" for i in range(3))
+    maps = ", ".join(smooth_sql(f"m{k}", f"q{k}_", mask="mask", KSQL=bell_sql("6e0 / 2.354 / 2", 9)) for k in range(1, 5))
+    return f"""WITH {VOX}, {MASK}, {FIT}, re AS (SELECT x, y, z, t, e AS v FROM res), {ar_sql('re', 'ar')}, {', '.join(f'm{k} AS (SELECT x, y, z, a{k} AS v FROM ar)' for k in range(1, 5))}, {maps},
+sm AS (SELECT x, y, z, {', '.join(f'q{k}_.v AS a{k}' for k in range(1, 5))} FROM q1_ JOIN q2_ USING (x, y, z) JOIN q3_ USING (x, y, z) JOIN q4_ USING (x, y, z)),
+xl AS (SELECT *, {lags} FROM {X_SQL}), vl AS (SELECT x, y, z, t, v, {', '.join(f'lag(v, {k}, 0e0) OVER w AS v{k}' for k in range(1, 5))} FROM vox WINDOW w AS (PARTITION BY x, y, z ORDER BY t)),
+wh AS (SELECT vl.x, vl.y, vl.z, vl.t, {white('v', lambda k: f'v{k}')} AS wy, {wx} FROM vl JOIN {'sm' if smoothed else 'ar'} sm ON sm.x = vl.x AND sm.y = vl.y AND sm.z = vl.z JOIN xl ON xl.t = vl.t WHERE vl.t >= 4),
+su AS (SELECT x, y, z, {', '.join(f'sum(w{k[0]} * w{k[1]}) AS s{k}' for k in _PAIR)}, {', '.join(f'sum(w{i} * wy) AS h{i}' for i in range(3))} FROM wh GROUP BY x, y, z),
+be AS (SELECT x, y, z, {b}, {adj[0]} / {det} AS i00 FROM su),
+er AS (SELECT x, y, z, var_samp(wy - b0 * w0 - b1 * w1 - b2 * w2) AS var FROM wh JOIN be USING (x, y, z) GROUP BY x, y, z)
+""" + (final or "SELECT x, y, z, round(b0, 5) + 0.0 AS cope, CASE WHEN var > 0 THEN round(b0 / sqrt(var * i00), 5) + 0.0 ELSE 0.0 END AS stat FROM be JOIN er USING (x, y, z)")
+
+
+@query(_k11_sql())
 def k11_cochrane_orcutt(spark, d):
     v = vox(spark, d)
     certain = brain(v)
-
-    def blur(ar):
-        out = ar.select(*VOXEL)
-        for k in range(1, 5):
-            out = out.join(spatial.smooth(ar.select(*VOXEL, F.col(f"a{k}").alias("v")), spatial.gaussian(6.0, 2.0), certain, VOXEL).withColumnRenamed("v", f"a{k}"), VOXEL)
-        return out
-
-    return glm.cochrane_orcutt(v, X, C, T, 1, blur)
+    names = ["a1", "a2", "a3", "a4"]
+    got = glm.cochrane_orcutt(v, X, C, T, 1, lambda ar: spatial.smooth_maps(ar, names, spatial.gaussian(6.0, 2.0), certain))
+    return got.select(*VOXEL, r("cope", 5).alias("cope"), r("stat", 5).alias("stat"))
 
 
 # ------------------------------------------------------------------ permutation
 
 SIGNS = np.array([[1] * T] + [[1 if (s * 7 + p * 13 + s * p % 5) % 2 else -1 for s in range(T)] for p in range(1, 32)])
 PERMS = np.array([[s for s in range(T)]] + [[(s * 5 + 7 * p) % T for s in range(T)] for p in range(1, 16)])
-SIGN_SQL = values([(p, s, int(SIGNS[p, s])) for p in range(len(SIGNS)) for s in range(T)], "sg(p, t, w)")
+SIGN_SQL = f"(SELECT a.range AS p, b.range AS t, CASE WHEN a.range = 0 OR (b.range * 7 + a.range * 13 + b.range * a.range % 5) % 2 = 1 THEN 1 ELSE -1 END AS w FROM range({len(SIGNS)}) a, range({T}) b) AS sg"
+PERM_SQL = f"(SELECT a.range AS p, b.range AS t, CASE WHEN a.range = 0 THEN b.range ELSE (b.range * 5 + 7 * a.range) % {T} END AS s FROM range({len(PERMS)}) a, range({T}) b) AS pm"
 FLIP = f"""cen AS (SELECT x, y, z, t, v - (SELECT sum(v) FROM vox) / {W * H * D * T} AS v FROM vox),
 fl AS (SELECT p, x, y, z, sum(v * w) / {T} AS b, sum(v * v) AS ss FROM cen JOIN {SIGN_SQL} USING (t) GROUP BY p, x, y, z),
 tv AS (SELECT p, x, y, z, b / sqrt((ss - {T} * b * b) / {T - 1} / {T}) AS v FROM fl)"""
@@ -483,28 +556,28 @@ def centred(v: DataFrame) -> DataFrame:
 
 @query(f"WITH {VOX}, {FLIP} SELECT CAST(p AS INT) AS p, x, y, z, round(v, 6) + 0.0 AS v FROM tv")
 def p1_sign_flip_t(spark, d):
-    return _rounded(permutation.permuted_maps(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS)))
+    return _rounded(permutation.permuted_maps(centred(vox(spark, d)), permutation.group_mean_t, SIGNS))
 
 
-_PX = values([(p, s, *X[PERMS[p, s]], *PINV[:, PERMS[p, s]]) for p in range(len(PERMS)) for s in range(T)], "px(p, t, x0, x1, x2, p0, p1, p2)")
+_PX = f"(SELECT pm.p, pm.t, x0, x1, x2, p0, p1, p2 FROM {PERM_SQL} JOIN {X_SQL} ON x.t = pm.s JOIN {P_SQL} ON p.t = pm.s)"
 PERM = f"""px AS (SELECT * FROM {_PX}), pf AS (SELECT p, x, y, z, sum(v * p0) AS b0, sum(v * p1) AS b1, sum(v * p2) AS b2 FROM vox JOIN px USING (t) GROUP BY p, x, y, z),
 pe AS (SELECT pf.p, vox.x, vox.y, vox.z, b0, b1, b2, sum((v - b0 * x0 - b1 * x1 - b2 * x2) ^ 2) / {T - 3} AS var FROM vox JOIN pf USING (x, y, z) JOIN px ON px.p = pf.p AND px.t = vox.t GROUP BY ALL)"""
 
 
 @query(f"WITH {VOX}, {PERM} SELECT CAST(p AS INT) AS p, x, y, z, round(b0 / sqrt(var * {_TS}), 5) + 0.0 AS v FROM pe")
 def p2_permuted_t(spark, d):
-    out = permutation.permuted_maps(vox(spark, d), lambda ys: permutation.design_t(ys, X, C, PERMS))
+    out = permutation.permuted_maps(vox(spark, d), lambda ys, part: permutation.design_t(ys, X, C, part), PERMS)
     return out.withColumn("v", r("v", 5))
 
 
-@query(f"WITH {VOX}, {PERM} SELECT CAST(p AS INT) AS p, x, y, z, round((b0 * b0 * {num(_FM[0, 0])} + 2 * b0 * b2 * {num(_FM[0, 1])} + b2 * b2 * {num(_FM[1, 1])}) / (var * 2), 5) AS v FROM pe")
+@query(f"WITH {VOX}, {PERM} SELECT CAST(p AS INT) AS p, x, y, z, round((b0 * b0 * {FM00} + 2 * b0 * b2 * {FM01} + b2 * b2 * {FM11}) / (var * 2), 5) AS v FROM pe")
 def p3_permuted_f(spark, d):
-    out = permutation.permuted_maps(vox(spark, d), lambda ys: permutation.design_f(ys, X, CF, PERMS))
+    out = permutation.permuted_maps(vox(spark, d), lambda ys, part: permutation.design_f(ys, X, CF, part), PERMS)
     return out.withColumn("v", r("v", 5))
 
 
 def null(spark, d):
-    return permutation.null_of_max(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS))
+    return permutation.null_of_max(centred(vox(spark, d)), permutation.group_mean_t, SIGNS)
 
 
 @query(f"WITH {VOX}, {FLIP} SELECT CAST(p AS INT) AS p, round(max(v), 6) AS max_stat FROM tv GROUP BY p")
@@ -517,30 +590,39 @@ _R = "round(v, 6)"
 
 @query(f"WITH {VOX}, {FLIP}, nl AS (SELECT p, round(max(v), 6) AS m FROM tv GROUP BY p) SELECT x, y, z, round(v, 6) + 0.0 AS v, (SELECT count(*) FROM nl WHERE nl.m < round(tv.v, 6)) / {len(SIGNS)}.0::DOUBLE AS one_minus_p FROM tv WHERE p = 0")
 def p11_p_map(spark, d):
-    stats = _rounded(permutation.permuted_maps(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS[:1]))).drop("p")
+    stats = _rounded(permutation.permuted_maps(centred(vox(spark, d)), permutation.group_mean_t, SIGNS[:1])).drop("p")
     return permutation.p_map(stats, _rounded(null(spark, d)))
 
 
-def _null_clusters(spark, d, what):
-    maps = permutation.permuted_maps(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS))
-    stats = spatial.cluster_stats(spatial.clusters(maps, 1.0, W, H, ["p"]), ["p"])
-    return stats.groupBy("p").agg(F.max(what).cast("double").alias("max_stat"))
+_FOUND = f"""sd AS (SELECT p, x, y, z, v, x + y * {W} + z * {W * H} AS id FROM tv WHERE v > 1.0),
+ed AS (SELECT a.p, a.id AS a, b.id AS b FROM sd a JOIN sd b ON a.p = b.p AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+rc AS (SELECT p, id AS a, id AS b FROM sd UNION SELECT rc.p, rc.a, ed.b FROM rc JOIN ed ON rc.p = ed.p AND rc.b = ed.a),
+lb AS (SELECT p, a AS id, min(b) AS cluster FROM rc GROUP BY p, a),
+st AS (SELECT p, cluster, count(*) AS size, sum(v) AS mass FROM sd JOIN lb USING (p, id) GROUP BY p, cluster),
+nl AS (SELECT range AS p, round(coalesce(max(what), 0.0), 6) AS m FROM range({len(SIGNS)}) LEFT JOIN st ON st.p = range GROUP BY range),
+one AS (SELECT x, y, z, round(coalesce(what, 0.0), 6) AS v FROM tv LEFT JOIN (SELECT sd.x, sd.y, sd.z, what FROM sd JOIN lb USING (p, id) JOIN st USING (p, cluster) WHERE sd.p = 0) USING (x, y, z) WHERE tv.p = 0)"""
 
 
-@query()
+def _cluster_p_sql(what: str) -> str:
+    return f"WITH RECURSIVE {VOX}, {FLIP}, {_FOUND.replace('what', what)} SELECT x, y, z, v, (SELECT count(*) FROM nl WHERE nl.m < one.v) / {len(SIGNS)}.0::DOUBLE AS one_minus_p FROM one"
+
+
+def _cluster_p(spark, d, what):
+    """Every voxel: 0 below the level, else the size or mass of its cluster, against the largest of each permutation."""
+    v, statistic = centred(vox(spark, d)), permutation.group_mean_t
+    null = permutation.null_of_clusters(v, statistic, SIGNS, 1.0, W, H, what)
+    sized = permutation.cluster_map(v, lambda ys: statistic(ys, SIGNS[:1]), 1.0, W, H, what)
+    return permutation.p_map(_rounded(sized), _rounded(null))
+
+
+@query(_cluster_p_sql("size"))
 def p12_extent_p_map(spark, d):
-    first = permutation.permuted_maps(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS[:1])).drop("p")
-    lab = spatial.clusters(first, 1.0, W, H)
-    sized = lab.join(spatial.cluster_stats(lab), "cluster").select(*VOXEL, F.col("size").cast("double").alias("v"))
-    return permutation.p_map(sized, _null_clusters(spark, d, "size"))
+    return _cluster_p(spark, d, "size")
 
 
-@query()
+@query(_cluster_p_sql("mass"))
 def p13_mass_p_map(spark, d):
-    first = permutation.permuted_maps(centred(vox(spark, d)), lambda ys: permutation.group_mean_t(ys, SIGNS[:1])).drop("p")
-    lab = spatial.clusters(first, 1.0, W, H)
-    sized = lab.join(spatial.cluster_stats(lab), "cluster").select(*VOXEL, F.col("mass").alias("v"))
-    return permutation.p_map(_rounded(sized), _rounded(_null_clusters(spark, d, "mass")))
+    return _cluster_p(spark, d, "mass")
 
 
 @query(f"WITH {VOX}, {FLIP}, nl AS (SELECT max(v) AS m, row_number() OVER (ORDER BY max(v)) AS k FROM tv GROUP BY p) SELECT round(m, 6) AS level FROM nl WHERE k = {round(0.95 * len(SIGNS))}")
@@ -585,12 +667,19 @@ def a10_largest_cluster(spark, d):
     return spatial.cluster_stats(_clustered(spark, d)).agg(F.max("size").alias("largest"))
 
 
-@query()
+_TFCE = f"""hs AS (SELECT range AS k, (SELECT avg(v) FROM mean) + range * ((SELECT max(v) FROM mean) - (SELECT avg(v) FROM mean)) / 5 AS h FROM range(5)),
+sd AS (SELECT k, h, x, y, z, x + y * {W} + z * {W * H} AS id FROM mean, hs WHERE v > h),
+ed AS (SELECT a.k, a.id AS a, b.id AS b FROM sd a JOIN sd b ON a.k = b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
+rc AS (SELECT k, id AS a, id AS b FROM sd UNION SELECT rc.k, rc.a, ed.b FROM rc JOIN ed ON rc.k = ed.k AND rc.b = ed.a),
+lb AS (SELECT k, a AS id, count(*) AS extent FROM rc GROUP BY k, a)"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {MEAN}, {_TFCE} SELECT x, y, z, round(sum(sqrt(extent) * h * h) / 1e6, 5) AS v FROM sd JOIN lb USING (k, id) GROUP BY x, y, z")
 def p15_tfce(spark, d):
     m = summed(vox(spark, d))
     low, high = m.agg(F.avg("v"), F.max("v")).first()
-    step = (high - low) / 5
-    return spatial.tfce(m, [low + k * step for k in range(5)], W, H, step)
+    got = spatial.tfce(m, [low + k * (high - low) / 5 for k in range(5)], W, H)
+    return got.select(*VOXEL, F.round(F.col("v") / 1e6, 5).alias("v"))
 
 
 # ------------------------------------------------------------------ spatial
@@ -778,7 +867,7 @@ def r8_displacement_update(spark, d):
 @query()
 def r17_motion_correction(spark, d):
     v = vox(spark, d)
-    out = registration.motion_correct(v.where("t < 6"), SIZE, iterations=2, filter_size=3)
+    out = registration.motion_correct(v, SIZE)
     return out.groupBy("t").agg(F.avg("v").alias("v"), *(F.max(f"p{k}").alias(f"p{k}") for k in range(6)))
 
 
@@ -810,7 +899,7 @@ def m4_searchlight(spark, d):
 
 @query()
 def m5_gibbs(spark, d):
-    return learning.gibbs(glm.pack(grid.zscore(vox(spark, d))), X[:, :2] - [[0.5, 0]], draws=60, burn=20)
+    return learning.gibbs(glm.pack(grid.zscore(vox(spark, d))), X[:, :2] - [[0.5, 0]], draws=1000, burn=100)
 
 
 @query(f"WITH {VOX} SELECT x, y, max(v) AS v FROM vox WHERE t = 0 GROUP BY x, y")

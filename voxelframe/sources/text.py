@@ -74,8 +74,58 @@ def affine(path: str) -> np.ndarray:
     return from_matrix(np.loadtxt(path).reshape(4, 4))
 
 
-def permutations(path: str, one_based: bool = True) -> np.ndarray:
-    return np.loadtxt(path, dtype=int, ndmin=2) - one_based
+def permutations(path: str, one_based: bool = True, count: int | None = None, subjects: int | None = None) -> np.ndarray:
+    """A row of subjects for each permutation; every row must hold each subject once."""
+    out = np.loadtxt(path, dtype=int, ndmin=2) - one_based
+    n = out.shape[1] if subjects is None else subjects
+    if out.shape[1] != n or (count is not None and len(out) != count) or (np.sort(out, axis=1) != np.arange(n)).any():
+        raise ValueError(f"{path}: {count or 'rows'} permutations of {n} subjects expected")
+    return out
+
+
+def signs(path: str, count: int | None = None, subjects: int | None = None) -> np.ndarray:
+    """A row of 1 and -1 for each permutation."""
+    out = np.loadtxt(path, dtype=int, ndmin=2)
+    if (np.abs(out) != 1).any() or (count is not None and len(out) != count) or (subjects is not None and out.shape[1] != subjects):
+        raise ValueError(f"{path}: {count or 'rows'} rows of {subjects or 'any number of'} signs expected")
+    return out
+
+
+def write_vectors(path: str, table: np.ndarray, one_based: bool = True) -> None:
+    """Permutations, counted from 1, or signs, one row a line, as :func:`permutations` and :func:`signs` read them."""
+    np.savetxt(path, np.asarray(table) + one_based, fmt="%d")
+
+
+def regressors(spark: SparkSession, path: str, tr: float, times: int, raw: bool = False) -> np.ndarray:
+    """T x R design of a regressor list: ``NumRegressors R``, then R names of event files (a boxcar each) or, if ``raw``, of files with a value a volume; names are relative to the list."""
+    from pathlib import Path
+
+    from ..operators import design as d
+
+    words = Path(path).read_text().split()
+    if len(words) < 2 or words[0] != "NumRegressors" or len(words) - 2 != int(words[1]):
+        raise ValueError(f"{path}: NumRegressors and as many file names expected")
+    files = [str(Path(path).parent / w) for w in words[2:]]
+    return np.column_stack([column(f, times) if raw else d.sampled(d.boxcar(events(spark, f), tr, times, strict=True), times) for f in files])
+
+
+def raw_floats(spark: SparkSession, path: str, shape: tuple[int, ...]) -> DataFrame:
+    """(file, i, v): the 32-bit floats of raw files; each must hold as many as ``shape`` has cells, the first axis running fastest."""
+    import pandas as pd
+
+    cells = int(np.prod(shape))
+
+    def run(batches):
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"]):
+                v = np.frombuffer(raw, "<f4")
+                if len(v) != cells:
+                    raise ValueError(f"{name}: {cells} floats expected, {len(v)} found")
+                at = np.unravel_index(np.arange(cells), shape, order="F")
+                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], **{f"i{k}": a.astype(np.int32) for k, a in enumerate(at)}, "v": v.astype(float)})
+
+    names = ", ".join(f"i{k} int" for k in range(len(shape)))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, {names}, v double")
 
 
 def bids_events(spark: SparkSession, path: str, duration: str = "duration", height: str | None = None, only: str | None = None) -> DataFrame:
@@ -87,6 +137,23 @@ def bids_events(spark: SparkSession, path: str, duration: str = "duration", heig
     return out.where(F.col("trial_type") == only) if only else out
 
 
+def discover_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject, task, run, image, events) of a dataset's folder, from file names alone: functional images sub-S[_..]_task-T[_run-R]_bold.nii[.gz], with the event table of the same name if there is one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    part = lambda k: F.regexp_extract(name, rf"(?:^|_){k}-([A-Za-z0-9]+)", 1)
+    key = [part("sub").alias("subject"), part("task").alias("task"), F.when(part("run") == "", "1").otherwise(part("run")).cast("int").alias("run")]
+    images = files.where(name.rlike(r"_bold\.nii(\.gz)?$")).select(*key, F.col("path").alias("image"))
+    tables = files.where(name.rlike(r"_events\.tsv$")).select(*key, F.col("path").alias("events"))
+    return images.join(tables, ["subject", "task", "run"], "left")
+
+
+def group_copes(copes: DataFrame, subjects: list[str]) -> DataFrame:
+    """(x, y, z, t, v): the subjects' copes (subject, x, y, z, v) one after the other, t in the order given."""
+    order = F.create_map(*(F.lit(v) for k, s in enumerate(subjects) for v in (s, k)))
+    return copes.where(F.col("subject").isin(subjects)).select("x", "y", "z", order[F.col("subject")].alias("t"), "v")
+
+
 def pad_conditions(events_by_run: DataFrame, runs: DataFrame, conditions: DataFrame) -> DataFrame:
     """Every run with every condition; missing ones have no events (null onset)."""
     return runs.join(conditions, how="cross").join(events_by_run, ["run", "trial_type"], "left")
@@ -128,10 +195,14 @@ def matrix_columns(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(j, t, v) for t, row in enumerate(rows) for j, v in enumerate(row)], "regressor int, t int, value double")
 
 
+def design_lines(x: np.ndarray) -> list[str]:
+    """A line a volume: six decimals, two spaces after each."""
+    return ["".join(f"{v:.6f}  " for v in row) for row in np.atleast_2d(x)]
+
+
 def write_design(path: str, x: np.ndarray) -> None:
-    """Six decimals, two spaces after each."""
     with open(path, "w") as f:
-        f.writelines("".join(f"{v:.6f}  " for v in row) + "\n" for row in np.atleast_2d(x))
+        f.writelines(line + "\n" for line in design_lines(x))
 
 
 def write_distribution(null: DataFrame, path: str, value: str = "max_stat") -> None:
