@@ -11,9 +11,13 @@ The tokenizer file is data: its normaliser (NFC, white space to one space,
 lower case), its word pattern, its byte alphabet and its word-end suffix are
 honoured; the two special strings are cut out of the raw text first.
 
-Edge cases: a null text counts as empty (no ids, empty decoding); memory per
-task is bounded by one Arrow slice plus a bounded memo; repeated rows get equal
-results; unknown ids in decoding raise KeyError; extra columns are ignored.
+Where the library's Unicode tables differ from Python's, ``unicode_gaps`` says how.
+
+Edge cases: a null text counts as empty (no ids, empty decoding); a very long text is
+encoded run by run, and memory per task is bounded by one Arrow slice plus a bounded memo;
+repeated rows get equal results; merges of one rank apply leftmost first; unknown ids in
+decoding raise KeyError; extra columns, whatever their names, are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim
+from .unicode_gaps import BARRIER, CAPITAL, GAP, MARK, SMALL, STAND_IN
 
 #: Remembered runs between white space, and remembered words.
 MEMO_CHUNKS, MEMO_WORDS = 200_000, 200_000
@@ -160,7 +165,11 @@ class Bpe:
         memo = self.memo
         got = memo.get(chunk)
         if got is None:
-            got = tuple(chain.from_iterable(map(self.word_ids, self.word.findall(chunk))))
+            if GAP.search(chunk):
+                found = [chunk[m.start() : m.end()] for m in self.word.finditer(GAP.sub(STAND_IN, chunk))]
+            else:
+                found = self.word.findall(chunk)
+            got = tuple(chain.from_iterable(map(self.word_ids, found)))
             if len(chunk) <= MEMO_CHARS:
                 if len(memo) >= MEMO_CHUNKS:
                     memo.clear()
@@ -169,7 +178,12 @@ class Bpe:
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if MARK.search(text):
+                text = "".join(unicodedata.normalize("NFC", p) for p in BARRIER.split(text))
+            else:
+                text = unicodedata.normalize("NFC", text)
+            if CAPITAL.search(text):
+                text = text.translate(SMALL)
         # White space becomes one space in the file; its words never hold any, so it may stay as it is.
         # Character by character: str.lower() alone would turn a final capital sigma into its final form.
         return text.lower() if "Σ" not in text else "σ".join(p.lower() for p in text.split("Σ"))
