@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim
-from .unicode_gaps import BARRIER, CAPITAL, GAP, MARK, SMALL, STAND_IN
+from .unicode_gaps import BARRIER, CAPITAL, GAP, HIGH, MARK, SMALL, STAND_IN
 
 #: Remembered runs between white space, and remembered words.
 MEMO_CHUNKS, MEMO_WORDS = 200_000, 200_000
@@ -178,11 +178,12 @@ class Bpe:
 
     def normalise(self, text: str) -> str:
         if not text.isascii():
-            if MARK.search(text):
+            high = HIGH.search(text)
+            if high and MARK.search(text):
                 text = "".join(unicodedata.normalize("NFC", p) for p in BARRIER.split(text))
             else:
                 text = unicodedata.normalize("NFC", text)
-            if CAPITAL.search(text):
+            if high and CAPITAL.search(text):
                 text = text.translate(SMALL)
         # White space becomes one space in the file; its words never hold any, so it may stay as it is.
         # Character by character: str.lower() alone would turn a final capital sigma into its final form.

@@ -39,8 +39,10 @@ def _class(ranges) -> str:
     return "[" + "".join(f"{chr(r[0])}-{chr(r[1])}" for r in ranges) + "]"
 
 
+#: Asked first, as it is much faster: is there anything from the first of the marks on.
+HIGH = re.compile(f"[{chr(PLAIN_MARKS[0][0])}-\U0010ffff]")
 MARK = re.compile(_class(PLAIN_MARKS))
-BARRIER = re.compile(f"({_class(PLAIN_MARKS)})")  # keeps the marks when it splits; a group makes searches slow
+BARRIER = re.compile(f"({_class(PLAIN_MARKS)})")  # a group, so that a split keeps the marks
 CAPITAL = re.compile(_class(NEW_CAPITALS))
 SMALL = {c: chr(to + c - first) for first, last, to in NEW_CAPITALS for c in range(first, last + 1)}
 GAP = re.compile(_class(NO_LETTERS))
