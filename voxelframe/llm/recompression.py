@@ -5,7 +5,7 @@ symbol falls to a left or right side by a bit of its name, and a left symbol
 followed by a right one becomes one symbol. Names are hashes of what they
 stand for, so one naming holds over the whole corpus without a lookup. A round
 only touches symbols of at most its span limit, so whether a word boundary
-survives depends on the ``CONTEXT`` words around it and no others: equal
+survives depends on the :func:`context` words around it and no others: equal
 passages get equal symbols in their interior.
 """
 
@@ -17,10 +17,13 @@ from .common import mix
 
 _U = np.uint64
 
-#: Longest symbol, in words, that each round may merge.
-SPANS = (1, 2)
-#: Words on either side that decide if a boundary survives all rounds: a run and a pair step for each round.
-CONTEXT = 2 * sum(SPANS)
+#: Longest symbol, in words, that each round may merge, for each climb; a climb's symbols are up to twice its last limit.
+CLIMBS = ((1, 2), (1, 2, 4))
+
+
+def context(spans) -> int:
+    """Words on either side that decide if a boundary survives all rounds: a run and a pair step for each round."""
+    return 2 * sum(spans)
 
 
 def _merge(names, spans, join):
@@ -29,7 +32,7 @@ def _merge(names, spans, join):
     return first, np.add.reduceat(spans, first) if len(first) else spans[:0]
 
 
-def symbols(hashes: np.ndarray, row_start: np.ndarray, spans_limit=SPANS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbols(hashes: np.ndarray, row_start: np.ndarray, spans_limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, starts, spans) of the last round's symbols over concatenated rows.
 
     ``row_start`` is true for the first word of each row; no symbol crosses rows.
@@ -83,12 +86,12 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return best[:n]
 
 
-def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The symbol that stands for each window of ``window`` words.
 
     Returns (windows' first words, anchor's first word or -1, anchor's end,
     window's row). A window's anchor is its least-named symbol that lies at
-    least CONTEXT words inside; it depends on the window's words alone. -1: none
+    least ``context(limits)`` words inside; it depends on the window's words alone. -1: none
     does (long runs), the window stands for itself.
     """
     n = len(hashes)
@@ -101,24 +104,25 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
         return e, e, e, e
     row_start = np.zeros(n, bool)
     row_start[bounds[:-1][counts > 0]] = True
-    names, starts, spans = symbols(hashes, row_start)
+    names, starts, spans = symbols(hashes, row_start, limits)
+    margin = context(limits)
     # Only symbols that end within the interior of every window that may choose them: place each at its start.
     big = np.uint64(0xFFFFFFFFFFFFFFFF)
-    room = window - 2 * CONTEXT
+    room = window - 2 * margin
     value = np.full(n + window, big)
     end = np.zeros(n + window, np.int64)
     fits = spans <= room
     value[starts[fits]] = np.minimum(names[fits], big - np.uint64(1))
     end[starts[fits]] = starts[fits] + spans[fits]
-    low = first_words + CONTEXT
+    low = first_words + margin
     best = sliding_argmin(value, room)[low]
     # The least start may belong to a symbol that ends outside: such windows look for the least that ends inside.
-    chosen = np.where((value[best] != big) & (end[best] <= first_words + window - CONTEXT), best, -1)
+    chosen = np.where((value[best] != big) & (end[best] <= first_words + window - margin), best, -1)
     again = np.flatnonzero((chosen < 0) & (value[best] != big))
     for at in range(0, len(again), 65536):
         part = again[at : at + 65536]
         grid = low[part][:, None] + np.arange(room)[None, :]
-        v = np.where(end[grid] <= (first_words[part] + window - CONTEXT)[:, None], value[grid], big)
+        v = np.where(end[grid] <= (first_words[part] + window - margin)[:, None], value[grid], big)
         k = v.argmin(axis=1)
         hit = v[np.arange(len(part)), k] != big
         chosen[part] = np.where(hit, grid[np.arange(len(part)), k], -1)

@@ -2,15 +2,20 @@
 
 Words covered by a window of ``window`` consecutive words that also starts in a
 document of smaller id are removed. Recompression (see ``recompression``) gives
-every window an anchor, a high-level symbol in its interior that depends on the
+every window an anchor, a symbol in its interior that depends on the
 window's words alone; an anchor is named with the words around it that all its
-windows share. Anchors that occur in one document only can't be part of a
-repeat, which leaves the windows around shared ones; those are verified by a
-128-bit hash of their words, and the smallest id of each hash decides.
+windows share. Names that occur in one document only can't be part of a repeat.
+
+Spark climbs in rounds. In each it names the anchors of the windows that are left, all
+over the corpus, and keeps those whose name two documents share: first
+symbols of up to 4 words, named with 6 words on either side, which rule out most of all text;
+then, for what is left, symbols of up to 8 words with 14 on either side, which
+a chance overlap of a phrase doesn't share. Windows around names that are still shared are
+verified by a 128-bit hash of their words, and the smallest id of each hash decides.
 
 Shuffles: texts by document, once; sparse anchors (about one for twenty words) by name, shared names by
 document, windows around shared anchors by hash. Whole copies are found first, by
-their digest, and take no part in the rest. Hot names
+their digest, and take no part in the rest. Hot digests, names
 and hashes are aggregated before they are shuffled, and joined from the side
 with one row for each, so skewed partitions can be split.
 
@@ -18,7 +23,8 @@ Edge cases: a null or empty text has no words and the digest of the empty
 string; texts shorter than the window lose nothing; repeats inside one document
 lose nothing; rows that repeat an id don't count as smaller, and rows that
 repeat id and text get equal results; rows of a null id lose nothing and
-make nobody lose anything; extra columns are ignored; an empty table gives no
+make nobody lose anything; a text of any length is hashed whole, in a slice of its own if it
+passes a slice's bytes; extra columns are ignored; an empty table gives no
 rows. Positions are counted in words of the whole text.
 """
 
@@ -33,20 +39,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, lane_join, mix, slices, words_of
-from .recompression import CONTEXT, anchors
+from .recompression import CLIMBS, anchors, context
 
 WINDOW = 50
 
 _FIRST, _SECOND, _AROUND = Rolling(0xA24BAED4963EE407), Rolling(0x9FB21C651E98DF25), Rolling(0xE7037ED1A0B428DB)
 
 
-def _keys(hashes, bounds, window):
+def _keys(hashes, bounds, window, limits):
     """Windows' first words, the key of each one's anchor and its row."""
-    at, anchor, end, row = anchors(hashes, bounds, window)
+    at, anchor, end, row = anchors(hashes, bounds, window, limits)
+    margin = context(limits)
     around = _AROUND.prefix(hashes)
     own = anchor < 0
-    start = np.where(own, at, anchor - CONTEXT)
-    stop = np.where(own, at + window, end + CONTEXT)
+    start = np.where(own, at, anchor - margin)
+    stop = np.where(own, at + window, end + margin)
     key = _AROUND.of(around, start, stop)
     return at, np.where(own, ~key, mix(key ^ (stop - start).astype(np.uint64))), row
 
@@ -55,19 +62,39 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
 
 
-def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """From (doc_id, th, text, copy): distinct (key, doc_id, th) of rows that aren't copies."""
+def _among(key, row, rows, lists):
+    """Which windows' keys are in their row's list."""
+    list_at, flat = lists
+    out = np.zeros(len(key), bool)
+    edges = np.searchsorted(row, np.arange(rows + 1))
+    for r in np.flatnonzero(edges[1:] > edges[:-1]):
+        one = slice(edges[r], edges[r + 1])
+        out[one] = np.isin(key[one].view(np.int64), flat[list_at[r] : list_at[r + 1]])
+    return out
+
+
+def _lists(column: pa.ListArray, a: int, b: int):
+    at = np.asarray(column.offsets)[a : b + 1]
+    return at, column.values.to_numpy(zero_copy_only=False)
+
+
+def anchor_rows(docs: DataFrame, window: int, limits, before=None) -> DataFrame:
+    """Distinct (key, doc_id, th) of windows: of all from (doc_id, th, text, copy) without copies; with ``before``, of those from (doc_id, th, text, keys) whose key of that climb is among ``keys`` (null: none)."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_null(batch.column(3))))
+            keep = pc.is_valid(batch.column(3)) if before else pc.and_(pc.is_valid(batch.column(0)), pc.is_null(batch.column(3)))
+            batch = batch.filter(keep)
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in slices(batch.column(2)):
+            for a, b, data, offsets in slices(batch.column(2)):
                 hashes, _, _, bounds = words_of(data, offsets)
-                _, key, row = _keys(hashes, bounds, window)
+                _, key, row = _keys(hashes, bounds, window, limits)
                 if not len(key):
                     continue
+                if before:
+                    left = _among(_keys(hashes, bounds, window, before)[1], row, b - a, _lists(batch.column(3), a, b))
+                    key, row = key[left], row[left]
                 order = np.lexsort((key, row))
                 key, row = key[order], row[order]
                 new = np.ones(len(key), bool)
@@ -78,27 +105,20 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, doc_id bigint, th int")
 
 
-def window_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """From (doc_id, th, text, keys): (h1, h2, doc_id, th, at) of every window whose anchor's key is among ``keys`` (null: none)."""
+def window_rows(docs: DataFrame, window: int, limits) -> DataFrame:
+    """From (doc_id, th, text, keys): (h1, h2, doc_id, th, at) of every window whose key of the climb is among ``keys`` (null: none)."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(3)))
             ids, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            lists = batch.column(3)
-            list_at, flat = np.asarray(lists.offsets), np.asarray(lists.flatten().to_numpy(zero_copy_only=False))
-            list_at = list_at - list_at[0]
             for a, b, data, offsets in slices(batch.column(2)):
                 hashes, _, _, bounds = words_of(data, offsets)
-                at, key, row = _keys(hashes, bounds, window)
+                at, key, row = _keys(hashes, bounds, window, limits)
                 if not len(key):
                     continue
-                wanted = np.zeros(len(key), bool)
-                edges = np.searchsorted(row, np.arange(b - a + 1))
-                for r in range(b - a):
-                    if edges[r] < edges[r + 1]:
-                        wanted[edges[r] : edges[r + 1]] = np.isin(key[edges[r] : edges[r + 1]].view(np.int64), flat[list_at[a + r] : list_at[a + r + 1]])
+                wanted = _among(key, row, b - a, _lists(batch.column(3), a, b))
                 at, row = at[wanted], row[wanted]
                 p, q = _FIRST.prefix(hashes), _SECOND.prefix(mix(hashes))
                 h1, h2 = _FIRST.of(p, at, at + window), _SECOND.of(q, at, at + window)
@@ -169,19 +189,23 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, text_out: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for."""
-    if window < 2 * CONTEXT + 8:
-        raise ValueError(f"a window needs {2 * CONTEXT + 8} words at least")
+    climbs = [c for c in CLIMBS if window >= 2 * context(c) + 2 * c[-1]]
+    if not climbs:
+        raise ValueError(f"a window needs {2 * context(CLIMBS[0]) + 2 * CLIMBS[0][-1]} words at least")
     rows = _keyed(docs, id_col, text)
     # Whole copies of a text with a smaller id lose every word; neither windows nor anchors of theirs are needed.
     # Text goes through one exchange, by id: every join below reads that one again.
     named = rows.where("doc_id is not null and text is not null").select("doc_id", "th", F.md5(F.encode("text", "UTF-8")).alias("m"))
     firsts = named.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = named.join(firsts, "m").where("doc_id > low").select("doc_id", "th", F.lit(True).alias("copy")).distinct()
+    copies = lane_join(named, firsts, ["m"], ["doc_id"]).where("doc_id > low").select("doc_id", "th", F.lit(True).alias("copy")).distinct()
     rows = rows.join(copies, ["doc_id", "th"], "left").select("doc_id", "th", "text", "copy")
-    found = anchor_rows(rows, window)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    keys = lane_join(found, shared, ["key"], ["doc_id"], 2).groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
-    wins = window_rows(rows.join(keys, ["doc_id", "th"], "left").select("doc_id", "th", "text", "keys"), window)
+    keys, before = None, None
+    for limits in climbs:
+        source = rows if keys is None else rows.join(keys, ["doc_id", "th"], "left").select("doc_id", "th", "text", "keys")
+        found = anchor_rows(source, window, limits, before)
+        shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+        keys, before = lane_join(found, shared, ["key"], ["doc_id"], 2).groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys")), limits
+    wins = window_rows(rows.join(keys, ["doc_id", "th"], "left").select("doc_id", "th", "text", "keys"), window, before)
     first = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     hits = lane_join(wins, first.select("h1", "h2", "low"), ["h1", "h2"], ["doc_id"], 2).where("doc_id > low").select("doc_id", "th", "at").distinct()
     hits = hits.groupBy("doc_id", "th").agg(F.collect_list("at").alias("hits"))
