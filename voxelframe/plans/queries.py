@@ -47,19 +47,28 @@ def values(rows, name: str) -> str:
 # ------------------------------------------------------------------ the series
 
 
-def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
+def series(spark: SparkSession, sf_dir: str, width: int, height: int) -> DataFrame:
+    """Quantities of ``lineitem`` on a grid of width x height x D voxels and T volumes."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     month = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
-    raw = li.select((F.col("l_partkey") % W).cast("int").alias("x"), (F.col("l_suppkey") % H).cast("int").alias("y"), (F.col("l_linenumber") - 1).cast("int").alias("z"), (month % T).cast("int").alias("t"), "l_quantity")
+    raw = li.select((F.col("l_partkey") % width).cast("int").alias("x"), (F.col("l_suppkey") % height).cast("int").alias("y"), (F.col("l_linenumber") - 1).cast("int").alias("z"), (month % T).cast("int").alias("t"), "l_quantity")
     raw = raw.groupBy(*VOXEL, "t").agg(F.sum("l_quantity").alias("v"))
-    return grid.densify(raw, grid.grid(spark, W, H, D, T), [*VOXEL, "t"])
+    return grid.densify(raw, grid.grid(spark, width, height, D, T), [*VOXEL, "t"])
 
 
-VOX = f"""raw AS (SELECT CAST(l_partkey % {W} AS INT) AS x, CAST(l_suppkey % {H} AS INT) AS y, CAST(l_linenumber - 1 AS INT) AS z,
+def series_sql(width: int, height: int) -> str:
+    return f"""raw AS (SELECT CAST(l_partkey % {width} AS INT) AS x, CAST(l_suppkey % {height} AS INT) AS y, CAST(l_linenumber - 1 AS INT) AS z,
   CAST(((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1) % {T} AS INT) AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
 vox AS (SELECT g.x, g.y, g.z, g.t, coalesce(raw.v, 0.0::DOUBLE) AS v FROM
-  (SELECT CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS z, CAST(d.range AS INT) AS t FROM range({W}) a, range({H}) b, range({D}) c, range({T}) d) g
+  (SELECT CAST(a.range AS INT) AS x, CAST(b.range AS INT) AS y, CAST(c.range AS INT) AS z, CAST(d.range AS INT) AS t FROM range({width}) a, range({height}) b, range({D}) c, range({T}) d) g
   LEFT JOIN raw ON g.x = raw.x AND g.y = raw.y AND g.z = raw.z AND g.t = raw.t)"""
+
+
+def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series(spark, sf_dir, W, H)
+
+
+VOX = series_sql(W, H)
 MASK = f"""tot AS (SELECT sum(v) AS s FROM vox), mask AS (SELECT x, y, z, CASE WHEN sum(v) * {10 * W * H * D} > 9 * max(tot.s) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m FROM vox, tot GROUP BY x, y, z)"""
 
 
@@ -184,12 +193,13 @@ def bell_sql(sigma: str, taps: int) -> str:
 KSQL = bell_sql("5.5e0 / 2.354 / 2", 9)
 
 
-def smooth_sql(source: str, name: str, keys: str = "", mask: str | None = None, KSQL: str = KSQL) -> str:
+def smooth_sql(source: str, name: str, keys: str = "", mask: str | None = None, KSQL: str = KSQL, size: tuple[int, int, int] = SIZE) -> str:
     """CTEs that end in ``name`` (x, y, z, keys, v), normalised smoothing of ``source``."""
+    w, h, d = size
     k = f", {keys}" if keys else ""
     m = "coalesce(mask.m, 0.0)" if mask else "1.0::DOUBLE"
     out = f"{name}0 AS (SELECT x, y, z{k}, v * {m} AS v, {m} AS m FROM {source}" + (" LEFT JOIN mask USING (x, y, z)" if mask else "") + ")"
-    for step, (axis, size) in enumerate((("y", H), ("x", W), ("z", D))):
+    for step, (axis, size) in enumerate((("y", h), ("x", w), ("z", d))):
         cells = ", ".join(f"{a} + k.o AS {a}" if a == axis else a for a in "xyz")
         out += f", {name}{step + 1} AS (SELECT x, y, z{k}, sum(v) AS v, sum(m) AS m FROM (SELECT {cells}{k}, v * k.w AS v, m * k.w AS m FROM {name}{step}, {KSQL}) WHERE {axis} BETWEEN 0 AND {size - 1} GROUP BY ALL)"
     return out + f", {name} AS (SELECT x, y, z{k}, CASE WHEN m <> 0 THEN v / m ELSE 0.0::DOUBLE END AS v FROM {name}3)"
