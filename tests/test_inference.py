@@ -242,6 +242,12 @@ def test_components_are_separated(spark):
     got = np.array([r.s for r in learning.project(df, w @ p["whiten"], p["mean"], ["id"]).orderBy("id").collect()]).T
     match = np.abs(np.corrcoef(np.vstack([got, s]))[:3, 3:])
     assert (match.max(axis=0) > 0.95).all()
+    rows = learning.project(df, p["whiten"], p["mean"], ["id"])
+    few, other = (learning.infomax_rows(r, 3, steps=8) for r in (rows, rows.repartition(7)))
+    assert np.allclose(few, other, atol=1e-9)
+    one = learning.infomax_rows(rows, 3, steps=100, rate=0.2)
+    match = np.abs(np.corrcoef(np.vstack([one @ ((x - p["mean"]) @ p["whiten"].T).T, s]))[:3, 3:])
+    assert (match.max(axis=0) > 0.95).all()
 
 
 def test_first_level_from_volumes_to_reference(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,6 +49,12 @@ def searchlight(packed: DataFrame, classes: list[int], size: tuple[int, int, int
     return packed.select(*VOXEL).join(inside, VOXEL, "left").select(*VOXEL, F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
 
 
+def _sum_arrays(parts: DataFrame) -> np.ndarray:
+    """Sum of arrays ``a``, one a task, element by element."""
+    rows = parts.select(F.posexplode("a").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["k"])])
+
+
 def gram(vectors: DataFrame, column: str = "f") -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, mean, covariance) of array rows: partial sums by batch, one small matrix a task."""
 
@@ -60,12 +68,12 @@ def gram(vectors: DataFrame, column: str = "f") -> tuple[int, np.ndarray, np.nda
             yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
 
     parts = vectors.select(column).mapInPandas(run, "n long, s array<double>, g array<double>")
-    width = F.posexplode("g").alias("k", "v")
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    if not total:
+    sums = _sum_arrays(parts.select(F.concat(F.array(F.col("n").cast("double")), "s", "g").alias("a")))
+    if not len(sums):
         return 0, np.zeros(0), np.zeros((0, 0))
-    s = np.array([r[1] for r in sorted(parts.select(F.posexplode("s").alias("k", "v")).groupBy("k").agg(F.sum("v")).collect())])
-    g = np.array([r[1] for r in sorted(parts.select(width).groupBy("k").agg(F.sum("v")).collect())]).reshape(len(s), len(s))
+    # 1 + k + k * k numbers for k components.
+    k = (math.isqrt(4 * len(sums) - 3) - 1) // 2
+    total, s, g = int(sums[0]), sums[1 : k + 1], sums[k + 1 :].reshape(k, k)
     mean = s / total
     return total, mean, (g - total * np.outer(mean, mean)) / max(total - 1, 1)
 
@@ -92,6 +100,33 @@ def project(vectors: DataFrame, matrix: np.ndarray, mean: np.ndarray, keys: list
     return vectors.select(*keys, column).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {out} array<double>")
 
 
+def infomax_rows(whitened: DataFrame, k: int, column: str = "s", steps: int = 256, rate: float = 0.1, stop: float = 1e-4) -> np.ndarray:
+    """Unmixing matrix of whitened rows of length ``k``, however many: every step's natural gradient is a sum over all rows, k * k numbers a task."""
+    w, b = np.eye(k), np.zeros((k, 1))
+    rows = whitened.select(column).persist()
+    try:
+        n = rows.count()
+        for _ in range(steps if n else 0):
+
+            def run(batches, w=w, b=b):
+                g, m = np.zeros((k, k)), np.zeros(k)
+                for pdf in batches:
+                    if len(pdf):
+                        u = w @ np.array(pdf[column].tolist(), float).T + b
+                        y = 1 - 2 / (1 + np.exp(-np.clip(u, -500, 500)))
+                        g, m = g + y @ u.T, m + y.sum(axis=1)
+                yield pd.DataFrame({"a": [[*g.ravel().tolist(), *m.tolist()]]})
+
+            sums = _sum_arrays(rows.mapInPandas(run, "a array<double>"))
+            step = rate * (np.eye(k) + sums[: k * k].reshape(k, k) / n) @ w
+            w, b = w + step, b + rate * sums[k * k :, None] / n
+            if np.abs(step).max() < stop:
+                break
+    finally:
+        rows.unpersist()
+    return w
+
+
 def infomax(x: np.ndarray, seed: int = 0, steps: int = 512, stop: float = 1e-6) -> np.ndarray:
     """Unmixing matrix of whitened rows x (k x n) by block updates with an annealed rate."""
     k, n = x.shape

@@ -894,10 +894,8 @@ def m1_pca(spark, d):
 @query()
 def m2_ica(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
-    p = learning.pca(e, 0.3)
-    # The whitened rows of the fit: bounded by a sample of at most 20,000.
-    rows = learning.project(e.orderBy(F.xxhash64("vec_id")).limit(20_000), p["whiten"], p["mean"], ["vec_id"]).toPandas()
-    w = learning.infomax(np.array(rows["s"].tolist()).T, steps=64)
+    p = learning.pca(e, 0.8)
+    w = learning.infomax_rows(learning.project(e, p["whiten"], p["mean"], ["vec_id"]), len(p["values"]))
     return learning.project(e, w @ p["whiten"], p["mean"], ["vec_id"]).select("vec_id", F.posexplode("s").alias("component", "source"))
 
 
