@@ -14,7 +14,7 @@ from ..operators.grid import VOXEL
 from ..sources import text
 from .queries import (
     _AR, _GATHER, _TS, AFFINE, C, CF, CPX, FIT, FM00, FM01, FM11, P_SQL, PERM_SQL, PERMS, PINV, QUERIES, SIZE, SQL, TASK, V0, VOX, X, X_SQL, D, H, T, W,
-    _complex, _grad_sql, _rounded, field, gather_sql, num, pinv_sql, query, r, summed, values, volume, vox,
+    _complex, _grad_sql, _rounded, ar_sql, field, gather_sql, num, pinv_sql, query, r, summed, values, volume, vox,
 )
 
 __all__ = ["QUERIES", "SQL"]
@@ -152,12 +152,22 @@ def p8_all_sign_flips(spark, d):
     return spark.createDataFrame([(p, s, int(t[p, s])) for p in range(64) for s in range(6)], "p int, s int, sign int")
 
 
-@query()
+_COLOUR = f"""dt AS (SELECT x, y, z, t, v - ({' + '.join(f'b{k} * q{k}' for k in range(4))}) AS v FROM vox JOIN (SELECT x, y, z, {', '.join(f'sum(v * q{k}) / any_value(z{k}) AS b{k}' for k in range(4))} FROM vox JOIN q USING (t), (SELECT {', '.join(f'z{k}' for k in range(4))} FROM z) zz GROUP BY x, y, z) f USING (x, y, z) JOIN q USING (t)),
+{ar_sql('dt', 'ar')},
+wl AS (SELECT x, y, z, t, v, {', '.join(f'lag(v, {k}, 0e0) OVER w AS l{k}' for k in range(1, 5))} FROM dt WINDOW w AS (PARTITION BY x, y, z ORDER BY t)),
+wt AS (SELECT x, y, z, t, v - a1 * l1 - a2 * l2 - a3 * l3 - a4 * l4 AS v FROM wl JOIN ar USING (x, y, z)),
+rc AS (SELECT pm.p, x, y, z, 0::BIGINT AS t, v AS y0, 0e0 AS y1, 0e0 AS y2, 0e0 AS y3 FROM wt JOIN {PERM_SQL} ON wt.t = pm.s WHERE pm.t = 0 UNION ALL
+SELECT rc.p, rc.x, rc.y, rc.z, rc.t + 1, wt.v + a1 * y0 + a2 * y1 + a3 * y2 + a4 * y3, y0, y1, y2 FROM rc JOIN {PERM_SQL} ON pm.p = rc.p AND pm.t = rc.t + 1 JOIN wt ON wt.t = pm.s AND wt.x = rc.x AND wt.y = rc.y AND wt.z = rc.z JOIN ar ON ar.x = rc.x AND ar.y = rc.y AND ar.z = rc.z),
+pf AS (SELECT p, x, y, z, sum(y0 * p0) AS b0, sum(y0 * p1) AS b1, sum(y0 * p2) AS b2 FROM rc JOIN (SELECT t, p0, p1, p2 FROM {P_SQL}) USING (t) GROUP BY p, x, y, z),
+pe AS (SELECT p, x, y, z, b0, var_samp(y0 - b0 * x0 - b1 * x1 - b2 * x2) AS var FROM rc JOIN pf USING (p, x, y, z) JOIN {X_SQL} USING (t) GROUP BY p, x, y, z, b0)"""
+
+
+@query(f"WITH RECURSIVE {VOX}, {_ORTHO}, {_COLOUR} SELECT CAST(p AS INT) AS p, round(max(b0 / sqrt(var * {_TS})), 5) AS max_stat FROM pe GROUP BY p")
 def p9_first_level_null(spark, d):
     """Detrend, estimate, whiten, permute, colour again, fit: the null of the largest t."""
     v = glm.detrend(vox(spark, d), _TREND)
     ar = temporal.solve_ar(temporal.lag_products(v, T))
-    return _rounded(permutation.exchangeable_null(temporal.whiten(v, ar), ar, X, C, PERMS))
+    return permutation.exchangeable_null(temporal.whiten(v, ar), ar, X, C, PERMS).withColumn("max_stat", r("max_stat", 5))
 
 
 # ------------------------------------------------------------------ filtering, tensors

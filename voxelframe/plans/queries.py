@@ -891,6 +891,17 @@ def m1_pca(spark, d):
     return learning.project(e, p["whiten"], p["mean"], ["vec_id"]).select("vec_id", F.posexplode("s").alias("component", "score"))
 
 
+_DIMS = "f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT a.k AS i, b.k AS j, covar_samp(a.v, b.v) AS c FROM f a JOIN f b USING (vec_id) GROUP BY a.k, b.k)"
+
+
+@query(f"WITH {_DIMS} SELECT count(DISTINCT i) AS components, round(sum(c) FILTER (WHERE i = j), 6) AS total, round(sum(c * c), 6) AS squares FROM c")
+def m1_variances(spark, d):
+    """All components: their number, the sum of their variances (the covariance's trace) and that of the squares (its norm)."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    v = learning.pca(e, 1.0)["values"]
+    return spark.createDataFrame([(len(v), round(float(v.sum()), 6), round(float((v**2).sum()), 6))], "components bigint, total double, squares double")
+
+
 @query()
 def m2_ica(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
@@ -899,10 +910,27 @@ def m2_ica(spark, d):
     return learning.project(e, w @ p["whiten"], p["mean"], ["vec_id"]).select("vec_id", F.posexplode("s").alias("component", "source"))
 
 
-@query()
+def _m4_sql(epochs: int = 20) -> str:
+    """Leave-one-out training, an epoch a pair of tables: errors of each left-out volume's weights, then the weights after one step."""
+    inner = " AND ".join(f"v.{k} BETWEEN 1 AND {n - 2}" for k, n in zip("xyz", SIZE))
+    zs = "CASE WHEN stddev_samp(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_samp(v) OVER w ELSE 0.0 END"
+    steps = [f"w0 AS MATERIALIZED (SELECT DISTINCT x, y, z, i, range AS o, 0e0 AS w FROM ft, range({T}))"]
+    for k in range(epochs):
+        steps.append(f"e{k} AS MATERIALIZED (SELECT x, y, z, o, t, sum(w * v) - any_value(d) AS e FROM w{k} JOIN ft USING (x, y, z, i) WHERE t <> o GROUP BY x, y, z, o, t)")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT x, y, z, i, o, any_value(w) - 0.01 / {T} * sum(e * v) AS w FROM w{k} JOIN ft USING (x, y, z, i) JOIN e{k} USING (x, y, z, o, t) GROUP BY x, y, z, i, o)")
+    return f"""WITH {VOX}, zs AS (SELECT x, y, z, t, {zs} AS v, CASE WHEN t // 4 % 2 = 0 THEN 1 ELSE -1 END AS d FROM vox WINDOW w AS (PARTITION BY x, y, z)),
+nb AS (SELECT a.range - 1 AS dx, b.range - 1 AS dy, c.range - 1 AS dz, row_number() OVER () AS i FROM range(3) a, range(3) b, range(3) c WHERE abs(a.range - 1) + abs(b.range - 1) + abs(c.range - 1) <= 2),
+ft AS MATERIALIZED (SELECT v.x, v.y, v.z, i, n.t, n.v, n.d FROM (SELECT DISTINCT x, y, z FROM vox) v, nb JOIN zs n ON n.x = v.x + dx AND n.y = v.y + dy AND n.z = v.z + dz WHERE {inner} UNION ALL SELECT x, y, z, 0, t, 1e0, d FROM zs v WHERE {inner}),
+{', '.join(steps)},
+ok AS (SELECT x, y, z, o, (sum(w * v) > 0) = (any_value(d) > 0) AS hit FROM w{epochs} JOIN ft USING (x, y, z, i) WHERE t = o GROUP BY x, y, z, o),
+ac AS (SELECT x, y, z, count(*) FILTER (WHERE hit) / {T} AS accuracy FROM ok GROUP BY x, y, z)
+SELECT v.x, v.y, v.z, round(coalesce(accuracy, 0.0), 6) AS accuracy FROM (SELECT DISTINCT x, y, z FROM vox) v LEFT JOIN ac USING (x, y, z)"""
+
+
+@query(_m4_sql())
 def m4_searchlight(spark, d):
     packed = glm.pack(grid.zscore(vox(spark, d)))
-    return learning.searchlight(packed, [int(t // 4 % 2) for t in range(T)], SIZE)
+    return _rounded(learning.searchlight(packed, [int(t // 4 % 2) for t in range(T)], SIZE))
 
 
 @query()
