@@ -54,7 +54,8 @@ def deduped(rows):
     out = []
     for r in rows:
         t = r[1] if r[0] is None or r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[r[0]])
-        out.append((r[0], t, r[2], r[3], len(t), *r[5:]))
+        if t == r[1] or WORD.search(t):
+            out.append((r[0], t, r[2], r[3], len(t), *r[5:]))
     return out
 
 
