@@ -5,14 +5,15 @@ kept; all but the last return the columns of ``documents``.
 
 Line dedup comes before the join of near copies: of a near copy that shares whole
 lines with an earlier document, only what is its own reaches the join, which then
-finds copies that differ within their lines.
+finds copies that differ within their lines. A document all of whose lines occur
+earlier is a copy, and goes with them.
 
 Edge cases, as the stages' operators define them: a null, empty or short text fails the
 quality rules and goes; rows that repeat an id and text share every verdict, and all
 stay where their document stays; a row of a null id is judged by the rules, is no
 copy of anything and is mixed by a draw on its text; extra columns of any name pass
-through all stages but the last; a very long text is one row throughout; an empty table gives
-no rows.
+through all stages but the last; a text without words that lost no line stays as it is; a
+very long text is one row throughout; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from voxelframe.llm.common import cut, documents
+from voxelframe.llm.common import WORD_PATTERN, cut, documents
 from voxelframe.llm.queries import tokenizer_path
 
 
@@ -31,8 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go; n_chars follows the text."""
-    out = line_dedup.dedup(docs)
+    """Later occurrences of repeated three-line windows go, and with them documents that hold no word any more; n_chars follows the text."""
+    out = line_dedup.dedup(docs, info=True)
+    emptied = (F.col("__n_removed") > 0) & ~F.col("text").rlike(WORD_PATTERN)
+    out = out.where(~F.coalesce(emptied, F.lit(False))).drop("__n_lines", "__n_removed")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
