@@ -25,8 +25,10 @@ def tables(spark, tmp_path_factory):
     vectors = [(i, [float(x) for x in rng.integers(-3, 3, 4) / 2]) for i in range(60)]
     vectors += [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [1.0, float("nan"), 0.0, 0.0]), (63, [float("inf"), 0.0, 0.0, 0.0])]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    urls = [None, "", "x", "http://a.example.net", "http://b.org/é/1/2/3/4/5"] + [f"http{'s' * (i % 2)}://{'AbC'[i % 3]}.{('example.com', 'example.net', 'www.example.com', 'h.net')[i % 4]}/{('en', 'es', 'fr', 'de')[i // 4 % 4]}/{i % 9 if i % 5 else 'k' + chr(97 + i % 26)}{('', '/', '?q', '#t')[i % 4]}" for i in range(400)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{d}/pages.parquet")
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet/*.parquet'")
     return str(d), con
 
@@ -36,7 +38,7 @@ def test_query_equals_sql(spark, tables, name):
     d, con = tables
     got, want = QUERIES[name](spark, d).toPandas(), con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    by = [c for c in ("doc_id", "query_id", "rank") if c in got.columns]
+    by = [c for c in ("doc_id", "query_id", "rank", "page_id") if c in got.columns]
     got = got.sort_values(by, ignore_index=True)[sorted(got.columns)]
     want = want.sort_values(by, ignore_index=True)[sorted(got.columns)]
     pd.testing.assert_frame_equal(got, want, check_dtype=False)

@@ -2,8 +2,7 @@
 
 Each is a plain statement of the contract, exact strings in place of hashes and
 self joins in place of searches, so that it shares nothing with the operators
-but their parameters. BPE, the classifier and the shards' binary search
-have no SQL form.
+but their parameters. BPE and the classifier have no SQL form.
 """
 
 from __future__ import annotations
@@ -127,6 +126,32 @@ b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(rules)} AS kept FROM b"""
 
 
+def _op9(shards: int = 24) -> str:
+    # g: groups in order of their MD5, cum: bytes up to their end. A table of capacities is scanned greedily, a shard a step; the least that reaches the end is c.
+    greedy = ", ".join(f"s{k} AS (SELECT s.c, e.cum AS at FROM s{k - 1} s ASOF JOIN ends e ON s.at + s.c >= e.cum)" for k in range(1, shards + 1))
+    # b_k: the first place from which k shards reach the end; cut_k: the place nearest an even share that the capacity allows.
+    back = ", ".join(f"b{k} AS (SELECT min(e.cum) AS v FROM ends e, b{k - 1} b, cap WHERE e.cum >= b.v - c)" for k in range(1, shards))
+    cuts = []
+    for k in range(1, shards):
+        left = shards - k
+        even = f"(p.v + ((SELECT v FROM total) - p.v) / {left + 1}.0)"
+        near = f"(SELECT cum FROM ends e ORDER BY abs(e.cum - {even}), e.cum LIMIT 1)"
+        far = "(SELECT max(cum) FROM ends e WHERE e.cum <= p.v + c)"
+        cuts.append(f"cut{k} AS (SELECT least(greatest({near}, (SELECT v FROM b{left})), {far}) AS v FROM cut{k - 1} p, cap)")
+    all_cuts = " UNION ALL ".join(f"SELECT v FROM cut{k}" for k in range(1, shards))
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))"
+    return f"""WITH tb AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT range AS n, list_reduce([range, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v FROM range(256))),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS m, hex(encode(coalesce(text, ''))) AS h FROM documents),
+r AS (SELECT doc_id, m, length(h) // 2 + 8 AS size, xor({crc}, 4294967295::BIGINT) AS crc FROM (SELECT doc_id, m, h, tab, [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)] AS bytes FROM d, tb)),
+g AS (SELECT m, CAST(sum(sum(size)) OVER (ORDER BY m) AS BIGINT) AS cum, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY m), ends AS (SELECT cum FROM g UNION ALL SELECT 0),
+total AS (SELECT max(cum) AS v FROM ends), lo AS (SELECT greatest(max(size), CAST(ceil(max(cum) / {shards}.0) AS BIGINT)) AS v, max(size) AS most FROM g),
+s0 AS (SELECT unnest(range((SELECT v FROM lo), (SELECT v + most FROM lo) + 1)) AS c, 0::BIGINT AS at), {greedy},
+cap AS (SELECT min(s.c) AS c FROM s{shards} s, total WHERE s.at = total.v), b0 AS (SELECT v FROM total), {back}, cut0 AS (SELECT 0::BIGINT AS v), {', '.join(cuts)},
+cuts AS ({all_cuts}), gs AS (SELECT m, CAST((SELECT count(*) FROM cuts WHERE cuts.v <= g.cum - g.size) AS INT) AS shard FROM g),
+a AS (SELECT r.*, shard, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r.m), 1, 8))::BIGINT % 64 AS lane FROM r JOIN gs USING (m))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY lane, doc_id, crc, size) - 1 AS BIGINT) AS slot, CAST(NULL AS DOUBLE) AS grown_shard FROM a"""
+
+
 def _op10() -> str:
     # p: the line's place in the text, from 1; i: its rank among lines that hold a word.
     return f"""WITH sp AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
@@ -147,5 +172,6 @@ SQL = {
     "op5_jaccard_join": _op5(),
     "op6_mixing": _op6(),
     "op7_quality_rules": _op7(),
+    "op9_sharding": _op9(),
     "op10_line_dedup": _op10(),
 }

@@ -169,7 +169,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards:
         shard = shard + (F.col("m") >= p).cast("int") if p is not None else shard
     spent(groups)
     lanes = max(LANES, -(-rows.count() // (shards * LANE_ROWS)))
-    rows = rows.withColumn("shard", shard).withColumn("lane", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(lanes)).cast("int"))
+    lane = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "m")), 1, 8), 16, 10).cast("long")
+    rows = rows.withColumn("shard", shard).withColumn("lane", F.pmod(lane, F.lit(lanes)).cast("int"))
     total, before = {}, []
     for r in sorted(rows.groupBy("shard", "lane").count().collect(), key=lambda r: (r["shard"], r["lane"])):
         before.append((r["shard"], r["lane"], total.get(r["shard"], 0)))
