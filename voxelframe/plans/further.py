@@ -13,7 +13,7 @@ from ..operators import design, glm, grid, permutation, registration, spatial, t
 from ..operators.grid import VOXEL
 from ..sources import text
 from .queries import (
-    _AR, _GATHER, _TS, AFFINE, C, CF, CPX, FIT, FM00, FM01, FM11, P_SQL, PERM_SQL, PERMS, PINV, QUERIES, SIZE, SQL, TASK, V0, VOX, X, X_SQL, D, H, T, W,
+    _AR, _GATHER, _TS, _VAR, AFFINE, C, CF, CPX, FIT, FM00, FM01, FM11, P_SQL, PERM_SQL, PERMS, PINV, QUERIES, SIZE, SQL, TASK, V0, VOX, X, X_SQL, D, H, T, W,
     _complex, _grad_sql, _rounded, ar_sql, field, gather_sql, num, pinv_sql, query, r, summed, values, volume, vox,
 )
 
@@ -292,10 +292,25 @@ def s20_concatenate_runs(spark, d):
     return text.concatenate_runs(runs, {1: T, 2: T}).select(*VOXEL, F.col("t").cast("int").alias("t"), "v")
 
 
-@query()
+def _s19_sql(dof: int = T - 3, steps: int = 6) -> str:
+    """The share within t in closed form (odd degrees of freedom), and the z that holds the same share, by Newton steps on the normal's series."""
+    terms, weight = ["1e0"], "1e0"
+    for j in range(1, (dof - 1) // 2):
+        weight += f" * {2 * j} / {2 * j + 1}"
+        terms.append(f"{weight} * cos(th) ^ {2 * j}")
+    share = f"2 / pi() * (th + sin(th) * cos(th) * ({' + '.join(terms)}))"
+    series = "list_sum([exp((2 * k + 1) * ln(greatest(z, 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) FOR k IN range(90)])"
+    bell = "(exp(-(z * z) / 2) / sqrt(2 * pi()))"
+    newton = ", ".join(f"z{k} AS (SELECT vx, vy, vz, s, a, z - ({bell} * {series} - a / 2) / {bell} AS z FROM z{k - 1})" for k in range(1, steps + 1))
+    return f"""t AS (SELECT x AS vx, y AS vy, z AS vz, sign(b0) AS s, abs(b0) / sqrt({_VAR['second_t']} * {_TS}) AS t FROM fit JOIN va USING (x, y, z) WHERE {_VAR['second_t']} > 0),
+th AS (SELECT vx, vy, vz, s, t, atan(t / sqrt({dof})) AS th FROM t), z0 AS (SELECT vx, vy, vz, s, {share} AS a, t * (1 - 1 / {4 * dof}.0) / sqrt(1 + t * t / {2 * dof}.0) AS z FROM th), {newton}
+SELECT vx AS x, vy AS y, vz AS z, round(s * z, 6) + 0.0 AS z_score FROM z{steps}"""
+
+
+@query(f"WITH {VOX}, {FIT}, {_s19_sql()}")
 def s19_t_to_z(spark, d):
     got = glm.t_map(vox(spark, d), X, C, "second_t")
-    return got.select(*VOXEL, F.round(stats.t_to_z(F.col("stat"), T - 3), 6).alias("z_score"))
+    return got.select(*VOXEL, (F.round(stats.t_to_z(F.col("stat"), T - 3), 6) + 0.0).alias("z_score"))
 
 
 @query("WITH RECURSIVE g AS (SELECT 0 AS i, 12345::BIGINT * 16807 % 2147483647 AS s UNION ALL SELECT i + 1, s * 16807 % 2147483647 FROM g WHERE i < 99) SELECT CAST(i AS INT) AS i, round(s / 2147483647.0::DOUBLE, 12) AS u FROM g")
