@@ -36,12 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim
-from .unicode_gaps import BARRIER, CAPITAL, GAP, HIGH, MARK, SMALL, STAND_IN
+from .unicode_gaps import BARRIER, CAPITAL, FAR, GAP, HIGH, MARK, SMALL, STAND_IN
 
-#: Remembered runs between white space, and remembered words.
-MEMO_CHUNKS, MEMO_WORDS = 200_000, 200_000
+#: Remembered runs between white space, and as many words: about 250 bytes each for both.
+MEMO = 400_000
 MEMO_CHARS = 64
 SHORT = 48
+#: A merge's rank and new id in one number, so that the least number is the next merge.
+ID_BITS = 32
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 2 * ID_BITS
 
 
 def byte_alphabet() -> list[str]:
@@ -54,7 +58,8 @@ def byte_alphabet() -> list[str]:
 class Bpe:
     """An encoder and decoder for one tokenizer file of kind BPE with a word-end suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.most = memo
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -64,6 +69,7 @@ class Bpe:
         self.token = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merge = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.order = {pair: rank << ID_BITS | new for pair, (rank, new) in self.merge.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word = regex.compile(pattern)
         self.odd_space = _re.compile("[\x1c-\x1f]").search
@@ -103,21 +109,20 @@ class Bpe:
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         """Apply the lowest rank, leftmost first, until none applies: quadratic, and faster than a heap for a few symbols."""
-        get = self.merge.get
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
+        get, none = self.order.get, NO_MERGE
+        found = [get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == none:
+                break
+            at, new = found.index(best), best & ID_MASK
+            ids[at : at + 2] = [new]
             del found[at]
             if at:
-                found[at - 1] = get((ids[at - 1], ids[at]))
+                found[at - 1] = get((ids[at - 1], new), none)
             if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]))
+                found[at] = get((new, ids[at + 1]), none)
+        return ids
 
     def _merge_fragment(self, symbols: list[str]) -> list[int]:
         vocab, merge = self.vocab, self.merge
@@ -155,7 +160,7 @@ class Bpe:
             symbols[-1] += self.suffix
             got = tuple(chain.from_iterable(map(self._merge_fragment, self.fragments(symbols))))
             if len(word) <= MEMO_CHARS:
-                if len(memo) >= MEMO_WORDS:
+                if len(memo) >= self.most:
                     memo.clear()
                 memo[word] = got
         return got
@@ -165,13 +170,13 @@ class Bpe:
         memo = self.memo
         got = memo.get(chunk)
         if got is None:
-            if GAP.search(chunk):
+            if not chunk.isascii() and FAR.search(chunk) and GAP.search(chunk):
                 found = [chunk[m.start() : m.end()] for m in self.word.finditer(GAP.sub(STAND_IN, chunk))]
             else:
                 found = self.word.findall(chunk)
             got = tuple(chain.from_iterable(map(self.word_ids, found)))
             if len(chunk) <= MEMO_CHARS:
-                if len(memo) >= MEMO_CHUNKS:
+                if len(memo) >= self.most:
                     memo.clear()
                 memo[chunk] = got
         return got
@@ -231,25 +236,25 @@ class Bpe:
         return b"".join(parts).decode("utf-8", "replace").rstrip(" ")
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple[str, int], Bpe] = {}
 
 
-def loaded(path: str) -> Bpe:
+def loaded(path: str, memo: int = MEMO) -> Bpe:
     """One encoder for each worker process and file."""
     claim("bpe", _LOADED.clear)
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    if (path, memo) not in _LOADED:
+        _LOADED[path, memo] = Bpe(path, memo)
+    return _LOADED[path, memo]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` the ids themselves as well."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``ids`` the ids themselves as well. ``memo``: words that a worker remembers."""
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
-        bpe = loaded(path)
+        bpe = loaded(path, memo)
         sha = hashlib.sha256
         for batch in batches:
             names = batch.column(0)

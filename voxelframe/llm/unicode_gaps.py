@@ -45,6 +45,7 @@ MARK = re.compile(_class(PLAIN_MARKS))
 BARRIER = re.compile(f"({_class(PLAIN_MARKS)})")  # a group, so that a split keeps the marks
 CAPITAL = re.compile(_class(NEW_CAPITALS))
 SMALL = {c: chr(to + c - first) for first, last, to in NEW_CAPITALS for c in range(first, last + 1)}
+FAR = re.compile(f"[{chr(NO_LETTERS[0][0])}-\U0010ffff]")
 GAP = re.compile(_class(NO_LETTERS))
 #: What stands for a gap while words are looked for: no letter, number or space to anyone.
 STAND_IN = "\ue000"
