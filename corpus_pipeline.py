@@ -50,8 +50,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with their digests."""
-    return bpe.encode(docs, tokenizer_path(), ids=True)
+    """Token ids of every document of the mix, with their digests. Workers remember fewer words here, as they outlive the stage."""
+    return bpe.encode(docs, tokenizer_path(), ids=True, memo=200_000)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_copies), ("mixing", mix), ("bpe", tokens)]
