@@ -155,13 +155,12 @@ def _labels(labels: DataFrame, id_col: str) -> DataFrame:
     return marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"), F.max(bad).alias("bad"))
 
 
-def _telling(sample: DataFrame, y: str, n: int, pos: int) -> np.ndarray:
-    """The word buckets whose presence tells the classes of ``y`` apart best, ``MOST_WORDS`` at most, ascending."""
+def _telling(words: DataFrame, y: str, n: int, pos: int) -> np.ndarray:
+    """The word buckets whose presence tells the classes of ``y`` apart best, ``MOST_WORDS`` at most, ascending. words: (bucket, k, toxic, low), counts of documents."""
     if not 0 < pos < n:
         return np.zeros(0, np.int64)
-    words = sample.select(y, F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("k"), F.sum(y).alias("kp")).where("k >= 3")
     p = F.col("k") / n
-    gap = F.col("kp") / pos - (F.col("k") - F.col("kp")) / (n - pos)
+    gap = F.col(y) / pos - (F.col("k") - F.col(y)) / (n - pos)
     z = F.abs(gap) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / pos + 1 / (n - pos)))
     best = words.select("bucket", z.alias("z")).where(F.col("z") > WORD_Z).orderBy(F.desc("z"), "bucket").limit(MOST_WORDS)
     return np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
@@ -194,7 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     rows = cut(rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where("k = 1").drop("k"), "sample")
     spent(picked)
     n, toxic, low = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("low"), F.lit(0))).first()
-    chosen = {"toxic": _telling(rows, "toxic", n, toxic), "low": _telling(rows, "low", n, low)}
+    words = rows.select("toxic", "low", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("k"), F.sum("toxic").alias("toxic"), F.sum("low").alias("low"))
+    words = cut(words.where("k >= 3"), "words")  # 2**BITS rows at most
+    chosen = {"toxic": _telling(words, "toxic", n, toxic), "low": _telling(words, "low", n, low)}
+    spent(words)
     marks = F.array(*(F.lit(int(x)) for x in sorted({*chosen["toxic"].tolist(), *chosen["low"].tolist()}))).cast("array<int>")
     table = rows.select("toxic", "low", F.array_intersect("buckets", marks).alias("words"), "shapes", "doc_id").orderBy("doc_id").drop("doc_id").toArrow()
     spent(rows)
