@@ -98,16 +98,11 @@ def _events(spark, d):
     return e.select("event_id", "event_type", (F.unix_timestamp("ts") % 230).cast("double").alias("onset"), (F.col("event_id") % 5).cast("double").alias("duration"), (1 + F.col("event_id") % 3).cast("double").alias("value"))
 
 
-def _event_file(path: Path, e) -> None:
-    rows = [tuple(row) for row in e.orderBy("event_id").select("onset", "duration", "value").collect()]  # one file's events
-    path.write_text(f"NumEvents {len(rows)}\n" + _lines(rows))
-
-
 @query(f"SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS INT) AS idx, {_ON} FROM events")
 def s7_events(spark, d):
-    at = folder(spark) / "events.txt"
-    _event_file(at, _events(spark, d))
-    return text.events(spark, str(at))
+    at = str(folder(spark) / "events.txt")
+    text.write_events(_events(spark, d), at, "event_id")
+    return text.events(spark, at)
 
 
 _SAMPLES = " UNION ALL ".join(
@@ -121,7 +116,7 @@ def s6_regressor_list(spark, d):
     """A list of five event files, one a kind of event, as the design that it stands for."""
     at, e = folder(spark), _events(spark, d)
     for n in _KINDS:
-        _event_file(at / f"{n}.txt", e.where(F.col("event_type") == n))
+        text.write_events(e.where(F.col("event_type") == n), str(at / f"{n}.txt"), "event_id")
     (at / "list.txt").write_text(f"NumRegressors {len(_KINDS)}\n" + "\n".join(f"{n}.txt" for n in _KINDS))
     return _table(spark, text.regressors(spark, str(at / "list.txt"), 2.0, 120), " ".join(f"r{k}" for k in range(len(_KINDS))))
 

@@ -1,11 +1,19 @@
-"""Readers of small text inputs: designs, contrasts, events, classes, affines, event tables."""
+"""Readers of small text inputs: designs, contrasts, classes, affines; of event files and event tables of any size."""
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an event file that a task reads, and that it holds at once. The driver reads files of one block, as the other text files.
+RANGE, BLOCK = 16 << 20, 1 << 20
+
 
 def _numbers(path: str, names: tuple[str, ...]) -> tuple[list[int], list[list[float]]]:
     """Leading ``Name count`` lines, then rows of numbers."""
@@ -35,12 +43,99 @@ def contrasts(path: str, regressors: int | None = None) -> np.ndarray:
     return c
 
 
+def _lines(path: str, start: int, stop: int) -> list[list[str]]:
+    """Words of the lines that begin in these bytes of a file, ``start`` at least 1. Lines end as :func:`open` has it; blank ones are left out."""
+    with open(path, "rb") as f:
+        f.seek(start - 1)
+        raw = f.read(stop - start + 1)
+        end = re.search(rb"[\r\n]", raw)
+        raw = raw[end.end() :] if end else b""
+        while raw and raw[-1] not in b"\r\n" and (more := f.read(1 << 16)):  # the last line ends beyond
+            end = re.search(rb"[\r\n]", more)
+            raw += more[: end.end()] if end else more
+    return [words for x in raw.decode().replace("\r", "\n").split("\n") if (words := x.split())]
+
+
+def _event_rows(path: str, start: int, stop: int) -> np.ndarray:
+    """Onset, duration and value of the events whose lines begin in these bytes of a file."""
+    lines = _lines(path, start, stop)
+    for x in lines:
+        if len(x) != 3:
+            raise ValueError(f"{path}: onset, duration and value expected, {' '.join(x)} found")
+    return np.array([list(map(float, x)) for x in lines]).reshape(-1, 3)
+
+
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, onset, duration, value) of a three-column event file; none for ``NumEvents 0``."""
-    head, rows = _numbers(path, ("NumEvents",))
-    if len(rows) != head[0]:
-        raise ValueError(f"{path}: {head[0]} events expected, {len(rows)} found")
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx int, onset double, duration double, value double")
+    """(idx, onset, duration, value) of a three-column event file; none for ``NumEvents 0``.
+
+    A file of more than a block is read by the executors, which must mount its folder, in ranges of bytes: at once to check
+    it and count each range's events, and again, numbered from there, by what uses the result.
+    """
+    import pyarrow as pa
+
+    path, schema = os.path.abspath(path), "idx int, onset double, duration double, value double"
+    with open(path, "rb") as f:
+        head = re.match(rb"\s*([^\r\n]*)", f.read(BLOCK))
+    words, body, size = head[1].decode().split(), head.end(), os.path.getsize(path)
+    if len(words) < 2 or words[0] != "NumEvents":
+        raise ValueError(f"{path}: NumEvents expected, {' '.join(words[:2])} found")
+
+    def check(found: int) -> None:
+        if found != int(words[1]):
+            raise ValueError(f"{path}: {words[1]} events expected, {found} found")
+
+    if size <= BLOCK:
+        rows = _event_rows(path, body, size)
+        check(len(rows))
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows.tolist())], schema)
+
+    def blocks(k: int):
+        stop = min(body + (k + 1) * RANGE, size)
+        for start in range(body + k * RANGE, stop, BLOCK):
+            yield _event_rows(path, start, min(start + BLOCK, stop))
+
+    def count(batches):
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                try:
+                    n, wrong = sum(map(len, blocks(k))), None
+                except ValueError as e:
+                    n, wrong = 0, str(e)
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "wrong": pa.array([wrong], pa.string())})
+
+    tasks = -(-(size - body) // RANGE)
+    ranges = spark.range(0, tasks, 1, tasks)
+    counts = sorted(ranges.mapInArrow(count, "k long, n long, wrong string").collect())  # a row for each 16 MB
+    for row in counts:
+        if row["wrong"]:
+            raise ValueError(row["wrong"])
+    first = np.cumsum([0] + [row["n"] for row in counts]).tolist()
+    check(first[-1])
+
+    def number(batches):
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                i = first[k]
+                for rows in blocks(k):
+                    idx = pa.array(np.arange(i, i + len(rows)), pa.int32())
+                    i += len(rows)
+                    yield pa.RecordBatch.from_arrays([idx, *(pa.array(c) for c in rows.T.copy())], ["idx", "onset", "duration", "value"])
+
+    return ranges.mapInArrow(number, schema)
+
+
+def write_events(table: DataFrame, path: str, *order: str) -> None:
+    """Events (onset, duration, value) as a file that :func:`events` reads, in the given order. The executors write its parts, in a folder that they must mount; the driver only appends the parts' bytes."""
+    path = os.path.abspath(path)
+    parts = f"{path}.parts"
+    line = F.concat("onset", F.lit(" "), "duration", F.lit(" "), "value")
+    table.orderBy(*order).select(F.coalesce(line, F.raise_error(F.lit("an event lacks its onset, duration or value")))).write.mode("overwrite").option("compression", "none").text(f"file://{parts}")
+    with open(path, "wb") as out:
+        out.write(f"NumEvents {table.sparkSession.read.text(f'file://{parts}').count()}\n".encode())
+        for part in sorted(Path(parts).glob("part-*"), key=lambda p: (int(p.name.split("-")[1]), p.name)):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out, BLOCK)
+    shutil.rmtree(parts)
 
 
 def classes(path: str) -> list[int]:
@@ -98,8 +193,6 @@ def write_vectors(path: str, table: np.ndarray, one_based: bool = True) -> None:
 
 def regressors(spark: SparkSession, path: str, tr: float, times: int, raw: bool = False) -> np.ndarray:
     """T x R design of a regressor list: ``NumRegressors R``, then R names of event files (a boxcar each) or, if ``raw``, of files with a value a volume; names are relative to the list."""
-    from pathlib import Path
-
     from ..operators import design as d
 
     words = Path(path).read_text().split()
